@@ -12,4 +12,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM split LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1}
+OP2 = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+keyed AS (SELECT doc_id, p, line, translate(trim(line, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k IN (SELECT k FROM common)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (k NOT IN (SELECT k FROM common)), '')) AS kept_sha256
+FROM keyed GROUP BY doc_id
+"""
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op2_line_dedup": OP2}
