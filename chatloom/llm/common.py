@@ -108,6 +108,28 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED) ->
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: A-Z to a-z for UTF-8 bytes.
+_FALL = np.arange(256, dtype=np.uint8)
+_FALL[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _FALL[data]
+
+
+def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words with one space after each, and where each begins: consecutive words are then a slice."""
+    place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    out = np.full(place[-1], 0x20, np.uint8)
+    inside = np.ones(place[-1], bool)
+    inside[place[1:] - 1] = False
+    mask = np.zeros(len(data) + 1, np.int8)
+    mask[starts] += 1
+    mask[ends] -= 1
+    out[inside] = data[np.cumsum(mask[:-1]).astype(bool)]
+    return out.tobytes(), place
+
+
 # Rolling polynomial hashes modulo 2^64 --------------------------------------------------------------------------------
 
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
