@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import benchmark_hits, judged
 from .line_dedup import drop_common_lines
 from .packing import pack
 from .simhash_dedup import near_duplicates
@@ -36,9 +37,16 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = judged(benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13), share=20)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
