@@ -36,4 +36,11 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN met USING (doc_id)
 """
 
-ORACLE_SQL = {"op10_decontaminate": OP10, "op1_substring_dedup": OP1, "op2_line_dedup": OP2}
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM p
+"""
+
+ORACLE_SQL = {"op8_warc_archive": OP8, "op10_decontaminate": OP10, "op1_substring_dedup": OP1, "op2_line_dedup": OP2}
