@@ -43,4 +43,13 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >=
 FROM p
 """
 
-ORACLE_SQL = {"op8_warc_archive": OP8, "op10_decontaminate": OP10, "op1_substring_dedup": OP1, "op2_line_dedup": OP2}
+OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL = {"op5_topk_search": OP5, "op8_warc_archive": OP8, "op10_decontaminate": OP10, "op1_substring_dedup": OP1, "op2_line_dedup": OP2}

@@ -12,6 +12,7 @@ from .line_dedup import drop_common_lines
 from .packing import pack
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeated_passages
+from .topk_search import top_k
 from .warc_archive import archived
 
 
@@ -44,6 +45,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"), min_bytes=1000)
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_topk_search": op5_topk_search,
     "op8_warc_archive": op8_warc_archive,
     "op10_decontaminate": op10_decontaminate,
 }
