@@ -7,8 +7,9 @@ Method. Every window is known by its anchor, the least hash among the `gram`-wor
 nothing but the window's words; neighbouring windows mostly share one, so a document has few. Each partition counts its
 documents' anchors in a count-min sketch with two rows of saturating counters, and the sketches are added up block by
 block. An anchor's estimate is never below the number of documents that hold any one of its windows, so the second pass
-groups by 128-bit digest only windows whose anchor is estimated repeated and loses none. The sketch is sized by the
-corpus up to `max_width_log2` counters a row (two bitmaps of 2^29 bits are 128 MB in all, which bounds the broadcast);
+takes only windows whose anchor is estimated repeated and loses none. It groups runs of windows that share an anchor by
+the 128-bit digest of their words, and the single windows only of runs whose anchor has different runs. The sketch is
+sized by the corpus up to `max_width_log2` counters a row (two bitmaps of 2^29 bits are 128 MB in all, which bounds the broadcast);
 a larger corpus is sketched and grouped in several rounds, each for a slice of the anchors.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; rows without a doc_id have no
@@ -108,14 +109,33 @@ def _sketch(docs: DataFrame, window: int, gram: int, width_log2: int, rounds: in
     return bits
 
 
-def _candidates(docs: DataFrame, bits, window: int, gram: int, width_log2: int, rounds: int, this: int) -> DataFrame:
-    """h1, h2, doc_id, row_key, pos of every window whose anchor is estimated repeated."""
+def _spaced(data, starts, ends) -> tuple[bytes, np.ndarray]:
+    """The words with one space after each, and where each begins: a window is then a slice."""
+    place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    spaced = np.full(place[-1], 0x20, np.uint8)
+    inside = np.ones(place[-1], bool)
+    inside[place[1:] - 1] = False
+    mask = np.zeros(len(data) + 1, np.int8)
+    mask[starts] += 1
+    mask[ends] -= 1
+    spaced[inside] = data[np.cumsum(mask[:-1]).astype(bool)]
+    return spaced.tobytes(), place
+
+
+def _digests(text: bytes, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits, as two integers, of the words from each first to before each end."""
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(text[a:b]) for a, b in zip(place[first].tolist(), (place[end] - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
+
+
+def _segments(docs: DataFrame, bits, window: int, gram: int, width_log2: int, rounds: int, this: int) -> DataFrame:
+    """anchor, h1, h2, doc_id, row_key, start, n: runs of n windows of one anchor that is estimated repeated, with the digest of their words."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def test(rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
         return (rows[(cells >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (cells & np.uint64(7))).astype(np.uint8)) & 1 == 1
 
-    def batch_windows(batch):
+    def batch_segments(batch):
         held = shared.value
         ids, keys = batch.column("doc_id"), batch.column("row_key").to_numpy(zero_copy_only=False)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -124,37 +144,49 @@ def _candidates(docs: DataFrame, bits, window: int, gram: int, width_log2: int,
             starts, ends, rows, at, least = _anchors(data, offsets, window, gram)
             if not len(at):
                 continue
-            values, back = np.unique(least, return_inverse=True)
+            row = rows[at]
+            change = np.empty(len(at), bool)
+            change[0], change[1:] = True, (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+            heads = np.flatnonzero(change)
+            size = np.diff(np.append(heads, len(at)))
+            values = least[heads]
             one, two = _cells(values, width_log2)
-            good = test(held[0], one) & test(held[1], two)
+            good = test(held[0], one) & test(held[1], two) & known[first:end][row[heads]]
             if rounds > 1:
                 good &= _slice(values, rounds) == this
-            at = at[good[back] & known[first:end][rows[at]]]
-            if not len(at):
+            heads, size, values = heads[good], size[good], values[good]
+            if not len(heads):
                 continue
-            # the same words with one space between: a window is then a slice
-            lengths = ends - starts
-            place = np.concatenate([[0], np.cumsum(lengths + 1)])
-            spaced = np.full(place[-1], 0x20, np.uint8)
-            inside = np.ones(place[-1], bool)
-            inside[place[1:] - 1] = False
-            mask = np.zeros(len(data) + 1, np.int8)
-            mask[starts] += 1
-            mask[ends] -= 1
-            spaced[inside] = data[np.cumsum(mask[:-1]).astype(bool)]
-            text, digest = spaced.tobytes(), xxhash.xxh3_128_digest
-            found = np.frombuffer(b"".join([digest(text[a:b]) for a, b in zip(place[at].tolist(), (place[at + window] - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
-            row = rows[at]
-            head = np.searchsorted(rows, row)  # the row's first word
+            begin, row = at[heads], row[heads]
+            found = _digests(*_spaced(data, starts, ends), begin, begin + size - 1 + window)
             yield pa.RecordBatch.from_pydict(
-                {"h1": pa.array(found[:, 0]), "h2": pa.array(found[:, 1]), "doc_id": pa.array(ids[first:end][row], pa.int64()), "row_key": pa.array(keys[first:end][row], pa.int64()), "pos": pa.array((at - head).astype(np.int32))}
+                {"anchor": pa.array(values.view(np.int64)), "h1": pa.array(found[:, 0]), "h2": pa.array(found[:, 1]), "doc_id": pa.array(ids[first:end][row], pa.int64()), "row_key": pa.array(keys[first:end][row], pa.int64()), "start": pa.array((begin - np.searchsorted(rows, row)).astype(np.int32)), "n": pa.array(size.astype(np.int32))}
             )
 
-    return in_arrow(docs, batch_windows, "h1 long, h2 long, doc_id long, row_key long, pos int")
+    return in_arrow(docs, batch_segments, "anchor long, h1 long, h2 long, doc_id long, row_key long, start int, n int")
+
+
+def _windows(docs: DataFrame, window: int) -> DataFrame:
+    """h1, h2, doc_id, row_key, start of every window in the runs that `open` lists."""
+
+    def batch_windows(batch):
+        ids, keys, runs = (batch.column(x) for x in ("doc_id", "row_key", "open"))
+        for first, end, data, offsets in chunks(batch.column("text")):
+            starts, ends, rows = words(data, offsets)
+            text, place = _spaced(data, starts, ends)
+            heads = np.searchsorted(rows, np.arange(end - first))
+            at = [np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in runs[i].as_py()]) for i in range(first, end)]
+            row = np.repeat(np.arange(end - first), [len(x) for x in at])
+            begin = np.concatenate(at)
+            found = _digests(text, place, begin + heads[row], begin + heads[row] + window)
+            pick = pa.array(row + first)
+            yield pa.RecordBatch.from_pydict({"h1": pa.array(found[:, 0]), "h2": pa.array(found[:, 1]), "doc_id": ids.take(pick), "row_key": keys.take(pick), "start": pa.array(begin.astype(np.int32))})
+
+    return in_arrow(docs, batch_windows, "h1 long, h2 long, doc_id long, row_key long, start int")
 
 
 def _without(docs: DataFrame, window: int) -> DataFrame:
-    """docs with `hits`, the starts of their removed windows, to doc_id, text, n_words, n_removed."""
+    """docs with `hits`, the runs of their removed windows, to doc_id, text, n_words, n_removed."""
 
     def cut(batch):
         ids, hits = batch.column("doc_id"), batch.column("hits")
@@ -165,9 +197,10 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
             heads = np.concatenate([[0], np.cumsum(counts)])
             cover = np.zeros(len(starts) + 1, np.int32)
             for i in np.flatnonzero(has[first:end]):
-                at = np.asarray(hits[first + i].values) + heads[i]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + window, -1)
+                runs = hits[first + i].values
+                at, n = (np.asarray(runs.field(x)) for x in ("start", "n"))
+                np.add.at(cover, at + heads[i], 1)
+                np.add.at(cover, at + heads[i] + n - 1 + window, -1)
             stay = np.cumsum(cover[:-1]) == 0
             left = np.bincount(rows[stay], minlength=end - first)
             cuts, raw = np.concatenate([[0], np.cumsum(left)]), data.tobytes()
@@ -189,10 +222,19 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16,
     every = None
     for this in range(rounds):
         bits = _sketch(docs, window, gram, width_log2, rounds, this)
-        found = _candidates(docs, bits, window, gram, width_log2, rounds, this)
+        found = _segments(docs, bits, window, gram, width_log2, rounds, this)
         every = found if every is None else every.unionAll(found)
-    every = staged(every, "windows")
-    repeated = staged(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "repeated")
-    hits = every.join(repeated, ["h1", "h2"]).where("doc_id > first").groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("hits"))
-    joined = docs.join(hits, ["doc_id", "row_key"], "left")
-    return _without(joined, window)
+    every = staged(every, "segments")
+    # The same run in an earlier document: all its windows are there. A window's first document is the first holder of
+    # the run it lies in, so only first holders are left, and of them only those whose anchor has other runs as well.
+    runs = staged(every.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "runs")
+    several = runs.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
+    runs = staged(runs.join(several, "anchor").where("several or first < last").select("h1", "h2", "first", "several"), "repeated")
+    judged = every.join(runs, ["h1", "h2"]).where("several or doc_id > first")
+    judged = staged(judged.select("doc_id", "row_key", "start", "n", (F.col("doc_id") > F.col("first")).alias("gone")), "judged")
+    opened = judged.where("not gone").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("open"))
+    windows = staged(_windows(docs.join(opened, ["doc_id", "row_key"]), window), "windows")
+    shared = staged(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "shared")
+    single = windows.join(shared, ["h1", "h2"]).where("doc_id > first").select("doc_id", "row_key", "start", F.lit(1).alias("n"))
+    hits = judged.where("gone").drop("gone").unionAll(single).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
+    return _without(docs.join(hits, ["doc_id", "row_key"], "left"), window)
