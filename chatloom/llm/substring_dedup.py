@@ -228,8 +228,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16,
     # The same run in an earlier document: all its windows are there. A window's first document is the first holder of
     # the run it lies in, so only first holders are left, and of them only those whose anchor has other runs as well.
     runs = staged(every.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "runs")
-    several = runs.groupBy("anchor").agg((F.count("*") > 1).alias("several"))
-    runs = staged(runs.join(several, "anchor").where("several or first < last").select("h1", "h2", "first", "several"), "repeated")
+    several = staged(runs.groupBy("anchor").count().where(F.col("count") > 1).select("anchor", F.lit(True).alias("several")), "several")
+    runs = runs.join(several, "anchor", "left").select("h1", "h2", "first", "last", F.coalesce("several", F.lit(False)).alias("several"))
+    runs = staged(runs.where("several or first < last").drop("last"), "repeated")
     judged = every.join(runs, ["h1", "h2"]).where("several or doc_id > first")
     judged = staged(judged.select("doc_id", "row_key", "start", "n", (F.col("doc_id") > F.col("first")).alias("gone")), "judged")
     opened = judged.where("not gone").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("open"))
