@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import benchmark_hits, judged
 from .line_dedup import drop_common_lines
 from .packing import pack
+from .quality_classifier import fit, scored
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeated_passages
 from .topk_search import top_k
@@ -49,6 +50,11 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"), min_bytes=1000)
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_topk_search": op5_topk_search,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_warc_archive": op8_warc_archive,
     "op10_decontaminate": op10_decontaminate,
 }
