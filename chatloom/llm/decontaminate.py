@@ -37,7 +37,11 @@ def _runs(n: Column, length: int, make) -> Column:
 def _fingerprints(rows: DataFrame, window: int, k: int, short: list[int], *keep: str) -> DataFrame:
     """keep, n_words and marks, the distinct fingerprints; rows: keep and words."""
     words = F.col("words")
-    grams = rows.select(*keep, F.size(words).alias("n_words"), _runs(F.size(words), k, lambda i: F.xxhash64(F.slice(words, i, k))).alias("grams"), *[F.array_distinct(_runs(F.size(words), x, lambda i, x=x: F.xxhash64(F.lit(x), F.slice(words, i, x)))).alias(f"short_{x}") for x in short])
+
+    def whole(x):
+        return F.array_distinct(_runs(F.size(words), x, lambda i: F.xxhash64(F.lit(x), F.slice(words, i, x))))
+
+    grams = rows.select(*keep, F.size(words).alias("n_words"), _runs(F.size(words), k, lambda i: F.xxhash64(F.slice(words, i, k))).alias("grams"), *[whole(x).alias(f"short_{x}") for x in short])
     w = window - k + 1
     least = _runs(F.size("grams"), w, lambda i: F.array_min(F.slice("grams", i, w)))
     return grams.select(*keep, "n_words", F.concat(F.array_distinct(least), *[F.col(f"short_{x}") for x in short]).alias("marks"))
