@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .decontaminate import benchmark_hits, judged
 from .line_dedup import drop_common_lines
+from .lm_scoring import cross_entropy_difference
 from .packing import pack
+from .pii import KINDS, by_kind, joined, of_kind, personal_data
 from .quality_classifier import fit, scored
 from .simhash_dedup import near_duplicates
 from .substring_dedup import remove_repeated_passages
@@ -50,6 +52,12 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(by_kind("base", "added")).alias("spans"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(docs, fit(docs, table(spark, sf_dir, "labels")), threshold=0.3)
@@ -59,13 +67,19 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"), min_bytes=1000)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), vocabulary=4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_topk_search": op5_topk_search,
+    "op6_pii": op6_pii,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_warc_archive": op8_warc_archive,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_decontaminate": op10_decontaminate,
 }
