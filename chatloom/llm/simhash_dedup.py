@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_arrow, lowered, spaced, staged, words
+from .common import chunks, in_arrow, lowered, spaced, staged, with_row_key, words
 
 _LANES = np.uint64(0x0101010101010101)
 _PART = 255  # the sums of so many bits fit a byte
@@ -47,8 +47,8 @@ def _majority(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.nd
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (64 bits as a long) for every row of docs."""
+def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (64 bits as a long) and the `keep` columns (longs) for every row of docs."""
 
     def marked(batch):
         ids = batch.column("doc_id")
@@ -68,9 +68,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
                 digest = xxhash.xxh64_digest
                 hashes = np.frombuffer(b"".join([digest(text[a:b], seed) for a, b in zip(place[at].tolist(), (place[until] - 1).tolist(), strict=True)]), ">u8").astype(np.uint64)
                 out[has] = _majority(hashes, before[has], n[has])
-            yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(first, end - first), "fp": pa.array(out.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids.slice(first, end - first), "fp": pa.array(out.view(np.int64))} | {x: batch.column(x).slice(first, end - first) for x in keep})
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), marked, "doc_id long, fp long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep), marked, "doc_id long, fp long" + "".join(f", {x} long" for x in keep))
 
 
 # Links --------------------------------------------------------------------------------------------------------------
@@ -203,14 +203,37 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6, bucket_limit: int = 20000) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs (doc_id, text)."""
-    marked = staged(fingerprints(docs, shingle), "fingerprints")
+def fingerprint_components(marked: DataFrame, distance: int, blocks: int, bucket_limit: int) -> DataFrame:
+    """fp, component_id for every distinct fp of the rows (doc_id, fp)."""
     first = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct_fp")
     labels = components(close_edges(first.select("fp"), distance, blocks, bucket_limit))
     members = staged(labels.join(first, F.col("node") == F.col("fp")).select("fp", "label", "doc"), "members")
     least = staged(members.groupBy("label").agg(F.min("doc").alias("component_id")), "least_doc")
-    linked = staged(members.join(least, "label").select("fp", "component_id"), "linked")
-    single = first.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("doc").alias("component_id"))
-    every = staged(linked.unionAll(single), "fp_component")
+    linked = staged(members.join(least, "label").select("fp", "component_id", "label"), "linked")
+    single = first.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("doc").alias("component_id"), F.col("fp").alias("label"))
+    return staged(linked.unionAll(single), "fp_component")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6, bucket_limit: int = 20000) -> DataFrame:
+    """doc_id, fp, component_id for every row of docs (doc_id, text)."""
+    marked = staged(fingerprints(docs, shingle), "fingerprints")
+    every = fingerprint_components(marked, distance, blocks, bucket_limit)
     return marked.join(every, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6, bucket_limit: int = 20000) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when every component keeps the row with its least doc_id (a row
+    without one only if no other is there, and of several such rows the one whose text has the least hash)."""
+    keyed = with_row_key(docs)
+    marked = staged(fingerprints(keyed, shingle, keep=("row_key",)), "fingerprints")
+    every = fingerprint_components(marked.select("doc_id", "fp"), distance, blocks, bucket_limit)
+    first = marked.join(every, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = first.groupBy("label").agg(F.min(F.struct("row_key", F.col("doc_id").alias("stay_id"))).alias("x"), F.count("*").alias("n"))
+    stay = staged(stay.select("x.stay_id", F.col("x.row_key").alias("stay_key"), F.col("n").alias("times")), "stay")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("stay_id")) & (F.xxhash64("text") == F.col("stay_key"))
+    once = docs.join(stay.where("times = 1").drop("times"), same, "left_semi")
+    several = stay.where("times > 1").drop("times")
+    if several.isEmpty():
+        return once
+    twice = docs.join(several, same).dropDuplicates(["stay_id", "stay_key"]).drop("stay_id", "stay_key")
+    return once.unionByName(twice)
