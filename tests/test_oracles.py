@@ -1,5 +1,6 @@
 """Every query against its SQL in DuckDB, over the smallest tables."""
 
+import os
 from decimal import Decimal
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 
 from chatloom import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
