@@ -73,7 +73,11 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pairs = gram_hashes(hashes, 2)
     inside = rows[:-1] == rows[1:] if len(rows) else np.zeros(0, bool)
     pair_kinds, _ = _distinct(rows[:-1][inside], pairs[inside], n)
-    again = np.bincount(rows[1:][inside & (hashes[1:] == hashes[:-1])], minlength=n) if len(rows) else np.zeros(n)
+    same = inside & (hashes[1:] == hashes[:-1])
+    again = np.bincount(rows[1:][same], minlength=n) if len(rows) else np.zeros(n)
+    runs = np.flatnonzero(np.concatenate([[True], ~same])) if len(rows) else np.zeros(0, np.int64)
+    longest_run = np.zeros(n)
+    np.maximum.at(longest_run, rows[runs], np.diff(np.append(runs, len(rows))))
     capitals = np.concatenate([[0], np.cumsum(table_of(range(65, 91))[data])])
     small = np.concatenate([[0], np.cumsum(table_of(range(97, 123))[data])])
     signs = np.concatenate([[0], np.cumsum(table_of(map(ord, _BRACKETS + "!"))[data])])
@@ -83,6 +87,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     first_big = table_of(range(65, 91))[data[starts]] if len(starts) else np.zeros(0, bool)
     cols += [np.log1p(count), mean, spread, np.log1p(longest), kinds / each, np.log1p(kinds) - np.log1p(count), most / each, pair_kinds / np.maximum(count - 1, 1), again / each]
     cols += [np.bincount(rows[x], minlength=n) / each for x in (loud, marked, pointed, first_big, length == 1, length > 15)]
+    # shares are small where a part of a long text is junk; counts are not
+    cols += [np.log1p(longest_run), np.log1p(again)] + [np.log1p(np.bincount(rows[x], minlength=n)) for x in (loud, marked)]
 
     line = np.ones(256, bool)
     line[10] = False
