@@ -129,11 +129,11 @@ def cursor_of(*parts: Column) -> Column:
     return F.rtrim(F.translate(F.base64(F.to_json(F.array(*parts)).cast("binary")), "+/\r\n", "-_"), F.lit("="))
 
 
-def char_grams(text: Column, sizes: tuple[int, ...] = (3, 2), most: int = 36) -> Column:
-    """Distinct runs of word characters, of the larger size first."""
-    plain = F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]+", ""))
+def char_grams(*texts: Column, sizes: tuple[int, ...] = (3, 2), most: int = 36) -> Column:
+    """Distinct runs of letters and digits in the texts without white space, of the larger size first for each text."""
 
-    def runs(n: int) -> Column:
+    def runs(plain: Column, n: int) -> Column:
         return F.when(F.length(plain) >= n, F.transform(F.sequence(F.lit(1), F.length(plain) - (n - 1)), lambda i: F.substring(plain, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    return F.slice(F.array_distinct(F.concat(*map(runs, sizes))), 1, most)
+    every = F.concat(*[runs(text_key(F.coalesce(t, F.lit(""))), n) for t in texts for n in sizes])
+    return F.slice(F.array_distinct(F.filter(every, lambda g: g.rlike(r"^[\u4e00-\u9fffA-Za-z0-9]+$"))), 1, most)

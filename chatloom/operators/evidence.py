@@ -30,8 +30,8 @@ def scope(at: Column, as_of: str, days: int = RECENT_DAYS) -> Column:
 
 
 def stability(n_sources: Column, first: Column, last: Column) -> Column:
-    """persistent: three sources, or two more than thirty days apart; repeated: two."""
-    return F.when((n_sources >= 3) | ((n_sources >= 2) & (F.date_diff(last.cast("date"), first.cast("date")) > 30)), "persistent").when(n_sources >= 2, "repeated").otherwise("single")
+    """persistent: three sources, or two at least thirty days apart; repeated: two."""
+    return F.when((n_sources >= 3) | ((n_sources >= 2) & (F.unix_timestamp(last.cast("timestamp")) - F.unix_timestamp(first.cast("timestamp")) >= 30 * 86400)), "persistent").when(n_sources >= 2, "repeated").otherwise("single")
 
 
 def scope_summary(claims: DataFrame, as_of: str, *by: str) -> DataFrame:
@@ -42,13 +42,7 @@ def scope_summary(claims: DataFrame, as_of: str, *by: str) -> DataFrame:
         *[F.count_distinct(F.when(F.col("scope") == s, F.col("source_id"))).alias(f"sources_{s}") for s in ("recent", "historical")],
         F.date_diff(F.lit(as_of).cast("timestamp_ntz").cast("date"), F.max("observed_ts").cast("date")).cast("long").alias("latest_days"),
     )
-    return out.withColumn("status", F.when((F.col("n_recent") >= 6) & (F.col("sources_recent") >= 4), "current").when(F.col("n_recent") > 0, "thin").otherwise("historical"))
-
-
-def clusters(observations: DataFrame) -> DataFrame:
-    """By cited message: the distinct claims and participants, and how far they agree. observations: claim, participant, source_id."""
-    out = observations.groupBy("source_id").agg(F.count_distinct("claim").alias("claims"), F.count_distinct("participant").alias("participants"), F.count("*").alias("observations"))
-    return out.withColumn("state", F.when(F.col("participants") >= 2, F.when(F.col("claims") == 1, "consensus").otherwise("mixed")).otherwise("single"))
+    return out.withColumn("status", F.when(F.col("n_recent") == 0, "none").when((F.col("n_recent") < 6) | (F.col("sources_recent") < 4), "limited").otherwise("available"))
 
 
 def best_each_month(claims: DataFrame, *by: str) -> DataFrame:

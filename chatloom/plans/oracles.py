@@ -168,12 +168,12 @@ ORACLE_SQL = {
         g AS (SELECT person_id, count(*) FILTER (scope = 'recent') AS n_recent, count(*) FILTER (scope = 'historical') AS n_historical, count(*) FILTER (scope = 'undated') AS n_undated,
           count(DISTINCT source_id) FILTER (scope = 'recent') AS sources_recent, count(DISTINCT source_id) FILTER (scope = 'historical') AS sources_historical,
           CAST(date_diff('day', CAST(max(observed_ts) AS DATE), DATE '2024-01-20') AS BIGINT) AS latest_days FROM s GROUP BY person_id)
-        SELECT *, CASE WHEN n_recent >= 6 AND sources_recent >= 4 THEN 'current' WHEN n_recent > 0 THEN 'thin' ELSE 'historical' END AS status FROM g""",
-    "claim_stability": f"""{MERGED} SELECT person_id, kind, claim_key, CASE WHEN n_sources >= 3 OR (n_sources >= 2 AND date_diff('day', CAST(first_ts AS DATE), CAST(last_ts AS DATE)) > 30) THEN 'persistent'
+        SELECT *, CASE WHEN n_recent = 0 THEN 'none' WHEN n_recent < 6 OR sources_recent < 4 THEN 'limited' ELSE 'available' END AS status FROM g""",
+    "claim_stability": f"""{MERGED} SELECT person_id, kind, claim_key, CASE WHEN n_sources >= 3 OR (n_sources >= 2 AND epoch(last_ts) - epoch(first_ts) >= 30 * 86400) THEN 'persistent'
         WHEN n_sources >= 2 THEN 'repeated' ELSE 'single' END AS stability FROM merged""",
-    "evidence_clusters": f"""WITH {CLAIM}, o AS (SELECT concat(kind, ':', claim_key) AS claim, person_id AS participant, concat('s-', substring(source_id, 3, 2)) AS source_id FROM claim),
-        g AS (SELECT source_id, count(DISTINCT claim) AS claims, count(DISTINCT participant) AS participants, count(*) AS observations FROM o GROUP BY source_id)
-        SELECT *, CASE WHEN participants >= 2 THEN CASE WHEN claims = 1 THEN 'consensus' ELSE 'mixed' END ELSE 'single' END AS state FROM g""",
+    "evidence_clusters": f"""WITH {CLAIM}, o AS (SELECT concat(source_id, kind) AS obs, person_id AS participant, CASE WHEN score % 5 = 0 THEN 'needs-review' WHEN score % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS v, concat('s-', substring(source_id, 3, 2)) AS source_id FROM claim)
+        SELECT source_id, count(DISTINCT obs) AS observations, count(DISTINCT participant) AS participants,
+          CASE WHEN bool_and(v = 'rejected') THEN 'rejected' WHEN bool_or(v = 'needs-review') THEN 'needs-review' WHEN count(DISTINCT participant) >= 2 THEN 'corroborated' ELSE 'single-source' END AS state FROM o GROUP BY source_id""",
     "best_claim_per_month": f"""WITH {CLAIM}, r AS (SELECT *, strftime(observed_ts, '%Y-%m') AS month FROM claim)
         SELECT person_id, month, source_id, score FROM (SELECT *, row_number() OVER (PARTITION BY person_id, month ORDER BY score DESC, observed_ts, source_id) AS nth FROM r) WHERE nth = 1""",
     "profile_workset": f"""WITH {CLAIM}, r AS (SELECT *, CASE WHEN score % 4 = 0 THEN 'repeated' ELSE 'single' END AS strength, row_number() OVER (PARTITION BY person_id ORDER BY observed_ts, source_id) AS place,
@@ -208,4 +208,23 @@ ORACLE_SQL = {
         SELECT id, CAST(CASE WHEN captured_ts IS NULL THEN 0.08 WHEN age <= 3 * 86400 THEN 1 WHEN age <= 7 * 86400 THEN 0.92 WHEN age <= 14 * 86400 THEN 0.78 WHEN age <= 30 * 86400 THEN 0.62 WHEN age <= 60 * 86400 THEN 0.42
             WHEN age <= 120 * 86400 THEN 0.24 WHEN age <= 365 * 86400 THEN 0.1 ELSE 0.04 END AS DOUBLE) AS relevance FROM a""",
     "normalized_times": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN strftime(ts, '%Y-%m-%dT08:05:00') WHEN 1 THEN strftime(ts, '%Y-%m-%dT07:30:00') WHEN 2 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%d') END AS captured_at FROM events""",
+    "counterpart_identity": f"""WITH {MESSAGE}, others AS (SELECT * FROM keyed WHERE speaker_role = 'other'), n AS (SELECT DISTINCT key, concat('peer-', length(key) % 7) AS who FROM keyed)
+        SELECT o.id, o.key, 'speaker' AS basis FROM others o JOIN n ON n.key = o.key AND n.who = o.speaker""",
+    "dismissed_people": f"""WITH {MESSAGE}, p AS (SELECT DISTINCT speaker AS id, key FROM keyed WHERE speaker_role = 'other')
+        SELECT id, count(*) AS conversations FROM p WHERE id NOT IN (SELECT id FROM p WHERE key IN ('conv-12', 'conv-15')) GROUP BY id""",
+    "observation_merge": f"""WITH {CLAIM} SELECT concat(person_id, ':', kind) AS id, count(DISTINCT (source_id, claim_key)) AS evidence, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources, min(observed_ts) AS from_ts, max(observed_ts) AS to_ts FROM claim GROUP BY 1""",
+    "block_times": f"""WITH {CLAIM}, s AS (SELECT *, observed_ts >= TIMESTAMP '2024-02-12' - INTERVAL 30 DAY AS recent FROM claim)
+        SELECT person_id, kind, CASE WHEN bool_or(recent) AND bool_or(NOT recent) THEN 'change' WHEN bool_or(recent) THEN 'recent' ELSE 'historical' END AS scope, min(observed_ts) AS from_ts, max(observed_ts) AS to_ts FROM s GROUP BY person_id, kind""",
+    "portrait_coverage": f"""WITH {CLAIM} SELECT person_id, count(DISTINCT (kind, claim_key)) AS claims, count(DISTINCT source_id) AS sources, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, min(observed_ts) AS from_ts, max(observed_ts) AS to_ts FROM claim GROUP BY person_id""",
+    "latest_per_user": f"""WITH {EVENT} SELECT user_id, kind, id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY start_ts DESC, id DESC) AS nth FROM context_event) WHERE nth = 1""",
+    "carry_over": f"""{STATES} SELECT coalesce(n.id, o.id) AS id, coalesce(n.value, o.value) AS value FROM old o FULL JOIN new n ON o.id = n.id""",
+    "model_passes": """WITH p AS (SELECT p_partkey AS ord, concat('x-', p_partkey) AS id, CASE WHEN p_size % 4 = 0 THEN 'judge' ELSE 'extractor' END AS role, CASE WHEN p_size % 2 = 0 THEN 'people' ELSE 'tasks' END AS workflow, p_size > 10 AS enabled FROM part)
+        SELECT id, role FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY ord) AS nth FROM p WHERE enabled AND workflow = 'people') WHERE nth <= CASE WHEN role = 'judge' THEN 1 ELSE 3 END""",
+    "pass_agreement": f"""WITH {CANDIDATE} SELECT concat(title, '|', description) AS candidate, count(DISTINCT source_id) AS passes, CASE WHEN count(DISTINCT source_id) >= 2 THEN 'consensus' ELSE 'needs-review' END AS agreement FROM candidate GROUP BY 1""",
+    "attachment_totals": """SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, CAST(coalesce(sum(CASE WHEN doc_id % 4 = 1 THEN ceil(n_chars / 3) END), 0) AS BIGINT) AS text_tokens, count(*) FILTER (doc_id % 4 = 0) AS images, count(*) FILTER (doc_id % 4 > 1) AS binaries FROM documents""",
+    "sleep_and_mood": """SELECT event_id, CASE WHEN event_id % 7 BETWEEN 1 AND 5 THEN event_id % 7 END AS mood, floor(greatest(0, least(24, value)) * 2 + 0.5) / 2 AS hours FROM events""",
+    "relative_labels": f"""WITH {MESSAGE}, d AS (SELECT id, captured_ts, floor((epoch(TIMESTAMP '2024-01-20') - epoch(captured_ts)) / 86400) AS d, ceil((epoch(captured_ts) - epoch(TIMESTAMP '2024-01-20')) / 86400) AS a FROM message)
+        SELECT id, CASE WHEN captured_ts IS NULL THEN '时间未记录' WHEN d < 0 AND a = 1 THEN '明天' WHEN d < 0 THEN concat(CAST(a AS BIGINT), ' 天后') WHEN d = 0 THEN '今天' WHEN d = 1 THEN '昨天' WHEN d < 30 THEN concat(CAST(d AS BIGINT), ' 天前')
+          WHEN d < 365 THEN concat(CAST(floor(d / 30) AS BIGINT), ' 个月前') ELSE concat(CAST(floor(d / 365) AS BIGINT), ' 年前') END AS label FROM d""",
+    "search_radii": """SELECT s_suppkey, CAST(floor(least(100000, greatest(120, greatest(0.01 * (s_suppkey % 50) * 111320, 0.02 * (s_suppkey % 30) * 111320 * greatest(0.2, cos(radians(s_nationkey * 3.0)))) / 2)) + 0.5) AS BIGINT) AS radius FROM supplier WHERE s_suppkey % 50 > 0""",
 }

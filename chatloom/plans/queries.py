@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.columns import captured_at, char_grams, compact_key, fnv1a36, relevance, row_size, text_key, utf16_length
-from chatloom.operators import archive, browse, evidence, gates, links, merge, segments
+from chatloom.functions import claims, normalize
+from chatloom.operators import archive, browse, ensemble, evidence, gates, links, merge, people, segments
 from chatloom.sources import adapted
 
 AS_OF = "2024-01-20 00:00:00"
@@ -346,8 +347,8 @@ def claim_stability(spark, sf_dir):
 
 @query
 def evidence_clusters(spark, sf_dir):
-    rows = adapted.claim(spark, sf_dir).selectExpr("concat(kind, ':', claim_key) AS claim", "person_id AS participant", "concat('s-', substring(source_id, 3, 2)) AS source_id")
-    return evidence.clusters(rows)
+    rows = adapted.claim(spark, sf_dir).selectExpr("concat(source_id, kind) AS observation", "person_id AS participant", "CASE WHEN score % 5 = 0 THEN 'needs-review' WHEN score % 3 = 0 THEN 'rejected' ELSE 'accepted' END AS validation", "concat('s-', substring(source_id, 3, 2)) AS source_id")
+    return ensemble.clusters(rows)
 
 
 @query
@@ -434,7 +435,7 @@ def action_score_top(spark, sf_dir):
 @query
 def text_keys(spark, sf_dir):
     rows = adapted.message(spark, sf_dir)
-    return rows.select("id", text_key(F.col("content")).alias("text_key"), compact_key(F.substring("content", 1, 40)).alias("compact"), F.array_join(char_grams(F.substring("content", 1, 12)), "|").alias("grams"))
+    return rows.select("id", text_key(F.col("content")).alias("text_key"), compact_key(F.substring("content", 1, 40)).alias("compact"), F.array_join(char_grams(F.substring("content", 1, 12), most=36), "|").alias("grams"))
 
 
 @query
@@ -454,3 +455,111 @@ def normalized_times(spark, sf_dir):
     days = adapted.table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
     raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), "day", F.lit(" 08:05]"))).when(F.col("event_id") % 5 == 1, F.regexp_replace("day", r"(\d+)-(\d+)-(\d+)", "$1年$2月$3日 7时30分")).when(F.col("event_id") % 5 == 2, F.col("epoch").cast("string")).when(F.col("event_id") % 5 == 3, F.col("day")).otherwise(F.lit("2024-02-30 10:00:00"))
     return days.select("event_id", captured_at(raw).alias("captured_at"))
+
+
+# People --------------------------------------------------------------------------------------------------------------
+
+
+@query
+def counterpart_identity(spark, sf_dir):
+    rows = keyed(spark, sf_dir)
+    names = rows.select("key").distinct().select("key", F.concat(F.lit("Peer-"), F.length("key") % 7).alias("returned"), F.lit(None).cast("string").alias("expected"))
+    return people.counterpart_rows(rows, names)
+
+
+@query
+def dismissed_people(spark, sf_dir):
+    cards = keyed(spark, sf_dir).where("speaker_role = 'other'").groupBy(F.col("speaker").alias("id")).agg(F.collect_set("key").alias("keys"))
+    gone = spark.createDataFrame([("conv-12",), ("conv-15",)], "key string")
+    return people.not_dismissed(cards, gone).select("id", F.size("keys").cast("long").alias("conversations"))
+
+
+@query
+def observation_merge(spark, sf_dir):
+    rows = adapted.claim(spark, sf_dir).selectExpr("concat(person_id, ':', kind) AS id", "source_id", "claim_key AS quote", "observed_ts AS from_ts", "observed_ts AS to_ts")
+    return people.merged_observations(rows)
+
+
+@query
+def block_times(spark, sf_dir):
+    return people.block_times(adapted.claim(spark, sf_dir), "2024-02-12 00:00:00", "person_id", "kind")
+
+
+@query
+def portrait_coverage(spark, sf_dir):
+    return people.coverage(adapted.claim(spark, sf_dir), "person_id")
+
+
+@query
+def latest_per_user(spark, sf_dir):
+    return people.last_known(adapted.context_event(spark, sf_dir).select("user_id", "kind", "start_ts", "id"), ["user_id", "kind"], ["start_ts", "id"]).select("user_id", "kind", "id")
+
+
+@query
+def carry_over(spark, sf_dir):
+    return people.carried_over(*_states(spark, sf_dir), "id")
+
+
+# Several models ------------------------------------------------------------------------------------------------------
+
+
+@query
+def model_passes(spark, sf_dir):
+    rows = adapted.table(spark, sf_dir, "part").selectExpr("p_partkey AS ord", "concat('x-', p_partkey) AS id", "CASE WHEN p_size % 4 = 0 THEN 'judge' ELSE 'extractor' END AS role", "CASE WHEN p_size % 2 = 0 THEN 'people' ELSE 'tasks' END AS workflow", "p_size > 10 AS enabled")
+    return ensemble.passes(rows, "people", 3).select("id", "role")
+
+
+@query
+def ensemble_plan(spark, sf_dir):
+    """Cuts of direct conversations for two extractors; a test compares them with a model."""
+    rows = segments.placed(keyed(spark, sf_dir).withColumn("size", row_size()), "key", [F.col("captured_ts").asc_nulls_last(), F.col("id")])
+    chosen = spark.createDataFrame([("x", "extractor", "small"), ("y", "extractor", "large")], "id string, role string, profile string")
+    profiles = spark.createDataFrame([("small", 2, 1500, 1, 400), ("large", 5, 9000, 2, 1500)], "profile_id string, core_rows int, core_size int, overlap_rows int, overlap_size int")
+    return ensemble.plans(rows, chosen, profiles, "people", "size")
+
+
+@query
+def pass_agreement(spark, sf_dir):
+    rows = adapted.candidate(spark, sf_dir).select(F.concat_ws("|", "title", "description").alias("candidate"), F.col("source_id").alias("pass_id"))
+    return ensemble.agreement(rows, 2)
+
+
+# More scalar functions -----------------------------------------------------------------------------------------------
+
+
+@query
+def attachment_totals(spark, sf_dir):
+    rows = adapted.table(spark, sf_dir, "documents").selectExpr("concat('f', doc_id, CASE doc_id % 4 WHEN 0 THEN '.PNG' WHEN 1 THEN '.md' WHEN 2 THEN '.pdf' ELSE '' END) AS name", "CAST(NULL AS STRING) AS mime", "n_chars AS size")
+    return rows.agg(*normalize.attachment_totals(F.col("name"), F.col("mime"), F.col("size")))
+
+
+@query
+def sleep_and_mood(spark, sf_dir):
+    return adapted.table(spark, sf_dir, "events").select("event_id", normalize.mood(F.col("event_id") % 7).alias("mood"), normalize.sleep_hours(F.col("value")).alias("hours"))
+
+
+@query
+def relative_labels(spark, sf_dir):
+    return adapted.message(spark, sf_dir).select("id", claims.relative_label(F.col("captured_ts"), AS_OF).alias("label"))
+
+
+@query
+def search_radii(spark, sf_dir):
+    rows = adapted.table(spark, sf_dir, "supplier").where("s_suppkey % 50 > 0").selectExpr("s_suppkey", "s_nationkey * 3.0D AS lat", "0.01D * (s_suppkey % 50) AS north", "0.02D * (s_suppkey % 30) AS east")
+    return rows.select("s_suppkey", normalize.search_radius(F.col("lat"), F.lit(0.0), F.lit(0.0), F.col("north"), F.col("east")).alias("radius"))
+
+
+@query
+def claim_scores(spark, sf_dir):
+    """Categories and scores of claims; a test compares them with literal cases."""
+    rows = evidence.merged_claims(adapted.claim(spark, sf_dir), "person_id", "kind", "claim_key")
+    stable = evidence.stability(F.col("n_sources"), F.col("first_ts"), F.col("last_ts"))
+    of = claims.category(F.col("kind"), F.col("claim_key"), F.col("claim_key"))
+    return rows.select("person_id", "kind", "claim_key", of.alias("category"), claims.score(F.col("kind"), F.col("claim_key"), F.col("claim_key"), stable, of).alias("score"))
+
+
+@query
+def task_atlas(spark, sf_dir):
+    """Tasks by their category."""
+    rows = adapted.message(spark, sf_dir).select("id", normalize.task_category(F.col("content"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")).alias("category"), normalize.provider(F.col("content")).alias("provider"))
+    return rows.groupBy("category").agg(F.count("*").alias("tasks"), F.count("provider").alias("provided"))

@@ -46,7 +46,7 @@ def test_times(spark):
 
 def test_unions_cursors_grams(spark):
     df = spark.createDataFrame([(["b ", "a", ""], ["a", "c"], "a?b")], "x array<string>, y array<string>, z string")
-    r = df.select(C.union_of(F.col("x"), F.col("y"), most=2).alias("u"), C.cursor_of(F.col("z")).alias("c"), C.char_grams(F.lit("Abcd!")).alias("g")).first()
+    r = df.select(C.union_of(F.col("x"), F.col("y"), most=2).alias("u"), C.cursor_of(F.col("z")).alias("c"), C.char_grams(F.lit("Ab cd!")).alias("g")).first()
     assert r.u == ["b", "a"] and r.g == ["abc", "bcd", "ab", "bc", "cd"] and set(r.c) <= set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
 
 
