@@ -58,7 +58,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str
     index_path = f"{path}/index"
     index.write.parquet(index_path)
     index = spark.read.schema(index.schema).parquet(index_path)
-    owners = index.groupBy(F.col("digest").alias("owned")).agg(F.max("page_id").alias("owner"))
+    rows = index.groupBy("digest", "page_id").agg(F.count("*").alias("times"))
+    owners = rows.groupBy(F.col("digest").alias("owned")).agg(F.max(F.struct("page_id", "times")).alias("last"))
+    owners = owners.select("owned", F.col("last.page_id").alias("owner"), F.col("last.times").alias("times"))
     owners.write.parquet(f"{path}/owners")
     owners = spark.read.schema(owners.schema).parquet(f"{path}/owners")
 
@@ -67,10 +69,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str
     typed = typed.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("owner")))
     typed.select("page_id", _header(date).alias("header"), "digest").write.parquet(f"{path}/records")
 
-    # one page's bytes for each digest: the owner's, so no payload that is had before goes over the network
+    # one page's bytes for each digest: the owner's, so no payload that is had before goes over the network, and none goes twice
     own = F.sha2("payload", 256)
-    stored = read.select("page_id", "payload", own.alias("digest")).join(owners, (F.col("digest") == F.col("owned")) & F.col("page_id").eqNullSafe(F.col("owner")), "left_semi")
-    stored.select("digest", "payload").dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    stored = read.select("page_id", "payload", own.alias("digest")).join(owners, (F.col("digest") == F.col("owned")) & F.col("page_id").eqNullSafe(F.col("owner")))
+    if owners.where("times > 1").isEmpty():
+        stored.select("digest", "payload").write.parquet(f"{path}/payloads")
+    else:
+        stored.where("times = 1").select("digest", "payload").unionAll(stored.where("times > 1").select("digest", "payload").dropDuplicates(["digest"])).write.parquet(f"{path}/payloads")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
