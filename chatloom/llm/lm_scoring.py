@@ -97,7 +97,16 @@ def vocabulary_of(docs: DataFrame, size: int) -> np.ndarray:
         for _, _, data, offsets in chunks(batch.column("text")):
             yield _hashed(data, offsets)[1]
 
-    top = _counted(docs.select("text"), keys_of).orderBy(F.desc("n"), "key").limit(size).select("key")
+    counts = staged(_counted(docs.select("text"), keys_of), "word_counts")
+    # a few hundred classes of counts tell how often a word must be there to be among the most frequent, so that tasks hand
+    # on about `size` words between them and not `size` words each
+    classes = counts.groupBy(F.floor(F.log2("n") * 8).alias("class")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("class")).collect()
+    least, words_so_far = 1, 0
+    for c in classes:
+        least, words_so_far = c["least"], words_so_far + c["words"]
+        if words_so_far >= size:
+            break
+    top = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(size).select("key")
     return np.sort(top.toArrow().column("key").to_numpy().view(np.uint64))  # `size` numbers
 
 
