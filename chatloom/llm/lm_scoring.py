@@ -24,8 +24,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import chunks, in_arrow, lowered, staged, word_hashes, words
 
 FOLDS = 2
-_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _hashed(data, offsets):
@@ -55,7 +52,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Tally:
     """Sums by key that are handed on when they are many."""
 
-    def __init__(self, limit: int = 1 << 21):
+    def __init__(self, limit: int = 1 << 20):
         self.limit, self.held, self.size = limit, [], 0
 
     def add(self, keys: np.ndarray) -> None:
@@ -152,28 +149,32 @@ def bigrams(rows: DataFrame, known: np.ndarray) -> DataFrame:
     return counts.groupBy("fold", "cell").agg(F.sum(F.col("n") * F.col("target")).alias("n_target"), F.sum("n").alias("n"))
 
 
-def losses(cells: np.ndarray, counts: np.ndarray, size: int, word_weight: float, pair_weight: float) -> np.ndarray:
-    """The loss of every cell under a model with these counts."""
-    table = np.zeros((size + 2) * (size + 1), np.float32)
-    table[cells] = counts
-    table = table.reshape(size + 2, size + 1)
-    each, before = table.sum(axis=0, dtype=np.float64), table.sum(axis=1, dtype=np.float64)
-    word = ((each + word_weight / (size + 1)) / (each.sum() + word_weight)).astype(np.float32)
-    for v in range(size + 2):  # a line at a time: no second table
-        table[v] = -np.log((table[v] + np.float32(pair_weight) * word) / np.float32(before[v] + pair_weight))
-    return table.ravel()
-
+class Models:
+    """Target and background model of one fold: the sorted cells with a count, and how often words and the words before
+    them are there."""
 
-def _models(shared, size: int, word_weight: float, pair_weight: float) -> tuple[np.ndarray, np.ndarray]:
-    """The losses of target and background, made once a worker."""
-    if shared.value["id"] not in _tables:
-        _tables.clear()
-        cells, target, every = (shared.value[x] for x in ("cells", "target", "every"))
+    def __init__(self, cells: np.ndarray, target: np.ndarray, every: np.ndarray, size: int, word_weight: float, pair_weight: float):
+        order = np.argsort(cells)
+        self.cells, self.size, self.pair_weight = cells[order], size, pair_weight
         there = target.sum(dtype=np.float64)
         scaled = every * np.float32(there / max(1.0, every.sum(dtype=np.float64))) if there else every
-        background = losses(cells, scaled, size, word_weight, pair_weight)
-        _tables[shared.value["id"]] = (losses(cells, target, size, word_weight, pair_weight) if there else background, background)
-    return _tables[shared.value["id"]]
+        self.sides = {"background": self._side(scaled[order], word_weight)}
+        self.sides["target"] = self._side(target[order], word_weight) if there else self.sides["background"]
+
+    def _side(self, counts: np.ndarray, word_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        before, word = np.divmod(self.cells, self.size + 1)
+        each, ahead = np.bincount(word, counts, self.size + 1), np.bincount(before, counts, self.size + 2)
+        return counts, (each + word_weight / (self.size + 1)) / (each.sum() + word_weight), ahead
+
+    def losses(self, cells: np.ndarray, side: str) -> np.ndarray:
+        """The loss of each cell."""
+        counts, word, ahead = self.sides[side]
+        before, after = np.divmod(cells, self.size + 1)
+        seen = np.zeros(len(cells))
+        if len(self.cells):
+            at = np.minimum(np.searchsorted(self.cells, cells.astype(self.cells.dtype)), len(self.cells) - 1)
+            seen = np.where(self.cells[at] == cells, counts[at], 0.0)
+        return -np.log((seen + self.pair_weight * word[after]) / (ahead[before] + self.pair_weight))
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int = 4096, word_weight: float = 100.0, pair_weight: float = 50.0, broadcast_ids: int = 1 << 20) -> DataFrame:
@@ -185,20 +186,18 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int
     counts = staged(bigrams(rows, known), "bigrams")
     words_known = spark.sparkContext.broadcast(known)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
-    out = None
+    out, kind = None, "int" if (size + 2) * (size + 1) < 1 << 31 else "long"
     for fold in range(FOLDS):
-        own = counts.where(F.col("fold") != fold).select(F.col("cell").cast("int").alias("cell"), F.col("n_target").cast("float").alias("t"), F.col("n").cast("float").alias("n")).toArrow()  # (vocabulary + 2)^2 rows at most
-        model = {"id": uuid.uuid4().hex, "cells": own.column("cell").to_numpy(), "target": own.column("t").to_numpy(), "every": own.column("n").to_numpy()}
-        shared = spark.sparkContext.broadcast(model)
+        own = counts.where(F.col("fold") != fold).select(F.col("cell").cast(kind).alias("cell"), F.col("n_target").cast("float").alias("t"), F.col("n").cast("float").alias("n")).toArrow()  # (vocabulary + 2)^2 rows at most
+        shared = spark.sparkContext.broadcast(Models(own.column("cell").to_numpy(), own.column("t").to_numpy(), own.column("n").to_numpy(), size, word_weight, pair_weight))
 
         def scored(batch, shared=shared):
-            target, background = _models(shared, size, word_weight, pair_weight)
             for first, end, data, offsets in chunks(batch.column("text")):
                 of, hashes = _hashed(data, offsets)
-                cells = _cells(of, _token_ids(hashes, words_known.value), size)
+                cells, which = np.unique(_cells(of, _token_ids(hashes, words_known.value), size), return_inverse=True)
                 n = np.bincount(of, minlength=end - first)
                 none = n == 0
-                a, b = (np.bincount(of, x[cells], end - first) / np.maximum(n, 1) for x in (target, background))
+                a, b = (np.bincount(of, shared.value.losses(cells, side)[which], end - first) / np.maximum(n, 1) for side in ("target", "background"))
                 yield pa.RecordBatch.from_pydict(
                     {"doc_id": batch.column("doc_id").slice(first, end - first), "n_tokens": pa.array(n.astype(np.int64)), "loss_target": pa.array(a, mask=none), "loss_background": pa.array(b, mask=none), "score": pa.array(a - b, mask=none)}
                 )
