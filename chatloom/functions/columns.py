@@ -100,7 +100,11 @@ def row_size(at: str = "captured_ts", content: str = "content", role: str = "spe
 def captured_at(value: Column) -> Column:
     """An exported time as ISO text: epoch seconds or milliseconds, or a date with an optional time; midnight gives the
     date alone, a date that is none gives null. Zones are not looked at."""
-    text = F.trim(F.regexp_replace(value, "　", " "))
+    # an array of one: the text is made once and not for each place that looks at it
+    return F.get(F.transform(F.array(F.trim(F.regexp_replace(value, "　", " "))), _captured_at), 0)
+
+
+def _captured_at(text: Column) -> Column:
     number = F.when(text.rlike(r"^\d{10,13}$"), text.cast("long"))
     epoch = F.timestamp_millis(F.when(number < 100_000_000_000, number * 1000).otherwise(number))
     part = [F.regexp_extract(text, DATE_TIME, i) for i in range(1, 7)]
