@@ -68,7 +68,7 @@ def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), vocabulary=4096)
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

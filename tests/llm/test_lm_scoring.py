@@ -107,3 +107,35 @@ def test_tally(parts, limit):
     for k, n in zip(*(x.to_pylist() for x in tally.take().columns), strict=True):
         total[k] += n
     assert total == Counter(x for p in parts for x in p)
+
+
+def test_every_word_counts(spark):
+    """More words than any fixed vocabulary, over several groups: against brute force, and rare words tell texts apart."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(120))) for i in range(120)] + [(120 + i, "common " * 40 + f"rare{i % 3} rare{i % 2}") for i in range(60)]
+    labels = [(i, int(i % 3 > 0)) for i in range(180)]
+    docs, known = frames(spark, rows, labels)
+    folds = dict(docs.select("text", F.pmod(F.xxhash64("text"), F.lit(2))).collect())
+    good = {d for d, q in labels if q == 1 and zlib.crc32(str(d).encode()) % 5}
+    got = sorted(map(tuple, L.cross_entropy_difference(docs, known, group_bytes=5000).collect()), key=key)
+    expect = sorted(brute(rows, good, [folds[t] for _, t in rows], 1 << 20), key=key)
+    assert [r[:2] for r in got] == [r[:2] for r in expect]
+    for a, b in zip(got, expect, strict=True):
+        assert a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
+def test_the_query_has_no_fixed_vocabulary(spark, tmp_path):
+    from chatloom.llm.queries import op9_lm_scoring
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(120))) for i in range(120)]
+    labels = [(i, i % 2) for i in range(120)]
+    docs, known = frames(spark, rows, labels)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    folds = dict(docs.select("text", F.pmod(F.xxhash64("text"), F.lit(2))).collect())
+    good = {d for d, q in labels if q == 1 and zlib.crc32(str(d).encode()) % 5}
+    got = sorted(map(tuple, op9_lm_scoring(spark, str(tmp_path)).collect()), key=key)
+    expect = sorted(brute(rows, good, [folds[t] for _, t in rows], 1 << 20), key=key)
+    for a, b in zip(got, expect, strict=True):
+        assert a[2:] == pytest.approx(b[2:], abs=1e-9)
