@@ -136,8 +136,11 @@ def cursor_of(*parts: Column) -> Column:
 def char_grams(*texts: Column, sizes: tuple[int, ...] = (3, 2), most: int = 36) -> Column:
     """Distinct runs of letters and digits in the texts without white space, of the larger size first for each text."""
 
-    def runs(plain: Column, n: int) -> Column:
-        return F.when(F.length(plain) >= n, F.transform(F.sequence(F.lit(1), F.length(plain) - (n - 1)), lambda i: F.substring(plain, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def runs(letters: Column, n: int) -> Column:
+        at = F.sequence(F.lit(1), F.size(letters) - (n - 1))
+        return F.when(F.size(letters) >= n, F.transform(at, lambda i: F.concat(*[F.element_at(letters, i + k) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
 
-    every = F.concat(*[runs(text_key(F.coalesce(t, F.lit(""))), n) for t in texts for n in sizes])
+    # letters are a lambda's variable, so a text is cleaned and split once and not again for every run
+    split = F.transform(F.array(*[F.coalesce(t, F.lit("")) for t in texts]), lambda t: F.split(text_key(t), ""))
+    every = F.flatten(F.transform(split, lambda letters: F.concat(*[runs(letters, n) for n in sizes])))
     return F.slice(F.array_distinct(F.filter(every, lambda g: g.rlike(r"^[\u4e00-\u9fffA-Za-z0-9]+$"))), 1, most)

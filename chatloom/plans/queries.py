@@ -435,7 +435,7 @@ def action_score_top(spark, sf_dir):
 @query
 def text_keys(spark, sf_dir):
     rows = adapted.message(spark, sf_dir)
-    return rows.select("id", text_key(F.col("content")).alias("text_key"), compact_key(F.substring("content", 1, 40)).alias("compact"), F.array_join(char_grams(F.substring("content", 1, 12), most=36), "|").alias("grams"))
+    return rows.select("id", text_key(F.col("content")).alias("text_key"), compact_key(F.col("content")).alias("compact"), F.array_join(char_grams(F.col("content"), most=36), "|").alias("grams"))
 
 
 @query

@@ -66,3 +66,25 @@ def test_candidate_fold_keeps_its_order(spark):
     got = {r.id: (r.absorbed, r.sources) for r in merge.merged_candidates(df).collect()}
     # b joins a and brings its date and source; c has another date; d shares s2 and the title with a, the first that it equals
     assert got == {"a": (2, "s1,s2"), "c": (0, "s2"), "e": (0, "s9")}
+
+
+def test_text_keys_see_whole_messages(spark, tmp_path):
+    """The query against brute force over messages of which only the ends differ."""
+    import re
+
+    from chatloom import catalog
+
+    start = "The same opening words, longer than forty characters: "
+    texts = [start + "One", start + "two, 2", "Ab cd!", "", None, "你好 世界。" * 9]
+    rows = [(i, 0, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.id: r for r in catalog.QUERIES["text_keys"](spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        plain = re.sub(r"\s+", "", t or "").lower()
+        runs = [plain[j : j + n] for n in (3, 2) for j in range(len(plain) - n + 1)]
+        grams = list(dict.fromkeys(g for g in runs if re.fullmatch(r"[一-鿿A-Za-z0-9]+", g)))[:36]
+        r = got[f"m-{i}-0"]
+        assert r.grams == "|".join(grams)
+        assert r.compact == (None if t is None else re.sub(r"[\W_]+", "", t).lower())
+    assert got["m-0-0"].compact != got["m-1-0"].compact
+    assert len(got["m-0-0"].grams.split("|")) == 36
