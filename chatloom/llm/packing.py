@@ -11,13 +11,17 @@ ranges of ranks within a length, whose size depends on `capacity` alone. Pieces
 from their place in their partition and from the running sums of the partitions' counts, and read their sequence off the
 broadcast plan.
 
+The encoder's matcher gives up on white space of some hundred thousand characters. Such runs are one piece each but for
+the last character, which what follows may take, so they are encoded by themselves and the text around them as ever.
+
 Defined results: a null text is an empty text, whose only id is the end id; rows without a doc_id or with a repeated one
-are packed like any other; no rows give no pieces; other columns are ignored.
+are packed like any other; a text may hold runs of any length; no rows give no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, staged
 
-SPECIAL = {"<|endoftext|>": 50256}
+# The special token, and what the vocabulary's pattern takes for white space.
+END_OF_TEXT, END_OF_TEXT_ID = "<|endoftext|>", 50256
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 _encoders: dict[str, object] = {}
 
 
@@ -46,10 +52,28 @@ def encoder(path: str):
 
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+        _encoders[path] = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END_OF_TEXT: END_OF_TEXT_ID})
     return _encoders[path]
 
 
+def ids_of(encode, text: str) -> np.ndarray:
+    """The ids of a text, which may hold white space of any length."""
+    try:
+        return encode.encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # too long a run for the matcher
+        out = []
+        for i, part in enumerate(text.split(END_OF_TEXT)):
+            if i:
+                out.append([END_OF_TEXT_ID])
+            at = 0
+            for run in LONG_SPACE.finditer(part):
+                end = run.end() - (run.end() < len(part))
+                out += [encode.encode_ordinary(part[at : run.start()]), encode._encode_single_piece(part[run.start() : end])]
+                at = end
+            out.append(encode.encode_ordinary(part[at:]))
+        return np.concatenate([np.array(x, np.uint32) for x in out])
+
+
 class RoomTree:
     """A segment tree over remaining capacities 0 to capacity: which of them open sequences have."""
 
@@ -122,7 +146,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, path: str, keep_ids: boo
         for batch in batches:
             cols: dict[str, list] = {x: [] for x in ("row", "piece", "start", "length", "crc", "rank", "ids")}
             for row, text in enumerate(batch.column("text")):
-                ids = np.append(encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), end_id).astype("<u4")
+                ids = np.append(ids_of(encode, text.as_py() or ""), end_id).astype("<u4")
                 first = len(ids) % capacity or capacity
                 for piece, end in enumerate(range(first, len(ids) + 1, capacity)) if len(ids) > capacity else ((0, len(ids)),):
                     start = max(0, end - capacity) if len(ids) > capacity else 0

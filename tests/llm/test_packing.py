@@ -27,7 +27,22 @@ def test_ids_are_the_tokenizers(tokenizer):
     rng = random.Random(5)
     texts = TEXTS + ["".join(rng.choice("ab É\n'<|>endoftext 09漢") for _ in range(200)) for _ in range(200)]
     for text in texts:
-        assert encode.encode_to_numpy(text, allowed_special="all").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert P.ids_of(encode, text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_long_white_space(tokenizer):
+    encode = P.encoder(P.vocabulary_path())
+    spaces = [" " * 1_000_000, "\n" * 700_000, " \n\t" * 300_000, "\u3000" * 700_000, "\x85\xa0 " * 300_000]
+    texts = [before + run + after for run in spaces for before, after in (("a", "b"), ("", ""), ("x<|endoftext|>", "<|endoftext|>"), (" \u200b", "'s  1"))]
+    texts.append("a" + spaces[0] + "b<|endoftext|>" + spaces[2] + "\n" * 5000 + "c" + " " * 5000)
+    for text in texts:
+        assert P.ids_of(encode, text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(P.ids_of(encode, "a" + " " * 10_000_000 + "b")) == 10_000_001
+
+
+def test_long_white_space_is_packed(spark):
+    got = P.pack(spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b"), (2, "x")], "doc_id long, text string")).collect()
+    assert sum(r["length"] for r in got if r.doc_id == 1) == 1_000_002
 
 
 def naive(lengths, capacity):
