@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,12 +78,60 @@ def test_reliabilities_find_the_odd_labeler():
     assert min(right["k", (1, 1, s)] for s in (-1, 1)) > 0.9 > 0.1 > max(right["k", (-1, -1, s)] for s in (-1, 1))
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 256, 257, 1000])
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 256, 257, 1000, 70000])
 def test_running_sums(spark, n):
     rng = random.Random(n)
     values = [rng.randint(0, 9) for _ in range(n)]
-    got = spark.createDataFrame([(values,)], "v array<int>").withColumn("b", P._blocks("v")).select(P._running("v", "b").alias("r")).first()["r"]
-    assert got == [sum(values[:i]) for i in range(n)]
+    got = spark.createDataFrame([(values,)], "v array<int>").select(P._running("v").alias("r")).first()["r"]
+    sums, total = [], 0
+    for v in values:
+        sums.append(total)
+        total += v
+    assert got == sums
+
+
+def test_touching_spans(spark):
+    rng = random.Random(1)
+    for n in (0, 1, 2, 7, 40):
+        places = sorted(rng.sample(range(300), 2 * n))
+        spans = list(zip(places[::2], places[1::2]))
+        asked = [(a, a + rng.randint(1, 9)) for a in (rng.randint(0, 300) for _ in range(100))]
+        frame = spark.createDataFrame([(spans, asked)], "s array<struct<start:long,end:long>>, q array<struct<start:long,end:long>>")
+        got = frame.select(F.transform("q", lambda x: P._touches(x, "s")).alias("r")).first()["r"]
+        assert got == [any(a < e and b < f for a, f in spans) for b, e in asked]
+
+
+def test_many_matches_take_little_time(spark):
+    rows = ["12," * 16000, "1.2.3.4 " * 40000, "a@b.c " * 40000, "555 123 4567, " * 20000, "+49 301234567, 555 123 4567 " * 10000]
+    began = time.time()
+    found = P.personal_data(frame(spark, rows)).select(F.size("base").alias("n")).collect()
+    assert sorted(r["n"] for r in found) == sorted([0, 40000, 40000, 0, 10000])
+    assert time.time() - began < 120
+
+
+def test_a_span_does_not_depend_on_other_text(spark):
+    rows = ["WRITE TO JOE (AT) MAIL.COM NOW", "WRITE TO JOE (AT) MAIL.COM NOW at all", "write to joe [At] mail [DOT] com"]
+    found = P.candidates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in found] == [[("email", 9, 26)], [("email", 9, 26)], [("email", 9, 32)]]
+
+
+def test_account_numbers(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR1420041010050500013M02606"]
+    bad = ["DE88 3704 0044 0532 0130 00", "XX89370400440532013000", "GB29NWBK6016133192681"]
+    got = spark.createDataFrame([(x,) for x in good + bad], "m string").select((P._form("iban", F.col("m"), False) + P._listed("iban", F.col("m"), F.lit(""))).alias("v")).collect()
+    assert [r["v"] for r in got] == [2, 2, 2, 0, -2, -2]
+    rows = [f"my account is {good[i % 3]} for all" for i in range(40)] + [f"serial {bad[i % 3]} here" for i in range(40)]
+    found = P.personal_data(frame(spark, rows)).select("added").collect()
+    assert sum(x["kind"] == "iban" for r in found for x in r["added"]) == 40
+
+
+def test_planted_secrets_and_addresses(spark):
+    """Recall and precision of what is added, against the shape in which the tables hold secrets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts_of = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    want = {(d, m.start(1), m.end(1)) for d, t in texts_of.items() for m in re.finditer('token = "([0-9a-f]{40})"', t)}
+    got = {(r["doc_id"], x["start"], x["end"]) for r in P.personal_data(docs).collect() for x in r["added"] if x["kind"] == "secret"}
+    assert len(want & got) >= 0.95 * len(want) > 0 and len(want & got) >= 0.95 * len(got)
 
 
 def test_query_columns(spark):
