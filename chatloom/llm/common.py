@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,17 @@ def with_row_key(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select("doc_id", "text", *names, F.xxhash64("text").alias("row_key"))
 
 
+def bucketed(df: DataFrame, path: str, keys: list[str], **options: str) -> DataFrame:
+    """Write df to path in buckets of its keys, sorted, and read it again; joins by the keys need not shuffle it."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).options(**options).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved; the name is of no more use, the files stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 # Word-level views ---------------------------------------------------------------------------------------------------
 
 

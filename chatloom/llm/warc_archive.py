@@ -5,7 +5,9 @@ the table `payloads`, and each record's exact header bytes in the table `records
 original records. A payload of at least `min_bytes` bytes that several pages have is a response in the record of the
 largest page_id and a revisit in the others, which refer to that one.
 
-Stored payloads are verified when they are read: one whose bytes do not have the digest it is kept under raises an error.
+Payloads are bucketed by digest, so they cross the network once, when the first of equal ones is chosen, and not again
+when records are rebuilt. Stored payloads are verified when they are read, and so is every rebuilt record: bytes that do not
+have the digest they are kept under, or the length or SHA-1 that the record's header states, raise an error.
 
 Defined results: a null html is an empty payload; pages without a page_id are archived, and as none of them is the
 largest, they revisit a page that has one if there is any, and are responses otherwise; rows that repeat the largest
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import bucketed, new_path, staged
 
 END = "\r\n"
 
@@ -49,8 +51,8 @@ def _header(date: str) -> Column:
     )
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write the tables path/payloads (digest, payload) and path/records (page_id, header, digest) of pages (page_id, url, html)."""
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Write the tables path/payloads (digest, payload) and path/records (page_id, header, digest) of pages (page_id, url, html); gives the first."""
     spark = pages.sparkSession
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
@@ -69,46 +71,67 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 1000, date: str
     typed = typed.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("owner")))
     typed.select("page_id", _header(date).alias("header"), "digest").write.parquet(f"{path}/records")
 
-    # one page's bytes for each digest: the owner's, so no payload that is had before goes over the network, and none goes twice
+    # one page's bytes for each digest: the owner's
     own = F.sha2("payload", 256)
     stored = read.select("page_id", "payload", own.alias("digest")).join(owners, (F.col("digest") == F.col("owned")) & F.col("page_id").eqNullSafe(F.col("owner")))
-    if owners.where("times > 1").isEmpty():
-        stored.select("digest", "payload").write.parquet(f"{path}/payloads")
-    else:
-        stored.where("times = 1").select("digest", "payload").unionAll(stored.where("times > 1").select("digest", "payload").dropDuplicates(["digest"])).write.parquet(f"{path}/payloads")
+    if not owners.where("times > 1").isEmpty():
+        stored = stored.where("times = 1").unionByName(stored.where("times > 1").dropDuplicates(["digest"]))
+    return bucketed(stored.select("digest", "payload"), f"{path}/payloads", ["digest"], compression="zstd")
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """digest and payload of every stored payload, verified."""
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    right = F.sha2("payload", 256) == F.col("digest")
-    return stored.select("digest", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not have the digest "), F.col("digest"))).cast("binary")).alias("payload"))
+def _right(column: Column, right: Column, message: Column) -> Column:
+    """The binary column, or an error."""
+    return F.when(right, column).otherwise(F.raise_error(message).cast("binary"))
+
+
+def read_payloads(spark: SparkSession, path: str, stored: DataFrame | None = None) -> DataFrame:
+    """digest and payload of every stored payload, verified; stored: that table, if it is known by its buckets."""
+    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads") if stored is None else stored
+    return stored.select("digest", _right(F.col("payload"), F.sha2("payload", 256) == F.col("digest"), F.concat(F.lit("payload does not have the digest "), F.col("digest"))).alias("payload"))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, refers_to, payload_digest (SHA-1), digest, header of every record, from its header."""
+    """page_id, record_type, refers_to, payload_digest (SHA-1), length, digest, header of every record, from its header."""
     records = spark.read.schema("page_id long, header string, digest string").parquet(f"{path}/records")
 
     def field(name):
         return F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)", 1)
 
-    return records.select("page_id", field("WARC-Type").alias("record_type"), F.expr("try_cast(nullif(regexp_extract(header, '\\r\\nX-Refers-To-Page: ([^\\r\\n]*)', 1), '') AS bigint)").alias("refers_to"), F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]{40})", 1).alias("payload_digest"), "digest", "header")
+    return records.select("page_id", field("WARC-Type").alias("record_type"), F.expr("try_cast(nullif(regexp_extract(header, '\\r\\nX-Refers-To-Page: ([^\\r\\n]*)', 1), '') AS bigint)").alias("refers_to"), F.regexp_extract("header", r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]{40})", 1).alias("payload_digest"), F.regexp_extract("header", r"\r\nContent-Length: ([0-9]+)", 1).cast("long").alias("length"), "digest", "header")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and the whole record (header, block, two line ends) as it was archived; a revisit has no block."""
-    headers, payloads = read_headers(spark, path), read_payloads(spark, path)
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
+def _rebuilt(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """headers with `payload`, checked against them, and `record`: header, block, two line ends; a revisit has no block."""
     joined = headers.join(payloads, "digest")
-    return joined.select("page_id", "record_type", "refers_to", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    is_revisit = F.col("record_type") == "revisit"
+    stated = (F.sha1("payload") == F.col("payload_digest")) & (F.col("length") == F.when(is_revisit, 0).otherwise(F.octet_length("payload")))
+    joined = joined.withColumn("payload", _right(F.col("payload"), stated, F.concat(F.lit("header and payload disagree: "), F.col("header"))))
+    return joined.withColumn("record", F.concat(F.encode("header", "UTF-8"), F.when(is_revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n")))
+
+
+def read_records(spark: SparkSession, path: str, stored: DataFrame | None = None) -> DataFrame:
+    """page_id, record_type, refers_to, the whole record as it was archived, and its payload."""
+    return _rebuilt(read_headers(spark, path), read_payloads(spark, path, stored)).select("page_id", "record_type", "refers_to", "record", "payload")
 
 
 def archived(pages: DataFrame, path: str | None = None, min_bytes: int = 1000) -> DataFrame:
-    """Archive pages, read the archive back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Archive pages, rebuild the records: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A revisit has the payload of the record that it refers to, whose bytes are rebuilt once and not for every revisit."""
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    write_archive(pages, path, min_bytes)
-    held = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    held.write.parquet(f"{path}/verified")
-    held = spark.read.schema("digest string, payload_bytes long, payload_digest string").parquet(f"{path}/verified")
-    return read_headers(spark, path).drop("payload_digest", "header").join(held, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    stored = write_archive(pages, path, min_bytes)
+    headers = read_headers(spark, path)
+    whole = _rebuilt(headers.where("record_type = 'response'"), read_payloads(spark, path, stored))
+    ahead = F.octet_length("header")
+    block = F.substring("record", ahead + 1, F.octet_length("record") - ahead - 4)
+    whole = whole.select("page_id", "digest", block.alias("block"))
+    whole = staged(whole.select("page_id", "digest", F.octet_length("block").cast("long").alias("payload_bytes"), F.sha1("block").alias("payload_digest")), "rebuilt")
+    again = headers.where("record_type = 'revisit'").select("page_id", "refers_to", "digest", F.col("payload_digest").alias("stated"))
+    one = whole.select(F.col("page_id").alias("refers_to"), "digest", "payload_bytes", "payload_digest").distinct()
+    again = again.join(one, ["refers_to", "digest"], "left")
+    right = F.coalesce(F.col("payload_digest") == F.col("stated"), F.lit(False))
+    digest = F.when(right, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("no such record: "), F.col("refers_to").cast("string"))).cast("string"))
+    again = again.select("page_id", "payload_bytes", digest.alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
+    first = whole.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return first.unionByName(again)

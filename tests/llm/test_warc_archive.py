@@ -50,5 +50,24 @@ def test_changed_payload_is_found(spark, tmp_path):
         A.read_payloads(spark, f"{tmp_path}/a").collect()
 
 
+def test_changed_header_is_found(spark, tmp_path):
+    A.write_archive(pages(spark, ROWS), f"{tmp_path}/a")
+    records = spark.read.parquet(f"{tmp_path}/a/records")
+    rows = records.selectExpr("page_id", "regexp_replace(header, 'Content-Length: 5', 'Content-Length: 6') AS header", "digest").collect()
+    spark.createDataFrame(rows, records.schema).write.mode("overwrite").parquet(f"{tmp_path}/a/records")
+    with pytest.raises(PySparkException, match="header and payload disagree"):
+        A.read_records(spark, f"{tmp_path}/a").collect()
+
+
+def test_payloads_are_not_shuffled_again(spark, tmp_path):
+    stored = A.write_archive(pages(spark, ROWS), f"{tmp_path}/a")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = A.read_records(spark, f"{tmp_path}/a", stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_no_rows(spark):
     assert A.archived(pages(spark, [])).collect() == []
