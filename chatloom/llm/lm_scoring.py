@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, lowered, mixed, staged, word_hashes, words
+from .common import chunks, distinct, distinct_inverse, lowered, mixed, staged, word_hashes, words
 
 FOLDS = 2
 #: What a key counts, in its two lowest bits; hashes of the start of a document and of a word that the vocabulary has not.
@@ -152,7 +152,7 @@ def flagged(docs: DataFrame, labels: DataFrame, broadcast_ids: int) -> DataFrame
 
 def _group_keys(after: np.ndarray, before: np.ndarray) -> np.ndarray:
     """The distinct keys of a group's tokens, rising."""
-    return np.sort(np.concatenate([np.unique(k) for k in (_pairs(before, after), _keys(after, WORD), _keys(before, AHEAD))]))
+    return np.sort(np.concatenate([distinct(k) for k in (_pairs(before, after), _keys(after, WORD), _keys(before, AHEAD))]))
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -231,7 +231,7 @@ def elsewhere(counts: DataFrame) -> DataFrame:
         sizes = table.column("size").to_numpy()
         keys = np.concatenate([np.cumsum(_unpack(k, n), dtype=np.uint64) for k, n in zip(table.column("keys").to_pylist(), sizes, strict=True)])
         is_zero = np.repeat(table.column("grp").to_numpy() % FOLDS == 0, sizes)
-        every, which = np.unique(keys, return_inverse=True)
+        every, _, which = distinct_inverse(keys)
         ends, out = np.cumsum(sizes), {}
         for name in ("n", "n_target"):
             n = np.concatenate([_unpack(c, k) for c, k in zip(table.column(name).to_pylist(), sizes, strict=True)]).astype(np.float64)
@@ -270,7 +270,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int
             every, target = (np.concatenate([_unpack(c, k) for c, k in zip(sums.column(x).to_pylist(), sums.column("size").to_pylist(), strict=True)]).astype(np.float64) for x in ("n", "n_target"))
             if len(every) != len(keys):
                 raise ValueError(f"{len(every)} sums for {len(keys)} keys")
-            pairs, first, which = np.unique(_pairs(before, after), return_index=True, return_inverse=True)
+            pairs, first, which = distinct_inverse(_pairs(before, after))
             at = [np.searchsorted(keys, k) for k in (pairs, _keys(after[first], WORD), _keys(before[first], AHEAD))]
             total, good = totals[FOLDS - 1 - texts.column("grp")[0].as_py() % FOLDS]
             background = _losses(*(every[i] for i in at), total, good / max(1, total) if good else 1.0, size, word_weight, pair_weight)
