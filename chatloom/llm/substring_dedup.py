@@ -5,16 +5,17 @@ document with a smaller doc_id are removed; the first document that has it keeps
 
 Method. Every window is known by its anchor, the least hash among the `gram`-word sequences in it, which depends on
 nothing but the window's words; neighbouring windows mostly share one, so a document has few. Each partition counts its
-documents' anchors in a count-min sketch with two rows of saturating counters, and the sketches are added up block by
-block. An anchor's estimate is never below the number of documents that hold any one of its windows, so the second pass
-takes only windows whose anchor is estimated repeated and loses none. It groups runs of windows that share an anchor by
-the 128-bit digest of their words, and the single windows only of runs whose anchor has different runs. The sketch is
-sized by the corpus up to `max_width_log2` counters a row (two bitmaps of 2^29 bits are 128 MB in all, which bounds the broadcast);
-a larger corpus is sketched and grouped in several rounds, each for a slice of the anchors.
+documents' anchors in a count-min sketch with two rows of saturating counters, and the partitions' sketches are added up
+block by block: an anchor's upper bits name its block, and both its counters are in that block, so the sketch is a table
+with a row a block whose number of blocks follows the corpus. An anchor's estimate is never below the number of documents
+that hold any one of its windows, so the second pass, a semi-join of runs of windows with the blocks, takes only windows
+whose anchor is estimated repeated and loses none. It groups runs of windows that share an anchor by the 128-bit digest of
+their words, and the single windows only of runs whose anchor has different runs. There is one pass for the sketch and one
+for the runs at any size; Spark broadcasts the blocks while they are few and joins by a shuffle beyond.
 
 Defined results: a null text has no words; texts shorter than a window lose nothing; rows without a doc_id have no
 place in the order, so they neither lose words nor make others lose any; rows that repeat a doc_id never remove each
-other's words; columns other than doc_id and text are ignored.
+other's words; equal rows are judged once for all and each get the result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, gram_hashes, in_arrow, mixed, sliding_min, staged, with_row_key, word_hashes, words
+from .common import chunks, gram_hashes, in_arrow, mixed, sliding_min, spaced, staged, with_row_key, word_hashes, words
 
-BLOCK_LOG2 = 18
-#: Counters a row for each anchor.
-ROOM = 4
+#: Counters of a block in either row, and for each anchor that a block is made for.
+CELLS_LOG2, ROOM = 15, 4
 
 
 def _anchors(data, offsets, window: int, gram: int):
@@ -43,83 +43,81 @@ def _anchors(data, offsets, window: int, gram: int):
     return starts, ends, rows, at, least[at]
 
 
-def _cells(anchors: np.ndarray, width_log2: int) -> tuple[np.ndarray, np.ndarray]:
-    """The counter of each anchor in either row."""
-    shift = np.uint64(64 - width_log2)
-    return anchors >> shift, mixed(anchors + np.uint64(0x9E3779B97F4A7C15)) >> shift
+def _runs(data, offsets, window: int, gram: int):
+    """Words (start, end, row), and of every run of windows with one anchor: its first window, length, row and anchor."""
+    starts, ends, rows, at, least = _anchors(data, offsets, window, gram)
+    row = rows[at]
+    change = np.ones(len(at), bool)
+    change[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
+    heads = np.flatnonzero(change)
+    return starts, ends, rows, at[heads], np.diff(np.append(heads, len(at))), row[heads], least[heads]
 
 
-def _slice(anchors: np.ndarray, rounds: int) -> np.ndarray:
-    return (anchors & np.uint64(0xFFFF)) % np.uint64(rounds)
+def cells_of(anchors: np.ndarray, blocks_log2: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The block of each anchor and its counters there in the first and in the second row, numbered on."""
+    block = (anchors >> np.uint64(64 - blocks_log2)).astype(np.int64) if blocks_log2 else np.zeros(len(anchors), np.int64)
+    both = mixed(anchors + np.uint64(0x9E3779B97F4A7C15))
+    low = np.uint64((1 << CELLS_LOG2) - 1)
+    return block, (both & low).astype(np.int64), (both >> np.uint64(64 - CELLS_LOG2)).astype(np.int64) + (1 << CELLS_LOG2)
 
 
-def _sketch(docs: DataFrame, window: int, gram: int, width_log2: int, rounds: int, this: int) -> list[np.ndarray]:
-    """For either row, one bit a counter: whether it counts two or more."""
-    block_log2 = min(BLOCK_LOG2, width_log2)
-    blocks = 1 << (width_log2 - block_log2)
+def blocks_for(text_bytes: int, window: int, gram: int) -> int:
+    """Upper bits of an anchor that name its block, for about as many anchors as texts of that size have."""
+    anchors = int(text_bytes / 6 * 2 / (window - gram + 2))
+    return max(0, (anchors * ROOM >> CELLS_LOG2).bit_length())
+
+
+def sketch(docs: DataFrame, window: int, gram: int, blocks_log2: int) -> DataFrame:
+    """block, bits (an array of 64-bit words): one bit a counter, set if it counts two or more."""
+    room = CELLS_LOG2 + 1
 
     def partition(batches):
-        once, more = [np.zeros(0, np.uint64)] * 2, [np.zeros(0, np.uint64)] * 2
+        held, size = [], 0
+
+        def summed():
+            cells, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(cells)
+            cells = cells[order]
+            heads = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            return cells[heads], np.minimum(np.add.reduceat(counts[order], heads), 2).astype(np.int8)
+
         for batch in batches:
             known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-            new: list[list[np.ndarray]] = [[], []]
             for first, end, data, offsets in chunks(batch.column("text")):
-                _, _, rows, at, least = _anchors(data, offsets, window, gram)
-                if not len(at):
-                    continue
-                row = rows[at]
-                change = np.empty(len(at), bool)
-                change[0], change[1:] = True, (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-                change &= known[first:end][row]
-                if rounds > 1:
-                    change &= _slice(least, rounds) == this
-                pairs = np.unique(np.stack([least[change], row[change].astype(np.uint64)], 1), axis=0) if change.any() else np.zeros((0, 2), np.uint64)
-                for r, cells in enumerate(_cells(pairs[:, 0], width_log2)):
-                    new[r].append(cells)
-            for r in range(2):
-                if new[r]:
-                    cells, counts = np.unique(np.concatenate(new[r]), return_counts=True)
-                    more[r] = np.union1d(more[r], np.concatenate([cells[counts > 1], np.intersect1d(cells, once[r], assume_unique=True)]))
-                    once[r] = np.union1d(once[r], cells)
-        for r in range(2):
-            for kind, cells in (("once", once[r]), ("more", more[r])):
-                cuts = np.searchsorted(cells, np.arange(blocks + 1, dtype=np.uint64) << np.uint64(block_log2))
-                full = np.flatnonzero(cuts[1:] > cuts[:-1])
-                low = (cells & np.uint64((1 << block_log2) - 1)).astype("<u4")
-                for part in np.array_split(full, max(1, len(full) // 1024)):
-                    yield pa.RecordBatch.from_pydict(
-                        {"block": pa.array(part + r * blocks, pa.int64()), "twice": pa.array([kind == "more"] * len(part), pa.bool_()), "cells": pa.array([low[cuts[b] : cuts[b + 1]].tobytes() for b in part], pa.binary())}
-                    )
+                *_, row, anchors = _runs(data, offsets, window, gram)
+                good = known[first:end][row]
+                row, anchors = row[good], anchors[good]
+                order = np.lexsort((anchors, row))  # a document counts an anchor once
+                row, anchors = row[order], anchors[order]
+                once = np.ones(len(row), bool)
+                once[1:] = (row[1:] != row[:-1]) | (anchors[1:] != anchors[:-1])
+                block, one, two = cells_of(anchors[once], blocks_log2)
+                for cell in (one, two):
+                    held.append(((block << room) | cell, np.ones(len(block), np.int8)))
+                    size += len(block)
+            if size > 1 << 23:
+                held = [summed()]
+                size = len(held[0][0])
+        if size:
+            cells, counts = summed()
+            block = cells >> room
+            heads = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            own = ((cells & ((1 << room) - 1)) << 1 | (counts > 1)).astype("<u4")
+            for part in np.array_split(np.arange(len(heads)), len(heads) // 4096 + 1):
+                until = np.append(heads, len(cells))[part + 1]
+                yield pa.RecordBatch.from_pydict({"block": pa.array(block[heads[part]]), "cells": pa.array([own[a:b].tobytes() for a, b in zip(heads[part].tolist(), until.tolist(), strict=True)], pa.binary())})
 
     def merge(key, table):
-        counts = np.zeros(1 << block_log2, np.uint8)
-        for cells in table.column("cells").to_pylist():
-            at = np.frombuffer(cells, "<u4")
-            counts[at] = np.minimum(counts[at] + 1, 2)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(counts >= 2).tobytes()], pa.binary())})
-
-    parts = docs.select("doc_id", "text").mapInArrow(partition, "block long, twice boolean, cells binary")
-    # a cell in `twice` of one partition is in its `once` as well, so it adds two
-    merged = parts.groupBy("block").applyInArrow(merge, "block long, bits binary")
-    bits = [np.zeros((1 << width_log2) // 8, np.uint8) for _ in range(2)]
-    size = (1 << block_log2) // 8
-    for row in merged.toLocalIterator():  # of a fixed size in all: two bits a counter
-        r, b = divmod(row["block"], blocks)
-        bits[r][b * size : (b + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return bits
-
-
-def _spaced(data, starts, ends) -> tuple[bytes, np.ndarray]:
-    """The words with one space after each, and where each begins: a window is then a slice."""
-    place = np.concatenate([[0], np.cumsum(ends - starts + 1)])
-    spaced = np.full(place[-1], 0x20, np.uint8)
-    inside = np.ones(place[-1], bool)
-    inside[place[1:] - 1] = False
-    mask = np.zeros(len(data) + 1, np.int8)
-    mask[starts] += 1
-    mask[ends] -= 1
-    spaced[inside] = data[np.cumsum(mask[:-1]).astype(bool)]
-    return spaced.tobytes(), place
+        counts = np.zeros(1 << room, np.uint8)
+        for raw in table.column("cells").to_pylist():
+            cells = np.frombuffer(raw, "<u4")
+            at = cells >> 1
+            counts[at] = np.minimum(counts[at] + 1 + (cells & 1), 2)
+        bits = np.packbits(counts >= 2, bitorder="little").view("<i8")
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.list_(pa.int64()))})
+
+    parts = docs.select("doc_id", "text").mapInArrow(partition, "block long, cells binary")
+    return parts.groupBy("block").applyInArrow(merge, "block long, bits array<long>")
 
 
 def _digests(text: bytes, place: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -128,42 +126,47 @@ def _digests(text: bytes, place: np.ndarray, first: np.ndarray, end: np.ndarray)
     return np.frombuffer(b"".join([digest(text[a:b]) for a, b in zip(place[first].tolist(), (place[end] - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
 
 
-def _segments(docs: DataFrame, bits, window: int, gram: int, width_log2: int, rounds: int, this: int) -> DataFrame:
-    """anchor, h1, h2, doc_id, row_key, start, n: runs of n windows of one anchor that is estimated repeated, with the digest of their words."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def test(rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        return (rows[(cells >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (cells & np.uint64(7))).astype(np.uint8)) & 1 == 1
+def segments(docs: DataFrame, window: int, gram: int, blocks_log2: int) -> DataFrame:
+    """anchor, block, one, two (its counters), h1, h2, doc_id, row_key, start, n: runs of n windows of one anchor with the digest of their words."""
 
     def batch_segments(batch):
-        held = shared.value
         ids, keys = batch.column("doc_id"), batch.column("row_key").to_numpy(zero_copy_only=False)
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
         for first, end, data, offsets in chunks(batch.column("text")):
-            starts, ends, rows, at, least = _anchors(data, offsets, window, gram)
-            if not len(at):
+            starts, ends, rows, begin, size, row, anchors = _runs(data, offsets, window, gram)
+            good = known[first:end][row]
+            if not good.any():
                 continue
-            row = rows[at]
-            change = np.empty(len(at), bool)
-            change[0], change[1:] = True, (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-            heads = np.flatnonzero(change)
-            size = np.diff(np.append(heads, len(at)))
-            values = least[heads]
-            one, two = _cells(values, width_log2)
-            good = test(held[0], one) & test(held[1], two) & known[first:end][row[heads]]
-            if rounds > 1:
-                good &= _slice(values, rounds) == this
-            heads, size, values = heads[good], size[good], values[good]
-            if not len(heads):
-                continue
-            begin, row = at[heads], row[heads]
-            found = _digests(*_spaced(data, starts, ends), begin, begin + size - 1 + window)
+            begin, size, row, anchors = begin[good], size[good], row[good], anchors[good]
+            block, one, two = cells_of(anchors, blocks_log2)
+            found = _digests(*spaced(data, starts, ends), begin, begin + size - 1 + window)
             yield pa.RecordBatch.from_pydict(
-                {"anchor": pa.array(values.view(np.int64)), "h1": pa.array(found[:, 0]), "h2": pa.array(found[:, 1]), "doc_id": pa.array(ids[first:end][row], pa.int64()), "row_key": pa.array(keys[first:end][row], pa.int64()), "start": pa.array((begin - np.searchsorted(rows, row)).astype(np.int32)), "n": pa.array(size.astype(np.int32))}
+                {
+                    "anchor": pa.array(anchors.view(np.int64)),
+                    "block": pa.array(block),
+                    "one": pa.array(one.astype(np.int32)),
+                    "two": pa.array(two.astype(np.int32)),
+                    "h1": pa.array(found[:, 0]),
+                    "h2": pa.array(found[:, 1]),
+                    "doc_id": pa.array(ids[first:end][row], pa.int64()),
+                    "row_key": pa.array(keys[first:end][row], pa.int64()),
+                    "start": pa.array((begin - np.searchsorted(rows, row)).astype(np.int32)),
+                    "n": pa.array(size.astype(np.int32)),
+                }
             )
 
-    return in_arrow(docs, batch_segments, "anchor long, h1 long, h2 long, doc_id long, row_key long, start int, n int")
+    return in_arrow(docs, batch_segments, "anchor long, block long, one int, two int, h1 long, h2 long, doc_id long, row_key long, start int, n int")
+
+
+def estimated_repeated(runs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The runs whose anchor has two counters of two or more."""
+
+    def twice(cell):
+        return F.getbit(F.get(F.col("bits"), F.shiftright(cell, 6)), F.col(cell).bitwiseAND(63)) == 1
+
+    named = blocks.withColumnRenamed("block", "of")
+    return runs.join(named, (F.col("block") == F.col("of")) & twice("one") & twice("two"), "left_semi").drop("block", "one", "two")
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -173,7 +176,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
         ids, keys, runs = (batch.column(x) for x in ("doc_id", "row_key", "open"))
         for first, end, data, offsets in chunks(batch.column("text")):
             starts, ends, rows = words(data, offsets)
-            text, place = _spaced(data, starts, ends)
+            text, place = spaced(data, starts, ends)
             heads = np.searchsorted(rows, np.arange(end - first))
             at = [np.concatenate([np.arange(x["start"], x["start"] + x["n"]) for x in runs[i].as_py()]) for i in range(first, end)]
             row = np.repeat(np.arange(end - first), [len(x) for x in at])
@@ -212,19 +215,12 @@ def _without(docs: DataFrame, window: int) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text", "hits"), cut, "doc_id long, text string, n_words long, n_removed long")
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16, max_width_log2: int = 29) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16) -> DataFrame:
     """doc_id, text (kept words with one space between), n_words, n_removed for every row of docs (doc_id, text)."""
     docs = with_row_key(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    anchors = max(1024, int(size / 6 * 2 / (window - gram + 2)))
-    width_log2 = min(max_width_log2, (ROOM * anchors - 1).bit_length())
-    rounds = -(-ROOM * anchors // (1 << width_log2))
-    every = None
-    for this in range(rounds):
-        bits = _sketch(docs, window, gram, width_log2, rounds, this)
-        found = _segments(docs, bits, window, gram, width_log2, rounds, this)
-        every = found if every is None else every.unionAll(found)
-    every = staged(every, "segments")
+    blocks_log2 = blocks_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, window, gram)
+    blocks = staged(sketch(docs, window, gram, blocks_log2), "sketch")
+    every = staged(estimated_repeated(segments(docs, window, gram, blocks_log2), blocks), "segments")
     # The same run in an earlier document: all its windows are there. A window's first document is the first holder of
     # the run it lies in, so only first holders are left, and of them only those whose anchor has other runs as well.
     runs = staged(every.groupBy("anchor", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "runs")
@@ -233,9 +229,10 @@ def remove_repeated_passages(docs: DataFrame, window: int = 50, gram: int = 16,
     runs = staged(runs.where("several or first < last").drop("last"), "repeated")
     judged = every.join(runs, ["h1", "h2"]).where("several or doc_id > first")
     judged = staged(judged.select("doc_id", "row_key", "start", "n", (F.col("doc_id") > F.col("first")).alias("gone")), "judged")
-    opened = judged.where("not gone").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("open"))
+    # sets: rows that repeat an id and its text have one list of runs between them
+    opened = judged.where("not gone").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n")).alias("open"))
     windows = staged(_windows(docs.join(opened, ["doc_id", "row_key"]), window), "windows")
     shared = staged(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "shared")
     single = windows.join(shared, ["h1", "h2"]).where("doc_id > first").select("doc_id", "row_key", "start", F.lit(1).alias("n"))
-    hits = judged.where("gone").drop("gone").unionAll(single).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
+    hits = judged.where("gone").drop("gone").unionAll(single).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("start", "n")).alias("hits"))
     return _without(docs.join(hits, ["doc_id", "row_key"], "left"), window)
