@@ -3,12 +3,13 @@
 A fingerprint is taken over the text with A-Z lower-cased, cut into words at white space and into `shingle`-word
 shingles, repeats included; a bit is 1 if it is set in over half of the shingles' XXH64 values.
 
-Method. Equal fingerprints are one. Of the 64 bits cut into `blocks` blocks, two fingerprints that differ in at most
-`distance` bits share at least blocks - distance whole blocks, so every choice of that many blocks gives a bucket key and
-each close pair meets in some bucket, where its Hamming distance is verified. A bucket gives the edges of a spanning
-forest, never all its pairs. Buckets of more than `bucket_limit` fingerprints are not brought to one task: their close
-pairs are found by the points within distance/2 bits of both, which are dealt out over all tasks. Components come from
-least-label propagation with pointer jumping over staged tables.
+Method. Equal fingerprints are one. Of the 64 bits cut into blocks, two fingerprints that differ in at most `distance` bits
+share at least blocks - distance whole blocks, so every choice of that many blocks gives a bucket key and each close pair
+meets in some bucket, where its Hamming distance is verified. There are as many blocks as give keys of about as many bits as
+the number of fingerprints has, so buckets stay small on average. A bucket of more than `bucket_limit` fingerprints is parted
+by the same rule: the bits outside its key are cut into blocks in their turn, and choices of these make longer keys. A bucket
+gives the edges of a spanning forest, never all its pairs. Components come from least-label propagation with pointer jumping
+over staged tables.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and is linked like any other; fewer
 words than a shingle make one shingle; a row without a doc_id takes part, but a component's id is its least doc_id that
@@ -80,11 +81,25 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def block_masks(blocks: int, distance: int) -> list[int]:
-    """The bits of every choice of blocks - distance blocks."""
-    cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    each = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [sum(x) for x in combinations(each, blocks - distance)]
+ALL = (1 << 64) - 1
+#: A bucket whose key leaves so few bits has few enough fingerprints.
+FEW_BITS = 14
+
+
+def block_masks(blocks: int, distance: int, mask: int = 0) -> list[int]:
+    """The mask and every choice of blocks - distance of the blocks that the other bits are cut into."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    cuts = [round(i * len(free) / blocks) for i in range(blocks + 1)]
+    each = [sum(free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [mask + sum(x) for x in combinations(each, blocks - distance)]
+
+
+def blocks_for(fingerprints: int, distance: int) -> int:
+    """The least number of blocks whose keys have as many bits as that number of fingerprints, and at least distance + 2."""
+    blocks = distance + 2
+    while 64 * (blocks - distance) / blocks < fingerprints.bit_length() - 1 and blocks < 4 * distance:
+        blocks += 1
+    return blocks
 
 
 def _forest(fps: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -106,7 +121,7 @@ def _forest(fps: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.n
 
 
 def _bucket_edges(distance: int, small: int = 8):
-    """For rows (bucket, part, fp) in the order of their keys: the edges within buckets."""
+    """For rows (mask, part, fp) in the order of their keys: the edges within buckets."""
 
     def edges(bucket, part, fp):
         change = np.empty(len(fp), bool)
@@ -133,7 +148,7 @@ def _bucket_edges(distance: int, small: int = 8):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(x).to_numpy() for x in ("bucket", "part")] + [batch.column("fp").to_numpy().view(np.uint64)]
+            now = [batch.column(x).to_numpy() for x in ("mask", "part")] + [batch.column("fp").to_numpy().view(np.uint64)]
             if held:
                 now = [np.concatenate([x[k] for x in held] + [now[k]]) for k in range(3)]
             last = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
@@ -147,39 +162,33 @@ def _bucket_edges(distance: int, small: int = 8):
     return run
 
 
-def _points(masks: list[int], distance: int):
-    """Rows (bucket, fp) to (bucket, point, fp) for the points within distance / 2 bits outside the bucket's own bits."""
-
-    def run(batches):
-        for batch in batches:
-            for bucket in np.unique(batch.column("bucket").to_numpy()) if batch.num_rows else ():
-                fps = batch.column("fp").to_numpy()[batch.column("bucket").to_numpy() == bucket].view(np.uint64)
-                free = [1 << i for i in range(64) if not masks[bucket] >> i & 1]
-                flips = np.array([0] + [sum(x) for k in range(1, (distance + 1) // 2 + 1) for x in combinations(free, k)], np.uint64)
-                for some in np.array_split(fps, max(1, len(fps) * len(flips) >> 20)):
-                    at = (some[:, None] ^ flips[None, :]).ravel()
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.full(len(at), bucket, np.int32)), "point": pa.array(at.view(np.int64)), "fp": pa.array(np.repeat(some, len(flips)).view(np.int64))})
-
-    return run
+def _keyed(keys: DataFrame) -> DataFrame:
+    return keys.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
 
 
-def close_edges(fps: DataFrame, distance: int = 4, blocks: int = 6, bucket_limit: int = 20000) -> DataFrame:
+def close_edges(fps: DataFrame, distance: int = 4, blocks: int | None = None, bucket_limit: int = 20000) -> DataFrame:
     """a, b: enough verified close pairs among the distinct fps (a column fp) to connect all that are connected."""
-    if distance % 2:
-        raise ValueError("distance must be even")
-    masks = block_masks(blocks, distance)
-    keys = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("bucket"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for i, m in enumerate(masks)])).alias("k"), "fp").select("k.bucket", "k.part", "fp")
-    hot = staged(keys.groupBy("bucket", "part").count().where(F.col("count") > bucket_limit).select("bucket", "part"), "hot_buckets")
-    any_hot = not hot.isEmpty()
-    cold = keys.join(hot, ["bucket", "part"], "left_anti") if any_hot else keys
-    dealt = cold.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "fp")
-    edges = dealt.mapInArrow(_bucket_edges(distance), "a long, b long")
-    if any_hot:
-        points = staged(keys.join(hot, ["bucket", "part"], "left_semi").select("bucket", "fp").mapInArrow(_points(masks, distance), "bucket int, point long, fp long"), "points")
-        least = staged(points.groupBy("bucket", "point").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").drop("top"), "point_least")
-        met = points.join(least, ["bucket", "point"]).where("fp > b").select(F.col("fp").alias("a"), "b")
-        edges = edges.unionAll(met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-    return edges.distinct()
+    spark = fps.sparkSession
+    masks = block_masks(blocks or blocks_for(fps.count(), distance), distance)
+    keys = _keyed(fps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp"))
+    edges = None
+    while True:
+        parted = [m for m in masks if 64 - m.bit_count() > FEW_BITS]
+        hot = keys.where(F.col("mask").isin([_signed(m) for m in parted])).groupBy("mask", "part").count().where(F.col("count") > bucket_limit)
+        hot = staged(hot.select("mask", "part"), "hot_buckets")
+        any_hot = not hot.isEmpty()
+        cold = keys.join(hot, ["mask", "part"], "left_anti") if any_hot else keys
+        dealt = cold.repartition("mask", "part").sortWithinPartitions("mask", "part", "fp")
+        found = dealt.mapInArrow(_bucket_edges(distance), "a long, b long")
+        edges = found if edges is None else edges.unionAll(found)
+        if not any_hot:
+            return edges.distinct()
+        wide = [r["mask"] for r in hot.select("mask").distinct().collect()]  # of the masks, whose number the distance bounds
+        finer = {m: block_masks(distance + 2, distance, m & ALL) for m in wide}
+        masks = sorted({x for row in finer.values() for x in row})
+        table = spark.createDataFrame([(m, [_signed(x) for x in row]) for m, row in finer.items()], "mask long, finer array<long>")
+        again = keys.join(hot, ["mask", "part"], "left_semi").join(F.broadcast(table), "mask")
+        keys = _keyed(staged(again.select(F.explode("finer").alias("mask"), "fp").distinct(), "finer_keys"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -203,7 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def fingerprint_components(marked: DataFrame, distance: int, blocks: int, bucket_limit: int) -> DataFrame:
+def fingerprint_components(marked: DataFrame, distance: int, blocks: int | None, bucket_limit: int) -> DataFrame:
     """fp, component_id for every distinct fp of the rows (doc_id, fp)."""
     first = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct_fp")
     labels = components(close_edges(first.select("fp"), distance, blocks, bucket_limit))
@@ -214,14 +223,14 @@ def fingerprint_components(marked: DataFrame, distance: int, blocks: int, bucket
     return staged(linked.unionAll(single), "fp_component")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6, bucket_limit: int = 20000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int | None = None, bucket_limit: int = 20000) -> DataFrame:
     """doc_id, fp, component_id for every row of docs (doc_id, text)."""
     marked = staged(fingerprints(docs, shingle), "fingerprints")
     every = fingerprint_components(marked, distance, blocks, bucket_limit)
     return marked.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int = 6, bucket_limit: int = 20000) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, blocks: int | None = None, bucket_limit: int = 20000) -> DataFrame:
     """The rows of docs, with all their columns, that stay when every component keeps the row with its least doc_id (a row
     without one only if no other is there, and of several such rows the one whose text has the least hash)."""
     keyed = with_row_key(docs)

@@ -72,3 +72,42 @@ def test_chain_of_near_fingerprints(spark):
 def test_large_bucket_gives_few_edges(spark):
     fps = spark.range(4096).selectExpr("id * 1099511627776 as fp")
     assert S.close_edges(fps).count() < 15 * 4096
+
+
+@pytest.mark.parametrize("blocks,limit", [(None, 20000), (7, 20000), (8, 20000), (None, 20), (8, 20)])
+def test_links_of_crowded_fingerprints(spark, blocks, limit):
+    """Fingerprints in clusters and with common bits, so that keys have large buckets: the same components as by comparing all."""
+    rng = random.Random(9)
+    fps = set()
+    for _ in range(8):
+        middle = rng.getrandbits(64)
+        for _ in range(40):
+            fps.add(middle ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))))
+    fps |= {rng.getrandbits(30) for _ in range(200)}
+    fps = sorted(fps)
+    label = {x: x for x in fps}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 4:
+                label[find(x)] = find(y)
+    want = {}
+    for x in fps:
+        want.setdefault(find(x), set()).add(x)
+    frame = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
+    got = {}
+    for r in S.components(S.close_edges(frame, blocks=blocks, bucket_limit=limit)).collect():
+        got.setdefault(r.label, set()).add(r.node % (1 << 64))
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+def test_keys_grow_with_the_corpus():
+    assert [S.blocks_for(n, 4) for n in (0, 1, 1 << 20, 1 << 22, 1 << 27, 10**10, 10**12)] == [6, 6, 6, 7, 7, 9, 11]
+    for mask in S.block_masks(6, 4)[:3]:
+        finer = S.block_masks(6, 4, mask)
+        assert len(finer) == 15 and all(x & mask == mask and x.bit_count() > mask.bit_count() for x in finer)
