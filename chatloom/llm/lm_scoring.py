@@ -114,19 +114,24 @@ def vocabulary_of(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(top.toArrow().column("key").to_numpy().view(np.uint64))  # `size` numbers
 
 
+def _known(hashes: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """The hashes, with OTHER for those that a vocabulary has not."""
+    if known is None or not len(known):
+        return hashes
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, hashes, OTHER)
+
+
 def _tokens(column: pa.ChunkedArray, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, hash and hash of the token before, for all tokens of the texts."""
-    of, hashes, first_row = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    of, hashes, first_row = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], 0
     for part in column.chunks:
         for first, _, data, offsets in chunks(part):
             rows, found = _hashed(data, offsets)
-            of.append(rows + first + first_row)
+            of.append((rows + (first + first_row)).astype(np.int32))
             hashes.append(found)
         first_row += len(part)
-    of, hashes = np.concatenate(of), np.concatenate(hashes)
-    if known is not None and len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hashes = np.where(known[at] == hashes, hashes, OTHER)
+    of, hashes = np.concatenate(of), _known(np.concatenate(hashes), known)
     before = np.full(len(hashes), START, np.uint64)
     before[1:] = np.where(of[1:] == of[:-1], hashes[:-1], START)
     return of, hashes, before
@@ -185,11 +190,12 @@ def totals_of(rows: DataFrame, known) -> tuple[int, dict[int, tuple[int, int]]]:
 
         for batch in batches:
             part = batch.column("fold").to_numpy().astype(np.int64) * 2 + batch.column("target").to_numpy(zero_copy_only=False)
-            of, hashes, _ = _tokens(pa.chunked_array([batch.column("text")]), known and known.value)
-            parts += np.bincount(part[of], minlength=2 * FOLDS)
-            tally.add(_keys(hashes, WORD).view(np.int64))
-            if tally.full():
-                yield out()
+            for first, _, data, offsets in chunks(batch.column("text")):
+                of, hashes = _hashed(data, offsets)
+                parts += np.bincount(part[of + first], minlength=2 * FOLDS)
+                tally.add(_keys(_known(hashes, known and known.value), WORD).view(np.int64))
+                if tally.full():
+                    yield out()
         yield out()
         yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(parts), pa.int64()), "part": pa.array(range(len(parts)), pa.int32()), "n": pa.array(parts)})
 
@@ -210,8 +216,9 @@ def counted(rows: DataFrame, known, buckets: int) -> DataFrame:
         target = table.column("target").to_numpy()[of]
         keys = _group_keys(after, before)
         every, good = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for found in (_pairs(before, after), _keys(after, WORD), _keys(before, AHEAD)):
-            for sums, (key, n) in ((every, np.unique(found, return_counts=True)), (good, np.unique(found[target], return_counts=True))):
+        for found in (lambda: _pairs(before, after), lambda: _keys(after, WORD), lambda: _keys(before, AHEAD)):  # one at a time, for memory
+            for sums, some in ((every, slice(None)), (good, target)):
+                key, n = np.unique(found()[some], return_counts=True)
                 sums[np.searchsorted(keys, key)] = n
         bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
@@ -249,7 +256,7 @@ def _losses(count, word, ahead, total, scale: float, size: int, word_weight: flo
     return -np.log((count * scale + pair_weight * unigram) / (ahead * scale + pair_weight))
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None, word_weight: float = 100.0, pair_weight: float = 50.0, broadcast_ids: int = 1 << 20, group_bytes: int = 1 << 24) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocabulary: int | None = None, word_weight: float = 100.0, pair_weight: float = 50.0, broadcast_ids: int = 1 << 20, group_bytes: int = 12 << 20) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score for every row of docs (doc_id, text)."""
     known = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(vocabulary_of(docs, vocabulary))
     total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
