@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from chatloom.plans.oracles import ORACLE_SQL
+from chatloom.plans import workflow_queries
+from chatloom.plans.oracles import ORACLE_SQL as BROWSE_SQL
 from chatloom.plans.queries import QUERIES
+from chatloom.plans.workflow_oracles import ORACLE_SQL as WORKFLOW_SQL
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+ORACLE_SQL = BROWSE_SQL | WORKFLOW_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES", "workflow_queries"]

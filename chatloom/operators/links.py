@@ -74,14 +74,32 @@ def active_counts(places: DataFrame, tasks: DataFrame) -> DataFrame:
     return places.join(open_, F.col("place_id") == F.col("location_id"), "left").select("place_id", "name", F.coalesce("active", F.lit(0)).alias("active"))
 
 
-def name_matches(names: DataFrame, places: DataFrame, name: str, place: str, order: str) -> DataFrame:
-    """Each name's first place, by `order`, where either holds the other. No key can do that join; places are a table of the
-    user's own, and one that is too large to be broadcast is refused."""
-    if places.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"more than {SMALL} places")
-    a, b = text_key(F.col(name)), text_key(F.col(place))
-    distinct = names.select(name).where(F.col(name).isNotNull()).distinct()
-    met = distinct.join(F.broadcast(places), (F.length(a) > 0) & (F.length(b) > 0) & (F.contains(a, b) | F.contains(b, a)))
+def names_containing(names: DataFrame, known: DataFrame, name: str, other: str, small: int = SMALL) -> DataFrame:
+    """The distinct names with every row of `known` whose own name (`other`) holds the name or is held by it.
+
+    A table of at most `small` rows is broadcast. Beyond, each side is asked for all substrings of the other side's lengths, so
+    the join is one of equal strings."""
+    asked = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("a", text_key(F.col(name))).where("a <> ''")
+    held = known.withColumn("b", text_key(F.col(other))).where("b <> ''")
+    if known.limit(small + 1).count() <= small:
+        return asked.join(F.broadcast(held), F.contains("a", "b") | F.contains("b", "a")).drop("a", "b")
+
+    def parts(text: str, lengths: list[int]):
+        """All distinct substrings of the given lengths."""
+        every = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths]
+        return F.explode(F.array_distinct(F.concat(*every)))
+
+    def lengths(rows: DataFrame, column: str) -> list[int]:
+        return sorted(r["n"] for r in rows.select(F.length(column).alias("n")).distinct().collect())  # as many as a name is long
+
+    inner = asked.select(name, parts("a", lengths(held, "b")).alias("b")).join(held, "b").drop("b")
+    outer = held.select(*known.columns, F.col("b").alias("whole"), parts("b", lengths(asked, "a")).alias("a")).where("a <> whole").join(asked, "a")
+    return inner.select(name, *known.columns).unionAll(outer.select(name, *known.columns))
+
+
+def name_matches(names: DataFrame, places: DataFrame, name: str, place: str, order: str, small: int = SMALL) -> DataFrame:
+    """Each name's first place, by `order`, where either holds the other."""
+    met = names_containing(names, places.select(place, order), name, place, small)
     return met.groupBy(name).agg(F.min_by(place, order).alias(place), F.min(order).alias(order))
 
 
