@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.functions.claims import eligible
 from chatloom.functions.columns import text_key
 
 RECENT_DAYS, WORKSET, SOURCES = 30, 96, 12
@@ -53,8 +54,9 @@ def best_each_month(claims: DataFrame, *by: str) -> DataFrame:
 
 
 def workset(claims: DataFrame, as_of: str, limit: int = WORKSET, by: str = "person_id") -> DataFrame:
-    """At most `limit` claims a person, in time order, filled in passes: events by score to the first quota, then the best of
-    each month, recent ones, repeated ones (`strength`), all. claims: by, kind, observed_ts, source_id, score, strength.
+    """At most `limit` claims a person, in time order, filled in passes: events and claims of boundaries and interaction by score
+    to the first quota, then the best of each month, recent ones, repeated ones (`strength`), all. The first three take only
+    what may go into a portrait. claims: by, kind, category, observed_ts, source_id, score, strength.
 
     A claim belongs to the first pass that reaches it, and a pass takes what its quota leaves room for: five windows over
     each person's claims, no loop over rows."""
@@ -62,11 +64,12 @@ def workset(claims: DataFrame, as_of: str, limit: int = WORKSET, by: str = "pers
     person = Window.partitionBy(by)
     rows = claims.withColumn("place", F.row_number().over(person.orderBy(*time))).withColumn("total", F.count("*").over(person))
     month = F.coalesce(F.date_format("observed_ts", "yyyy-MM"), F.concat(F.lit("undated-"), F.col("place").cast("string")))
-    rows = rows.withColumn("month", month).withColumn("best", F.row_number().over(Window.partitionBy(by, "month").orderBy(F.desc("score"), "place")) == 1)
+    rows = rows.withColumn("month", month).withColumn("fit", eligible(F.col("category")))
+    rows = rows.withColumn("best", F.col("fit") & (F.row_number().over(Window.partitionBy(by, "month").orderBy(F.desc("fit"), F.desc("score"), "place")) == 1))
     passes = [
-        (F.col("kind") == "event", [F.desc("score"), F.desc("place")]),
+        (F.col("fit") & ((F.col("kind") == "event") | F.col("category").isin("boundary", "interaction")), [F.desc("score"), F.desc("place")]),
         (F.col("best"), [F.asc("place")]),
-        (scope(F.col("observed_ts"), as_of) == "recent", [F.desc("score"), F.desc("place")]),
+        (F.col("fit") & (scope(F.col("observed_ts"), as_of) == "recent"), [F.desc("score"), F.desc("place")]),
         (F.col("strength") == "repeated", [F.desc("score"), F.desc("place")]),
         (F.lit(True), [F.desc("score"), F.asc("place")]),
     ]
@@ -77,7 +80,7 @@ def workset(claims: DataFrame, as_of: str, limit: int = WORKSET, by: str = "pers
         turn = F.sum(open_.cast("int")).over(Window.partitionBy(by).orderBy(F.when(open_, 0).otherwise(1), *order).rowsBetween(Window.unboundedPreceding, 0))
         rows = rows.withColumn("so_far", so_far).withColumn("turn", turn)
         rows = rows.withColumn("taken", F.col("taken") | (open_ & (F.col("so_far") + F.col("turn") <= int(limit * quota + 1e-9)))).drop("so_far", "turn")
-    return rows.where("taken").drop("taken", "total", "best", "month")
+    return rows.where("taken").drop("taken", "total", "best", "month", "fit")
 
 
 def verified(claims: DataFrame, messages: DataFrame) -> DataFrame:

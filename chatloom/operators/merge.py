@@ -59,17 +59,38 @@ def conflicts(a: str, b: str) -> Column:
 
 
 def duplicate_pairs(candidates: DataFrame) -> DataFrame:
-    """first, second: candidates that are the same task. Both keys equal, or one equal and a message cited by both.
-
-    Pairs meet by (title and description) or by (source and title) or (source and description); none is compared with all."""
-    rows = candidates.withColumn("t", compact_key(F.col("title"))).withColumn("d", compact_key(F.col("description")))
-    one = rows.select(F.struct(*rows.columns).alias("a"), "t", "d", "source_id")
-    two = rows.select(F.struct(*rows.columns).alias("b"), "t", "d", "source_id")
+    """first, second, link: candidates that are the same task. Both keys equal, or one equal and a message cited by both.
+
+    Candidates that agree in all that is compared are a class, whose first is its representative: links of kind `member` name
+    it for the others, and links of kind `same` are between representatives. So a title that many have gives no pair for
+    each two of them. Classes meet by (title and description), by (source and title) or by (source and description)."""
+    rows = keyed(candidates)
+    said = ["start_at", "place", "location_precision"]
+    classes = ["t", "d", "source_id", *said]
+    same = F.lit(True)
+    for c in said:
+        same = same & F.col(c).eqNullSafe(F.col(f"first_{c}"))
+    first = rows.groupBy(*classes).agg(F.min_by("id", "ord").alias("first"), F.min("ord").alias("ord"))
+    of = first.select("t", "d", "source_id", *[F.col(c).alias(f"first_{c}") for c in said], "first")
+    members = rows.join(of, ["t", "d", "source_id"]).where(same & (F.col("first") != F.col("id"))).select("first", F.col("id").alias("second"), F.lit("member").alias("link"))
     met = None
     for keys in (["t", "d"], ["source_id", "t"], ["source_id", "d"]):
-        part = one.select("a", *keys).join(two.select("b", *keys), keys).where("a.ord < b.ord").select("a", "b")
+        # of what these keys and the sayings do not tell apart, one class speaks for all; the others are linked to it
+        alike = first.groupBy(*keys, *said).agg(F.min_by("first", "ord").alias("id"), F.min("ord").alias("ord"))
+        one = alike.select(*keys, F.struct("id", "ord", *said).alias("a"))
+        two = alike.select(*keys, F.struct("id", "ord", *said).alias("b"))
+        across = one.join(two, keys).where("a.ord < b.ord").where(~F.coalesce(conflicts("a", "b"), F.lit(False))).select(F.col("a.id").alias("first"), F.col("b.id").alias("second"))
+        spoken = alike.select(*keys, *[F.col(c).alias(f"first_{c}") for c in said], F.col("id").alias("speaker"))
+        within = first.join(spoken, keys).where(same & (F.col("first") != F.col("speaker"))).select(F.col("speaker").alias("first"), F.col("first").alias("second"))
+        part = across.unionAll(within)
         met = part if met is None else met.unionAll(part)
-    return met.where(~conflicts("a", "b")).select(F.col("a.id").alias("first"), F.col("b.id").alias("second")).distinct()
+    return met.distinct().select("first", "second", F.lit("same").alias("link")).unionAll(members)
+
+
+def keyed(candidates: DataFrame) -> DataFrame:
+    """candidates with t and d, the keys of title and description; a null one has a key of its own, so it equals no other."""
+    own = F.concat(F.lit("\0"), F.col("id"))
+    return candidates.withColumn("t", F.coalesce(compact_key(F.col("title")), own)).withColumn("d", F.coalesce(compact_key(F.col("description")), own))
 
 
 def merged_candidates(candidates: DataFrame) -> DataFrame:
@@ -80,7 +101,7 @@ def merged_candidates(candidates: DataFrame) -> DataFrame:
     large; it is streamed in order, with the merged candidates of the block as state."""
     from chatloom.operators.blocks import connected
 
-    rows = candidates.withColumn("t", compact_key(F.col("title"))).withColumn("d", compact_key(F.col("description")))
+    rows = keyed(candidates).withColumn("description", F.coalesce("description", F.lit("")))
     edges = rows.select(F.concat(F.lit("t:"), "t").alias("a"), F.concat(F.lit("d:"), "d").alias("b")).distinct()
     blocks = connected(edges)
     rows = rows.join(blocks.withColumnRenamed("node", "key"), F.concat(F.lit("t:"), F.col("t")) == F.col("key")).drop("key")

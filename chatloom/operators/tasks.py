@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import blank_as_null, compact_key, fnv1a36
+from chatloom.functions.columns import blank_as_null, fnv1a36
 from chatloom.operators.links import name_matches, names_containing
-from chatloom.operators.merge import conflicts
+from chatloom.operators.merge import conflicts, keyed
 from chatloom.operators.segments import placed
 
 # Limits and marks.
@@ -53,10 +53,10 @@ def not_known_yet(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
     Three anti-joins by keys, as of `merge.duplicate_pairs`; of existing ones that no comparison tells apart, one is asked."""
     said = ["start_at", "place", "location_precision"]
-    keyed = [df.withColumn("t", compact_key(F.col("title"))).withColumn("d", compact_key(F.col("description"))) for df in (incoming, existing)]
-    left = keyed[0].withColumn("a", F.struct(*said))
+    both = [keyed(df) for df in (incoming, existing)]
+    left = both[0].withColumn("a", F.struct(*said))
     for keys in (["t", "d"], ["source_id", "t"], ["source_id", "d"]):
-        others = keyed[1].select(*keys, *said).distinct().select(*[F.col(k).alias(f"other_{k}") for k in keys], F.struct(*said).alias("b"))
+        others = both[1].select(*keys, *said).distinct().select(*[F.col(k).alias(f"other_{k}") for k in keys], F.struct(*said).alias("b"))
         same = F.lit(True)
         for k in keys:
             same = same & (F.col(k) == F.col(f"other_{k}"))

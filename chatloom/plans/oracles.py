@@ -39,17 +39,19 @@ FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 CLAIM = f"""claim AS (
 SELECT concat('peer-', conv_id % 7) AS person_id, CASE turn % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' ELSE 'event' END AS kind,
-       lower(substring(text, 1, 3)) AS claim_key, concat('m-', conv_id, '-', turn) AS source_id, {_AT} AS observed_ts, CAST(length(text) % 17 AS BIGINT) AS score
-FROM conversations WHERE role = 'assistant')"""
+       lower(text) AS claim_key, concat('m-', conv_id, '-', turn + again) AS source_id, {_AT} + to_days(CAST(again * 20 * (1 + conv_id % 2) AS INT)) AS observed_ts, CAST(length(text) % 17 AS BIGINT) AS score
+FROM (SELECT *, unnest(range(0, turn % 3 + 1)) AS again FROM conversations WHERE role = 'assistant'))"""
 
 CANDIDATE = """candidate AS (
-SELECT concat('c-', conv_id, '-', turn) AS id, CAST(conv_id * 100 + turn AS BIGINT) AS ord, substring(text, 1, 2) AS title,
-       concat('About ', substring(text, 1, CAST(1 + turn % 2 AS INT))) AS description, concat('m-', conv_id, '-', turn - turn % 2) AS source_id,
-       CASE WHEN turn % 3 = 0 THEN NULL ELSE concat('2024-01-0', 1 + conv_id % 2) END AS start_at,
-       CASE WHEN turn % 4 = 0 THEN NULL WHEN conv_id % 5 = 0 THEN 'North Library' ELSE 'Library' END AS place,
-       CASE WHEN turn % 2 = 0 THEN 'exact' ELSE 'approximate' END AS location_precision,
-       CASE turn % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'dismissed' ELSE 'created' END AS status
-FROM conversations)"""
+SELECT concat('c-', conv_id, '-', turn, '-', pass) AS id, CAST(conv_id * 1000 + turn * 10 + pass AS BIGINT) AS ord, CASE pass WHEN 1 THEN concat(first, '!') WHEN 3 THEN concat('Again ', first) ELSE first END AS title,
+       CASE pass WHEN 2 THEN concat('About ', first) ELSE substring(text, length(first) + 1) END AS description, concat('m-', conv_id, '-', turn + CASE WHEN pass = 1 THEN turn % 2 ELSE 0 END) AS source_id,
+       CASE WHEN (turn + pass) % 3 = 0 THEN NULL ELSE concat('2024-01-0', 1 + (conv_id * pass) % 2) END AS start_at,
+       CASE WHEN (turn + pass) % 4 = 0 THEN NULL WHEN (conv_id + pass) % 5 = 0 THEN 'North Library' WHEN (conv_id + pass) % 5 = 1 THEN 'Gym' ELSE 'Library' END AS place,
+       CASE WHEN (turn + pass) % 2 = 0 THEN 'exact' ELSE 'approximate' END AS location_precision,
+       CASE (turn + pass) % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'dismissed' ELSE 'created' END AS status
+FROM (SELECT *, split_part(text, '.', 1) AS first, unnest([0, 1, 2, 3]) AS pass FROM conversations))"""
+
+KEYED_CANDIDATE = CANDIDATE + """, k AS (SELECT *, lower(regexp_replace(title, '[\\p{P}\\p{S}\\s]+', '', 'g')) AS t, lower(regexp_replace(description, '[\\p{P}\\p{S}\\s]+', '', 'g')) AS d, replace(lower(coalesce(place, '')), ' ', '') AS p FROM candidate)"""
 
 INDEX = f"""WITH {MESSAGE},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY captured_ts NULLS LAST, id) AS nth,
@@ -176,13 +178,13 @@ ORACLE_SQL = {
           CASE WHEN bool_and(v = 'rejected') THEN 'rejected' WHEN bool_or(v = 'needs-review') THEN 'needs-review' WHEN count(DISTINCT participant) >= 2 THEN 'corroborated' ELSE 'single-source' END AS state FROM o GROUP BY source_id""",
     "best_claim_per_month": f"""WITH {CLAIM}, r AS (SELECT *, strftime(observed_ts, '%Y-%m') AS month FROM claim)
         SELECT person_id, month, source_id, score FROM (SELECT *, row_number() OVER (PARTITION BY person_id, month ORDER BY score DESC, observed_ts, source_id) AS nth FROM r) WHERE nth = 1""",
-    "profile_workset": f"""WITH {CLAIM}, r AS (SELECT *, CASE WHEN score % 4 = 0 THEN 'repeated' ELSE 'single' END AS strength, row_number() OVER (PARTITION BY person_id ORDER BY observed_ts, source_id) AS place,
+    "profile_workset": f"""WITH {CLAIM}, r AS (SELECT *, CASE WHEN score % 4 = 0 THEN 'repeated' ELSE 'single' END AS strength, score % 6 <> 2 AS fit, score % 6 < 2 AS near, row_number() OVER (PARTITION BY person_id ORDER BY observed_ts, source_id) AS place,
           count(*) OVER (PARTITION BY person_id) AS total FROM claim),
-        m AS (SELECT *, row_number() OVER (PARTITION BY person_id, strftime(observed_ts, '%Y-%m') ORDER BY score DESC, place) = 1 AS best FROM r),
-        one AS (SELECT person_id, place FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY score DESC, place DESC) AS k FROM m WHERE total > 20 AND kind = 'event') WHERE k <= 8),
+        m AS (SELECT *, row_number() OVER (PARTITION BY person_id, strftime(observed_ts, '%Y-%m') ORDER BY fit DESC, score DESC, place) = 1 AND fit AS best FROM r),
+        one AS (SELECT person_id, place FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY score DESC, place DESC) AS k FROM m WHERE total > 20 AND fit AND (kind = 'event' OR near)) WHERE k <= 8),
         two AS (SELECT * FROM one UNION ALL SELECT person_id, place FROM (SELECT m.*, row_number() OVER (PARTITION BY person_id ORDER BY place) AS k FROM m WHERE total > 20 AND best AND (person_id, place) NOT IN (SELECT (person_id, place) FROM one)) x
           WHERE k + (SELECT count(*) FROM one WHERE one.person_id = x.person_id) <= 12),
-        three AS (SELECT * FROM two UNION ALL SELECT person_id, place FROM (SELECT m.*, row_number() OVER (PARTITION BY person_id ORDER BY score DESC, place DESC) AS k FROM m WHERE total > 20 AND observed_ts >= TIMESTAMP '2024-01-20' - INTERVAL 30 DAY AND (person_id, place) NOT IN (SELECT (person_id, place) FROM two)) x
+        three AS (SELECT * FROM two UNION ALL SELECT person_id, place FROM (SELECT m.*, row_number() OVER (PARTITION BY person_id ORDER BY score DESC, place DESC) AS k FROM m WHERE total > 20 AND fit AND observed_ts >= TIMESTAMP '2024-01-20' - INTERVAL 30 DAY AND (person_id, place) NOT IN (SELECT (person_id, place) FROM two)) x
           WHERE k + (SELECT count(*) FROM two WHERE two.person_id = x.person_id) <= 15),
         four AS (SELECT * FROM three UNION ALL SELECT person_id, place FROM (SELECT m.*, row_number() OVER (PARTITION BY person_id ORDER BY score DESC, place DESC) AS k FROM m WHERE total > 20 AND strength = 'repeated' AND (person_id, place) NOT IN (SELECT (person_id, place) FROM three)) x
           WHERE k + (SELECT count(*) FROM three WHERE three.person_id = x.person_id) <= 17),
@@ -197,9 +199,18 @@ ORACLE_SQL = {
     "three_way_set": f"{THREE} SELECT id FROM ids WHERE (m AND NOT (b AND NOT l)) OR (l AND NOT b)",
     "three_way_map": f"{THREE} SELECT id, CASE WHEN l AND (NOT b OR bv <> lv) THEN lv ELSE mv END AS value FROM ids WHERE NOT (b AND NOT l) AND ((l AND (NOT b OR bv <> lv)) OR m)",
     "manual_retain": f"""WITH {MESSAGE} SELECT id, source, status FROM message WHERE source = 'journal' UNION ALL SELECT id, source, 'imported' FROM message WHERE length(id) % 2 = 0 AND source <> 'journal'""",
-    "candidate_dup_pairs": f"""WITH {CANDIDATE}, k AS (SELECT *, lower(regexp_replace(title, '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')) AS t, lower(regexp_replace(description, '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')) AS d, replace(lower(coalesce(place, '')), ' ', '') AS p FROM candidate)
-        SELECT a.id AS first, b.id AS second FROM k a JOIN k b ON a.ord < b.ord AND ((a.t = b.t AND a.d = b.d) OR (a.source_id = b.source_id AND (a.t = b.t OR a.d = b.d)))
-        WHERE NOT coalesce(a.start_at <> b.start_at, false) AND NOT (a.p <> '' AND b.p <> '' AND NOT contains(a.p, b.p) AND NOT contains(b.p, a.p) AND a.location_precision = 'exact' AND b.location_precision = 'exact')""",
+    "candidate_dup_pairs": f"""WITH {KEYED_CANDIDATE}, c AS (SELECT t, d, p, source_id, start_at, place, location_precision, min(ord) AS ord, arg_min(id, ord) AS first FROM k GROUP BY ALL),
+        td AS (SELECT t, d, p, start_at, place, location_precision, min(ord) AS ord, arg_min(first, ord) AS id FROM c GROUP BY ALL), st AS (SELECT source_id, t, p, start_at, place, location_precision, min(ord) AS ord, arg_min(first, ord) AS id FROM c GROUP BY ALL),
+        sd AS (SELECT source_id, d, p, start_at, place, location_precision, min(ord) AS ord, arg_min(first, ord) AS id FROM c GROUP BY ALL),
+        met AS (SELECT a.id AS first, b.id AS second, a.start_at AS s1, b.start_at AS s2, a.p AS p1, b.p AS p2, a.location_precision AS l1, b.location_precision AS l2 FROM td a JOIN td b USING (t, d) WHERE a.ord < b.ord
+          UNION ALL SELECT a.id, b.id, a.start_at, b.start_at, a.p, b.p, a.location_precision, b.location_precision FROM st a JOIN st b USING (source_id, t) WHERE a.ord < b.ord
+          UNION ALL SELECT a.id, b.id, a.start_at, b.start_at, a.p, b.p, a.location_precision, b.location_precision FROM sd a JOIN sd b USING (source_id, d) WHERE a.ord < b.ord),
+        links AS (SELECT first, second FROM met WHERE NOT coalesce(s1 <> s2, false) AND NOT (p1 <> '' AND p2 <> '' AND NOT contains(p1, p2) AND NOT contains(p2, p1) AND l1 = 'exact' AND l2 = 'exact')
+          UNION SELECT x.id, c.first FROM c JOIN td x ON x.t = c.t AND x.d = c.d AND x.start_at IS NOT DISTINCT FROM c.start_at AND x.place IS NOT DISTINCT FROM c.place AND x.location_precision = c.location_precision WHERE x.id <> c.first
+          UNION SELECT x.id, c.first FROM c JOIN st x ON x.t = c.t AND x.source_id = c.source_id AND x.start_at IS NOT DISTINCT FROM c.start_at AND x.place IS NOT DISTINCT FROM c.place AND x.location_precision = c.location_precision WHERE x.id <> c.first
+          UNION SELECT x.id, c.first FROM c JOIN sd x ON x.d = c.d AND x.source_id = c.source_id AND x.start_at IS NOT DISTINCT FROM c.start_at AND x.place IS NOT DISTINCT FROM c.place AND x.location_precision = c.location_precision WHERE x.id <> c.first)
+        SELECT first, second, 'same' AS link FROM links
+        UNION ALL SELECT c.first, k.id, 'member' FROM k JOIN c ON c.t = k.t AND c.d = k.d AND c.source_id = k.source_id AND c.start_at IS NOT DISTINCT FROM k.start_at AND c.place IS NOT DISTINCT FROM k.place AND c.location_precision = k.location_precision WHERE k.id <> c.first""",
     "candidate_gate_counts": f"""WITH {MESSAGE}, {CANDIDATE}, c AS (SELECT id, title, description, source_id, CASE WHEN ord % 3 = 0 THEN NULL ELSE start_at END AS start_at, CASE WHEN ord % 5 = 0 THEN '2024-01-30' END AS due_at FROM candidate),
         j AS (SELECT c.*, m.id AS mid, speaker_role, captured_ts, content FROM c LEFT JOIN message m ON m.id = c.source_id),
         g AS (SELECT CASE WHEN mid IS NULL THEN 'evidence' WHEN NOT (speaker_role = 'self') THEN 'ownership' WHEN captured_ts IS NULL THEN 'time' WHEN length(trim(title)) < 2 OR length(trim(description)) < 2 THEN 'shape'

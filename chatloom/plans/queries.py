@@ -359,6 +359,7 @@ def best_claim_per_month(spark, sf_dir):
 @query
 def profile_workset(spark, sf_dir):
     rows = adapted.claim(spark, sf_dir).withColumn("strength", F.when(F.col("score") % 4 == 0, "repeated").otherwise("single"))
+    rows = rows.withColumn("category", F.when(F.col("score") % 6 == 0, "boundary").when(F.col("score") % 6 == 1, "interaction").when(F.col("score") % 6 == 2, "temporary").otherwise("preference"))
     return evidence.workset(rows, AS_OF, limit=20).select("person_id", "source_id", F.col("place").cast("long").alias("place"))
 
 
@@ -403,7 +404,7 @@ def manual_retain(spark, sf_dir):
 
 @query
 def candidate_dup_pairs(spark, sf_dir):
-    return merge.duplicate_pairs(adapted.candidate(spark, sf_dir).where("title IS NOT NULL"))
+    return merge.duplicate_pairs(adapted.candidate(spark, sf_dir))
 
 
 @query

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of the workflows."""
 
-from chatloom.plans.oracles import CANDIDATE, CLAIM, EVENT, MESSAGE, TASK
+from chatloom.plans.oracles import CANDIDATE, CLAIM, EVENT, KEYED_CANDIDATE, MESSAGE, TASK
 
 
 def fnv(text: str) -> str:
@@ -62,7 +62,7 @@ ORACLE_SQL = {
           concat('药物：', CASE event_id % 4 WHEN 0 THEN '是' WHEN 1 THEN '否' WHEN 2 THEN '减量' ELSE '未记录' END), concat('酒精：', CASE event_id % 3 WHEN 0 THEN '无' WHEN 1 THEN '多' ELSE '未记录' END),
           CASE WHEN event_id % 2 = 0 THEN concat('主要在做：', event_type) END, CASE WHEN event_id % 5 = 0 THEN '一句话：note' END)) AS content, concat(date, 'T12:00:00') AS captured_at FROM c""",
     "candidates_normalized": f"{RAW} SELECT id, length(title) AS title, length(description) AS description, concat(s1, ',', s2) AS source_ids, array_to_string(people, ',') AS people, tags, place, location_precision, radius FROM cand",
-    "new_candidates": f"""WITH {CANDIDATE}, k AS (SELECT *, lower(regexp_replace(title, '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')) AS t, lower(regexp_replace(description, '[\\p{{P}}\\p{{S}}\\s]+', '', 'g')) AS d, replace(lower(coalesce(place, '')), ' ', '') AS p FROM candidate)
+    "new_candidates": f"""WITH {KEYED_CANDIDATE}
         SELECT id, title FROM k a WHERE status = 'pending' AND NOT EXISTS (SELECT 1 FROM k b WHERE b.status <> 'pending' AND ((a.t = b.t AND a.d = b.d) OR (a.source_id = b.source_id AND (a.t = b.t OR a.d = b.d)))
           AND NOT coalesce(a.start_at <> b.start_at, false) AND NOT (a.p <> '' AND b.p <> '' AND NOT contains(a.p, b.p) AND NOT contains(b.p, a.p) AND a.location_precision = 'exact' AND b.location_precision = 'exact'))""",
     "candidate_tasks": f"""{CREATED} SELECT f.task AS id, CAST(location_id AS BIGINT) AS location_id, coalesce(characters, '') AS characters, rtrim(concat('模型候选,', tags), ',') AS tags FROM fresh f LEFT JOIN located USING (task) LEFT JOIN met USING (task)""",

@@ -65,26 +65,30 @@ def place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr(
+    """Claims, some of which later messages repeat."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr("*", "explode(sequence(0, CAST(turn % 3 AS INT))) AS again")
+    return rows.selectExpr(
         "concat('peer-', conv_id % 7) AS person_id",
         "CASE turn % 3 WHEN 0 THEN 'fact' WHEN 1 THEN 'preference' ELSE 'event' END AS kind",
-        "lower(substring(text, 1, 3)) AS claim_key",
-        "concat('m-', conv_id, '-', turn) AS source_id",
-        f"{_WHEN} AS observed_ts",
+        "lower(text) AS claim_key",
+        "concat('m-', conv_id, '-', turn + again) AS source_id",
+        f"{_WHEN} + make_dt_interval(again * 20 * (1 + CAST(conv_id % 2 AS INT)), 0, 0, 0) AS observed_ts",
         "CAST(length(text) % 17 AS BIGINT) AS score",
     )
 
 
 def candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Task candidates, one a message: wording drifts between neighbours, dates and places now and then disagree."""
-    return table(spark, sf_dir, "conversations").selectExpr(
-        "concat('c-', conv_id, '-', turn) AS id",
-        "CAST(conv_id * 100 + turn AS BIGINT) AS ord",
-        "substring(text, 1, 2) AS title",
-        "concat('About ', substring(text, 1, 1 + turn % 2)) AS description",
-        "concat('m-', conv_id, '-', turn - turn % 2) AS source_id",
-        "CASE WHEN turn % 3 = 0 THEN NULL ELSE concat('2024-01-0', 1 + conv_id % 2) END AS start_at",
-        "CASE WHEN turn % 4 = 0 THEN NULL WHEN conv_id % 5 = 0 THEN 'North Library' ELSE 'Library' END AS place",
-        "CASE WHEN turn % 2 = 0 THEN 'exact' ELSE 'approximate' END AS location_precision",
-        "CASE turn % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'dismissed' ELSE 'created' END AS status",
+    """Task candidates, four from each message as several passes find them: the first sentence is the title and the rest the
+    description; wording, sources, dates and places drift between passes and now and then disagree."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("*", "explode(array(0, 1, 2, 3)) AS pass", "split_part(text, '.', 1) AS first")
+    return rows.selectExpr(
+        "concat('c-', conv_id, '-', turn, '-', pass) AS id",
+        "CAST(conv_id * 1000 + turn * 10 + pass AS BIGINT) AS ord",
+        "CASE pass WHEN 1 THEN concat(first, '!') WHEN 3 THEN concat('Again ', first) ELSE first END AS title",
+        "CASE pass WHEN 2 THEN concat('About ', first) ELSE substring(text, length(first) + 1) END AS description",
+        "concat('m-', conv_id, '-', turn + CASE WHEN pass = 1 THEN turn % 2 ELSE 0 END) AS source_id",
+        "CASE WHEN (turn + pass) % 3 = 0 THEN NULL ELSE concat('2024-01-0', 1 + (conv_id * pass) % 2) END AS start_at",
+        "CASE WHEN (turn + pass) % 4 = 0 THEN NULL WHEN (conv_id + pass) % 5 = 0 THEN 'North Library' WHEN (conv_id + pass) % 5 = 1 THEN 'Gym' ELSE 'Library' END AS place",
+        "CASE WHEN (turn + pass) % 2 = 0 THEN 'exact' ELSE 'approximate' END AS location_precision",
+        "CASE (turn + pass) % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'dismissed' ELSE 'created' END AS status",
     )
