@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.claims import eligible
 from chatloom.functions.columns import text_key
+from chatloom.operators.segments import placed
 
 RECENT_DAYS, WORKSET, SOURCES = 30, 96, 12
+FINGERPRINT_BLOCK = 4096
 #: Shares of the workset that are full after each pass.
 QUOTAS = (0.42, 0.60, 0.78, 0.88, 1.0)
 
@@ -93,11 +95,17 @@ def verified(claims: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def fingerprints(messages: DataFrame, key: str) -> DataFrame:
-    """key, rows, digest: changes with a conversation's members, times, speakers or texts. The rows' own hashes are what is
-    gathered in order, so a conversation is a list of hashes and not of texts."""
+    """key, rows, digest: changes with a conversation's members, times, speakers or texts. Rows are numbered by sorted ranges and
+    their hashes hashed in blocks of `FINGERPRINT_BLOCK`, whose hashes make the digest: a long conversation is many tasks, and
+    what comes together in one is a hash a block."""
     row = F.sha2(F.concat_ws("\u001f", "id", F.coalesce(F.date_format("captured_ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")), F.coalesce("speaker", F.lit("")), F.coalesce("speaker_role", F.lit("")), F.coalesce("content", F.lit(""))), 256)
-    rows = messages.select(key, F.struct(F.col("captured_ts").isNull().alias("undated"), "captured_ts", "id", row.alias("row")).alias("x"))
-    return rows.groupBy(key).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), "\u001e"), 256).alias("digest"))
+    rows = placed(messages.select(key, "captured_ts", "id", row.alias("row")), key, [F.col("captured_ts").asc_nulls_last(), F.col("id")])
+
+    def joined(at: str, value: str):
+        return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]), "\u001e"), 256)
+
+    blocks = rows.withColumn("block", F.floor(F.col("place") / FINGERPRINT_BLOCK)).groupBy(key, "block").agg(F.count("*").alias("n"), joined("place", "row").alias("part"))
+    return blocks.groupBy(key).agg(F.sum("n").alias("rows"), joined("block", "part").alias("digest"))
 
 
 def completed(messages: DataFrame, analyzed: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.columns import compact_key
+from chatloom.sources.staging import staged
 
 
 def three_way(base: DataFrame, local: DataFrame, remote: DataFrame, value: str) -> DataFrame:
@@ -70,7 +71,7 @@ def duplicate_pairs(candidates: DataFrame) -> DataFrame:
     same = F.lit(True)
     for c in said:
         same = same & F.col(c).eqNullSafe(F.col(f"first_{c}"))
-    first = rows.groupBy(*classes).agg(F.min_by("id", "ord").alias("first"), F.min("ord").alias("ord"))
+    first = staged(rows.groupBy(*classes).agg(F.min_by("id", "ord").alias("first"), F.min("ord").alias("ord")), "candidate_classes")
     of = first.select("t", "d", "source_id", *[F.col(c).alias(f"first_{c}") for c in said], "first")
     members = rows.join(of, ["t", "d", "source_id"]).where(same & (F.col("first") != F.col("id"))).select("first", F.col("id").alias("second"), F.lit("member").alias("link"))
     met = None

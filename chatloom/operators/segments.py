@@ -162,9 +162,11 @@ def plan(rows: DataFrame, key: str, at: str, as_of: str) -> DataFrame:
 
 
 def interleaved(plan_rows: DataFrame, key: str) -> DataFrame:
-    """The plan with its turn: the k-th segment of every conversation before any k+1-st, long conversations first."""
+    """The plan with its turn within each segment number, from 1: the k-th segment of every conversation goes before any k+1-st,
+    and of those the long conversations' first. Most conversations have a first segment, so turns are counted by sorted ranges."""
     total = plan_rows.withColumn("total", F.sum("rows").over(Window.partitionBy(key)))
-    return total.withColumn("turn", F.struct("segment", (-F.col("total")).alias("less"), (-F.col("segments")).alias("fewer"), key))
+    turns = placed(total, "segment", [F.col("total").desc(), F.col("segments").desc(), F.col(key)])
+    return turns.withColumn("turn", F.col("place") + 1).drop("place")
 
 
 def calendar_chunks(rows: DataFrame, at: str, most: int = 120, *by: str) -> DataFrame:

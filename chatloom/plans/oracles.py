@@ -1,4 +1,7 @@
-"""DuckDB SQL for the catalogue's queries, over the driver's raw tables."""
+"""DuckDB SQL for the catalogue's queries, over the driver's raw tables. Patterns and word lists are those of the operators."""
+
+from chatloom.functions import claims, normalize
+from chatloom.operators import gates
 
 _AT = "TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(conv_id * 6 AS INT)) + to_minutes(CAST(turn * 7 AS INT))"
 
@@ -79,7 +82,8 @@ p AS (SELECT user_id, segment, count(*) AS rows, max(start_ts) < TIMESTAMP '2024
 plan AS (SELECT user_id, segment, count(*) OVER (PARTITION BY user_id) AS segments, rows, historical, CAST(round(best + CASE WHEN historical THEN 0 ELSE 1 END, 2) AS DOUBLE) AS priority FROM p)"""
 
 _PRINT = "sha256(concat_ws(chr(31), id, coalesce(strftime(captured_ts, '%Y-%m-%dT%H:%M:%S'), ''), coalesce(speaker, ''), coalesce(speaker_role, ''), coalesce(content, '')))"
-PRINTS = f"""WITH {MESSAGE}, prints AS (SELECT key, count(*) AS rows, sha256(string_agg({_PRINT}, chr(30) ORDER BY captured_ts NULLS LAST, id)) AS digest FROM keyed GROUP BY key)"""
+PARTS = f"""parts AS (SELECT key, nth // 4096 AS block, count(*) AS n, sha256(string_agg(row, chr(30) ORDER BY nth)) AS part FROM (SELECT key, {_PRINT} AS row, row_number() OVER (PARTITION BY key ORDER BY captured_ts NULLS LAST, id) - 1 AS nth FROM keyed{{where}}) GROUP BY ALL)"""
+PRINTS = f"""WITH {MESSAGE}, {PARTS.format(where='')}, prints AS (SELECT key, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(part, chr(30) ORDER BY block)) AS digest FROM parts GROUP BY key)"""
 
 THREE = f"""WITH {OPS}, r AS (SELECT id, max(value) AS value FROM op_log WHERE op = 'upsert' GROUP BY id),
 base AS (SELECT * FROM r WHERE CAST(floor(value) AS INT) % 7 <> 0),
@@ -149,7 +153,7 @@ ORACLE_SQL = {
     "carry_forward_time": f"WITH {MESSAGE} SELECT id, last_value(captured_ts IGNORE NULLS) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS captured_ts FROM keyed",
     "conversation_fingerprint": f"{PRINTS} SELECT * FROM prints",
     "complete_coverage": f"WITH {MESSAGE} SELECT key, count(*) AS rows FROM keyed GROUP BY key HAVING bool_and(length(content) % 9 <> 0)",
-    "pending_rows": f"""{PRINTS}, seen AS (SELECT key, sha256(string_agg({_PRINT}, chr(30) ORDER BY captured_ts NULLS LAST, id)) AS digest FROM keyed WHERE length(content) % 13 <> 0 GROUP BY key)
+    "pending_rows": f"""{PRINTS}, {PARTS.format(where=' WHERE length(content) % 13 <> 0').replace('parts AS', 'old_parts AS')}, seen AS (SELECT key, sha256(string_agg(part, chr(30) ORDER BY block)) AS digest FROM old_parts GROUP BY key)
         SELECT count(*) AS conversations, CAST(coalesce(sum(p.rows), 0) AS BIGINT) AS messages FROM prints p LEFT JOIN seen s USING (key) WHERE s.key IS NULL OR s.digest <> p.digest""",
     "event_interval_overlap": f"""WITH {EVENT}, spans AS (SELECT user_id, id AS span, start_ts AS first_ts, start_ts + INTERVAL 2 HOUR AS last_ts FROM context_event WHERE kind = 'activity')
         SELECT span, count(*) AS events, min(e.id) AS first_event FROM spans s JOIN context_event e ON e.user_id = s.user_id AND e.start_ts <= s.last_ts AND coalesce(e.end_ts, e.start_ts) >= s.first_ts GROUP BY span""",
@@ -159,9 +163,9 @@ ORACLE_SQL = {
         SELECT id, status, CASE WHEN parent_id IN (SELECT id FROM gone) THEN NULL ELSE parent_id END AS parent_id FROM task WHERE id NOT IN (SELECT id FROM gone)""",
     "dangling_cleanup": f"""WITH {TASK}, known AS (SELECT id FROM task WHERE status <> 'done'), x AS (SELECT id, unnest([coalesce(parent_id, 'none'), id, concat(id, 'x')]) AS one, unnest([1, 2, 3]) AS pos FROM task)
         SELECT task.id, coalesce(string_agg(one, ',' ORDER BY pos), '') AS people FROM task LEFT JOIN (SELECT * FROM x WHERE one IN (SELECT id FROM known)) x ON x.id = task.id GROUP BY task.id""",
-    "substring_match": """WITH n AS (SELECT DISTINCT concat_ws(' ', 'office', CASE s_nationkey % 5 WHEN 0 THEN 'france' WHEN 1 THEN 'kenya' WHEN 2 THEN 'united' WHEN 3 THEN 'japan' ELSE 'nowhere' END, s_nationkey % 3) AS name FROM supplier),
+    "substring_match": """WITH n AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN concat('Office NATION_', s_nationkey) WHEN 1 THEN concat('nation _', s_nationkey, ' branch') WHEN 2 THEN 'ATION_' || s_nationkey % 3 ELSE 'nowhere' END AS name FROM supplier),
         m AS (SELECT name, n_name AS place, CAST(n_nationkey AS BIGINT) AS place_id, row_number() OVER (PARTITION BY name ORDER BY n_nationkey) AS nth FROM n JOIN nation
-              ON contains(replace(name, ' ', ''), replace(lower(n_name), ' ', '')) OR contains(replace(lower(n_name), ' ', ''), replace(name, ' ', ''))) SELECT name, place, place_id FROM m WHERE nth = 1""",
+              ON contains(replace(lower(name), ' ', ''), replace(lower(n_name), ' ', '')) OR contains(replace(lower(n_name), ' ', ''), replace(lower(name), ' ', ''))) SELECT name, place, place_id FROM m WHERE nth = 1""",
     "task_person_links": f"""WITH {MESSAGE}, people AS (SELECT concat('p-', id) AS person, concat('peer-', id) AS name, CASE WHEN id % 2 = 0 THEN concat('conv-', id * 3) END AS key FROM range(7) t(id)),
         cited AS (SELECT concat('t-', conv_id) AS task, k.* FROM conversations c JOIN keyed k ON k.id = concat('m-', conv_id, '-', turn))
         SELECT DISTINCT task, person FROM cited JOIN people ON (speaker_role = 'other' AND speaker = name) OR cited.key = people.key""",
@@ -211,10 +215,18 @@ ORACLE_SQL = {
           UNION SELECT x.id, c.first FROM c JOIN sd x ON x.d = c.d AND x.source_id = c.source_id AND x.start_at IS NOT DISTINCT FROM c.start_at AND x.place IS NOT DISTINCT FROM c.place AND x.location_precision = c.location_precision WHERE x.id <> c.first)
         SELECT first, second, 'same' AS link FROM links
         UNION ALL SELECT c.first, k.id, 'member' FROM k JOIN c ON c.t = k.t AND c.d = k.d AND c.source_id = k.source_id AND c.start_at IS NOT DISTINCT FROM k.start_at AND c.place IS NOT DISTINCT FROM k.place AND c.location_precision = k.location_precision WHERE k.id <> c.first""",
-    "candidate_gate_counts": f"""WITH {MESSAGE}, {CANDIDATE}, c AS (SELECT id, title, description, source_id, CASE WHEN ord % 3 = 0 THEN NULL ELSE start_at END AS start_at, CASE WHEN ord % 5 = 0 THEN '2024-01-30' END AS due_at FROM candidate),
-        j AS (SELECT c.*, m.id AS mid, speaker_role, captured_ts, content FROM c LEFT JOIN message m ON m.id = c.source_id),
-        g AS (SELECT CASE WHEN mid IS NULL THEN 'evidence' WHEN NOT (speaker_role = 'self') THEN 'ownership' WHEN captured_ts IS NULL THEN 'time' WHEN length(trim(title)) < 2 OR length(trim(description)) < 2 THEN 'shape'
-            WHEN due_at IS NULL AND start_at < '2024-01-20' THEN 'expired' ELSE 'accepted' END AS reason FROM j) SELECT reason, count(*) AS candidates FROM g GROUP BY reason""",
+    "candidate_gate_counts": f"""WITH {MESSAGE}, said AS (SELECT id, speaker_role, captured_ts, CASE length(content) % 5 WHEN 0 THEN concat('请你 ', content) WHEN 1 THEN concat('我请你 ', content) WHEN 2 THEN concat('我请他 ', content) WHEN 3 THEN concat('2024年3月5日 ', content) ELSE content END AS content FROM message),
+        c AS (SELECT concat('g-', conv_id, '-', turn) AS id, CASE (conv_id + turn) % 6 WHEN 0 THEN concat('取快递 ', split_part(text, '.', 1)) WHEN 1 THEN concat('提交问卷 ', split_part(text, '.', 1)) WHEN 2 THEN '之后请你喝咖啡' WHEN 3 THEN 'x' ELSE split_part(text, '.', 1) END AS title,
+          CASE WHEN turn % 5 = 4 THEN ' y ' ELSE text END AS description, CASE WHEN conv_id % 8 = 0 THEN ['m-none'] ELSE [concat('m-', conv_id, '-', turn), concat('m-', conv_id, '-', turn + 1)] END AS sources,
+          CASE (conv_id + 2 * turn) % 7 WHEN 1 THEN TIMESTAMP '2024-01-05' WHEN 2 THEN TIMESTAMP '2024-03-01' END AS starts, CASE (conv_id + turn) % 5 WHEN 0 THEN TIMESTAMP '2024-02-20 23:59:59' WHEN 1 THEN TIMESTAMP '2024-01-30 23:59:59' END AS due FROM conversations),
+        proof AS (SELECT c.id, bool_or(speaker_role = 'self' OR (speaker_role = 'other' AND regexp_matches(content, '{gates.DIRECT}'))) AS owned, max(captured_ts) AS latest, bool_or(speaker_role = 'other' AND regexp_matches(content, '{gates.OTHER_OFFERS}')) AS other_offers,
+          bool_or(speaker_role = 'self' AND regexp_matches(content, '{gates.SELF_OFFERS}')) AS self_offers, bool_or(captured_ts IS NOT NULL OR regexp_matches(content, '{gates.ABSOLUTE_DATE}')) AS anchored
+          FROM (SELECT id, unnest(sources) AS source FROM c) c JOIN said ON said.id = c.source GROUP BY c.id),
+        j AS (SELECT *, greatest(0, (epoch(TIMESTAMP '2024-02-10') - epoch(latest)) / 86400) AS age, concat_ws(' ', title, description) AS t FROM c LEFT JOIN proof USING (id)),
+        g AS (SELECT CASE WHEN owned IS NULL THEN 'evidence' WHEN NOT owned THEN 'ownership' WHEN NOT anchored THEN 'time' WHEN length(trim(title)) < 2 OR length(trim(description)) < 2 THEN 'shape'
+            WHEN CASE WHEN due < TIMESTAMP '2024-02-10' THEN true WHEN starts < TIMESTAMP '2024-02-10' AND (due IS NULL OR due < TIMESTAMP '2024-02-10') THEN true WHEN starts >= TIMESTAMP '2024-02-10' OR due >= TIMESTAMP '2024-02-10' THEN false
+                 WHEN regexp_matches(t, '{gates.TRANSIENT}') AND age > 4 THEN true WHEN regexp_matches(t, '{gates.SUBMISSION}') AND due IS NULL AND age > 30 THEN true ELSE false END THEN 'expired'
+            WHEN other_offers AND NOT self_offers AND regexp_matches(title, '{gates.REVERSED_TITLE}') THEN 'direction' ELSE 'accepted' END AS reason FROM j) SELECT reason, count(*) AS candidates FROM g GROUP BY reason""",
     "message_relevance": f"""WITH {MESSAGE}, a AS (SELECT id, captured_ts, epoch(TIMESTAMP '2024-02-20') - epoch(captured_ts) AS age FROM message)
         SELECT id, CAST(CASE WHEN captured_ts IS NULL THEN 0.08 WHEN age <= 3 * 86400 THEN 1 WHEN age <= 7 * 86400 THEN 0.92 WHEN age <= 14 * 86400 THEN 0.78 WHEN age <= 30 * 86400 THEN 0.62 WHEN age <= 60 * 86400 THEN 0.42
             WHEN age <= 120 * 86400 THEN 0.24 WHEN age <= 365 * 86400 THEN 0.1 ELSE 0.04 END AS DOUBLE) AS relevance FROM a""",
@@ -239,3 +251,34 @@ ORACLE_SQL = {
           WHEN d < 365 THEN concat(CAST(floor(d / 30) AS BIGINT), ' 个月前') ELSE concat(CAST(floor(d / 365) AS BIGINT), ' 年前') END AS label FROM d""",
     "search_radii": """SELECT s_suppkey, CAST(floor(least(100000, greatest(120, greatest(0.01 * (s_suppkey % 50) * 111320, 0.02 * (s_suppkey % 30) * 111320 * greatest(0.2, cos(radians(s_nationkey * 3.0)))) / 2)) + 0.5) AS BIGINT) AS radius FROM supplier WHERE s_suppkey % 50 > 0""",
 }
+
+_HAY = r"lower(regexp_replace(concat(text, ' ', text), '\s+', '', 'g'))"
+_CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(hay, '{words}') THEN '{name}'" for name, words in claims.CATEGORIES) + " WHEN kind = 'preference' THEN 'preference' ELSE 'background' END"
+_ACTION = " + ".join(f"CASE WHEN contains(low, '{w}') THEN {2 if len(w) > 1 else 1} ELSE 0 END" for w in gates.ACTION_WORDS)
+_NOISE = " OR ".join(f"trim(low) = '{w}' OR (length(low) < 18 AND starts_with(low, '{w}'))" for w in gates.NOISE_WORDS)
+_PHRASES = "['', '不要再打扰', '喜欢爬山', '经常散步', '在学校工作', '一起吃饭', '擅长画画', '明天取件', '好的']"
+_SUBJECTS = "['', '恋爱 ', '选课 ', '聚会 ', '作业 ', '医院 ', '系统: ', 'WeChat：约会 ']"
+_KEY = r"lower(regexp_replace(content, '\s+', '', 'g'))"
+
+ORACLE_SQL |= {
+    "claim_scores": rf"""{MERGED}, s AS (SELECT person_id, kind, claim_key, n_sources, first_ts, last_ts, concat({_PHRASES}[(score % 9) + 1], claim_key) AS text FROM merged), h AS (SELECT *, {_HAY} AS hay, trim(text) AS said,
+          CASE WHEN n_sources >= 3 OR (n_sources >= 2 AND epoch(last_ts) - epoch(first_ts) >= 30 * 86400) THEN 6 WHEN n_sources >= 2 THEN 4 ELSE 0 END AS steady FROM s), c AS (SELECT *, {_CATEGORY} AS category FROM h)
+        SELECT person_id, kind, claim_key, category, CASE kind WHEN 'preference' THEN 5 WHEN 'event' THEN 8 ELSE 2 END + steady + CASE WHEN regexp_matches(hay, '{claims.LIKING}') THEN 3 ELSE 0 END + CASE WHEN length(said) >= 8 THEN 1 ELSE 0 END
+          - CASE WHEN regexp_matches(said, '{claims.FILLER}') THEN 6 ELSE 0 END - CASE WHEN category IN ('temporary', 'filler') THEN 6 ELSE 0 END + CASE WHEN category IN ('interaction', 'boundary') THEN 3 ELSE 0 END AS score FROM c""",
+    "task_atlas": rf"""WITH {MESSAGE}, s AS (SELECT concat({_SUBJECTS}[length(content) % 8 + 1], content) AS t FROM message), p AS (SELECT t, nullif(trim(regexp_extract(t, '^([^:：\n]{{1,48}})[:：]\s*', 1)), '') AS who FROM s)
+        SELECT CASE {" ".join(f"WHEN regexp_matches(t, '{words}') THEN '{name}'" for name, words in normalize.TASK_CATEGORIES)} ELSE 'life' END AS category, count(*) AS tasks,
+          count(CASE WHEN lower(who) NOT IN ({", ".join(f"'{w}'" for w in normalize.NO_PROVIDER)}) THEN 1 END) AS provided FROM p GROUP BY category""",
+    "fnv_ids": rf"""WITH {MESSAGE} SELECT id, lower(to_base(CAST(list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(string_split(id, ''), lambda c: CAST(unicode(c) AS UBIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS BIGINT), 36)) AS hash,
+        length(content) + length(regexp_replace(content, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS units FROM message""",
+    "text_keys": rf"""WITH {MESSAGE}, k AS (SELECT id, content, {_KEY} AS t FROM message), r AS (SELECT *, list_filter(list_concat(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substring(t, i, 3)), list_transform(range(1, greatest(length(t), 1)), lambda i: substring(t, i, 2))), lambda g: regexp_matches(g, '^[\x{{4e00}}-\x{{9fff}}A-Za-z0-9]+$')) AS g FROM k)
+        SELECT id, t AS text_key, lower(regexp_replace(content, '[\p{{P}}\p{{S}}\s]+', '', 'g')) AS compact, array_to_string(list_filter(g, lambda x, i: list_position(g, x) = i)[1:36], '|') AS grams FROM r""",
+    "action_score_top": rf"""WITH {MESSAGE}, s AS (SELECT id, captured_ts, concat(CASE WHEN length(content) % 5 = 0 THEN '记得明天提交 ' ELSE '' END, content) AS content FROM message), l AS (SELECT *, lower(content) AS low FROM s),
+        a AS (SELECT *, {_ACTION} + CASE WHEN regexp_matches(low, '{gates.DATED}') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(low, '{gates.ASKING}') THEN 1 ELSE 0 END + CASE WHEN length(low) BETWEEN 15 AND 220 THEN 1 ELSE 0 END - CASE WHEN {_NOISE} THEN 4 ELSE 0 END AS score FROM l),
+        n AS (SELECT *, row_number() OVER (PARTITION BY substring(lower(regexp_replace(content, '[\s\p{{P}}\p{{S}}]+', '', 'g')), 1, 120) ORDER BY score DESC, captured_ts DESC NULLS LAST, id) AS nth FROM a WHERE score >= 3 AND length(trim(content)) >= 8)
+        SELECT id, CAST(score AS BIGINT) AS score FROM n WHERE nth = 1 ORDER BY n.score DESC, captured_ts DESC NULLS LAST, id LIMIT 100""",
+    "conversation_segments": rf"""WITH RECURSIVE {MESSAGE}, sized AS (SELECT key, greatest(64, 16 + CASE WHEN captured_ts IS NULL THEN 4 ELSE 21 END + length(CAST(to_json(coalesce(nullif(substring(trim(content), 1, 3000), ''), '[non-text message]')) AS VARCHAR)) + length(coalesce(speaker_role, 'unknown'))) AS size,
+          row_number() OVER (PARTITION BY key ORDER BY captured_ts NULLS LAST, id) - 1 AS place FROM keyed),
+        fold AS (SELECT key, place, size, CAST(1 AS BIGINT) AS segment, CAST(1 AS BIGINT) AS n, CAST(size AS BIGINT) AS used FROM sized WHERE place = 0
+          UNION ALL SELECT s.key, s.place, s.size, CASE WHEN n >= 3 OR used + s.size > 1500 THEN segment + 1 ELSE segment END, CASE WHEN n >= 3 OR used + s.size > 1500 THEN 1 ELSE n + 1 END, CASE WHEN n >= 3 OR used + s.size > 1500 THEN s.size ELSE used + s.size END
+          FROM fold f JOIN sized s ON s.key = f.key AND s.place = f.place + 1) SELECT key, segment, count(*) AS rows, min(place) AS first_place FROM fold GROUP BY key, segment""",
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.columns import captured_at, char_grams, compact_key, fnv1a36, relevance, row_size, text_key, utf16_length
@@ -213,8 +213,7 @@ def segment_priority(spark, sf_dir):
 
 @query
 def segment_interleave(spark, sf_dir):
-    turns = segments.interleaved(_plan(spark, sf_dir), "user_id")
-    return turns.select("user_id", "segment", "total", F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("total"), F.desc("segments"), "user_id")).cast("long").alias("turn"))
+    return segments.interleaved(_plan(spark, sf_dir), "user_id").select("user_id", "segment", "total", "turn")
 
 
 @query
@@ -312,7 +311,7 @@ def dangling_cleanup(spark, sf_dir):
 
 @query
 def substring_match(spark, sf_dir):
-    names = adapted.table(spark, sf_dir, "supplier").selectExpr("concat_ws(' ', 'office', CASE s_nationkey % 5 WHEN 0 THEN 'france' WHEN 1 THEN 'kenya' WHEN 2 THEN 'united' WHEN 3 THEN 'japan' ELSE 'nowhere' END, s_nationkey % 3) AS name")
+    names = adapted.table(spark, sf_dir, "supplier").selectExpr("CASE s_suppkey % 4 WHEN 0 THEN concat('Office NATION_', s_nationkey) WHEN 1 THEN concat('nation _', s_nationkey, ' branch') WHEN 2 THEN concat('ATION_', s_nationkey % 3) ELSE 'nowhere' END AS name")
     return links.name_matches(names, adapted.place(spark, sf_dir).select(F.col("name").alias("place"), "place_id"), "name", "place", "place_id")
 
 
@@ -413,14 +412,28 @@ def candidate_fold(spark, sf_dir):
 
 
 def _dated(spark, sf_dir):
-    return adapted.candidate(spark, sf_dir).selectExpr("id", "title", "description", "source_id", "CASE WHEN ord % 3 = 0 THEN NULL ELSE start_at END AS start_at", "CASE WHEN ord % 5 = 0 THEN '2024-01-30' END AS due_at")
+    """Candidates of every fate: passing and submission tasks, reversed offers, thin ones, with and without dates and evidence."""
+    return adapted.table(spark, sf_dir, "conversations").selectExpr(
+        "concat('g-', conv_id, '-', turn) AS id",
+        "CASE (conv_id + turn) % 6 WHEN 0 THEN concat('取快递 ', split_part(text, '.', 1)) WHEN 1 THEN concat('提交问卷 ', split_part(text, '.', 1)) WHEN 2 THEN '之后请你喝咖啡' WHEN 3 THEN 'x' ELSE split_part(text, '.', 1) END AS title",
+        "CASE WHEN turn % 5 = 4 THEN ' y ' ELSE text END AS description",
+        "CASE WHEN conv_id % 8 = 0 THEN array('m-none') ELSE array(concat('m-', conv_id, '-', turn), concat('m-', conv_id, '-', turn + 1)) END AS source_ids",
+        "CASE (conv_id + 2 * turn) % 7 WHEN 1 THEN '2024-01-05' WHEN 2 THEN '2024-03-01' END AS start_at",
+        "CASE (conv_id + turn) % 5 WHEN 0 THEN '2024-02-20' WHEN 1 THEN '2024-01-30' END AS due_at",
+    )
+
+
+def _said(spark, sf_dir):
+    """Messages that now and then ask, offer, or name a day."""
+    content = "CASE length(content) % 5 WHEN 0 THEN concat('请你 ', content) WHEN 1 THEN concat('我请你 ', content) WHEN 2 THEN concat('我请他 ', content) WHEN 3 THEN concat('2024年3月5日 ', content) ELSE content END AS content"
+    return adapted.message(spark, sf_dir).selectExpr("id", "speaker_role", "captured_ts", content)
 
 
 @query
 def candidate_gate_counts(spark, sf_dir):
     rows = _dated(spark, sf_dir)
-    proof = gates.evidence(rows.select("id", "source_id"), adapted.message(spark, sf_dir))
-    return gates.judged(rows.drop("source_id"), proof, AS_OF).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("candidates"))
+    proof = gates.evidence(rows.select("id", F.explode("source_ids").alias("source_id")), _said(spark, sf_dir))
+    return gates.judged(rows.drop("source_ids"), proof, "2024-02-10 00:00:00").groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("candidates"))
 
 
 @query
@@ -552,15 +565,19 @@ def search_radii(spark, sf_dir):
 
 @query
 def claim_scores(spark, sf_dir):
-    """Categories and scores of claims; a test compares them with literal cases."""
+    """Categories and scores of claims, some of which say what categories are known by."""
     rows = evidence.merged_claims(adapted.claim(spark, sf_dir), "person_id", "kind", "claim_key")
     stable = evidence.stability(F.col("n_sources"), F.col("first_ts"), F.col("last_ts"))
-    of = claims.category(F.col("kind"), F.col("claim_key"), F.col("claim_key"))
-    return rows.select("person_id", "kind", "claim_key", of.alias("category"), claims.score(F.col("kind"), F.col("claim_key"), F.col("claim_key"), stable, of).alias("score"))
+    phrases = F.array(*map(F.lit, ["", "不要再打扰", "喜欢爬山", "经常散步", "在学校工作", "一起吃饭", "擅长画画", "明天取件", "好的"]))
+    text = F.concat(F.get(phrases, (F.col("score") % 9).cast("int")), "claim_key")
+    of = claims.category(F.col("kind"), text, text)
+    return rows.select("person_id", "kind", "claim_key", of.alias("category"), claims.score(F.col("kind"), text, text, stable, of).alias("score"))
 
 
 @query
 def task_atlas(spark, sf_dir):
     """Tasks by their category."""
-    rows = adapted.message(spark, sf_dir).select("id", normalize.task_category(F.col("content"), F.lit(None).cast("string"), F.lit(None).cast("array<string>")).alias("category"), normalize.provider(F.col("content")).alias("provider"))
+    subjects = F.array(*map(F.lit, ["", "恋爱 ", "选课 ", "聚会 ", "作业 ", "医院 ", "系统: ", "WeChat：约会 "]))
+    text = F.concat(F.get(subjects, F.length("content") % 8), "content")
+    rows = adapted.message(spark, sf_dir).select("id", normalize.task_category(text, F.lit(None).cast("string"), F.lit(None).cast("array<string>")).alias("category"), normalize.provider(text).alias("provider"))
     return rows.groupBy("category").agg(F.count("*").alias("tasks"), F.count("provider").alias("provided"))
