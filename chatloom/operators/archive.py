@@ -6,8 +6,10 @@ with partial maxima, so a key that is written often costs no more than its rows.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,8 +82,12 @@ class Conflict(Exception):
 
 @dataclass
 class Archive:
-    """Commits and reads of one archive. There is one writer at a time; readers see whole versions only, as the manifest is
-    written last."""
+    """Commits and reads of one archive.
+
+    A version is a manifest, `manifests/<version>.json`, that names the segments it consists of; the highest is the archive's
+    state. Rows are written to a folder of their own first, the manifest to a temporary file, which is then renamed to a
+    name that must be free: a writer that stops half-way leaves files that nothing names, and of two writers that start from
+    one version the second fails and changes nothing."""
 
     spark: SparkSession
     path: str
@@ -91,65 +97,94 @@ class Archive:
         place = jvm.org.apache.hadoop.fs.Path(path)
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
 
+    def _manifests(self) -> list[str]:
+        """The manifests' names, the oldest first."""
+        fs, place = self._fs(f"{self.path}/manifests")
+        return sorted(f.getPath().getName() for f in fs.listStatus(place) if f.getPath().getName().endswith(".json")) if fs.exists(place) else []
+
     def manifest(self) -> list[dict]:
-        """The segments in their order: version, kind, rows, digest."""
-        fs, place = self._fs(f"{self.path}/manifest")
-        if not fs.exists(place):
+        """The segments in their order: version, kind, rows, digest, folder."""
+        names = self._manifests()
+        if not names:
             return []
-        return [json.loads(r["value"]) for r in self.spark.read.text(str(place)).orderBy(F.get_json_object("value", "$.version").cast("long")).collect()]
+        return sorted((json.loads(r["value"]) for r in self.spark.read.text(f"{self.path}/manifests/{names[-1]}").collect()), key=lambda s: s["version"])  # a row a segment
 
     def _publish(self, segments: list[dict]) -> None:
-        """The manifest is replaced whole: written beside, then renamed."""
-        temporary, final = f"{self.path}/manifest-new", f"{self.path}/manifest"
-        self.spark.createDataFrame([(json.dumps(s),) for s in segments], "value string").coalesce(1).write.mode("overwrite").text(temporary)
-        fs, old = self._fs(final)
-        fs.delete(old, True)
-        fs.rename(self._fs(temporary)[1], old)
+        """Make this the version of its last segment, unless there is one of that number."""
+        version = segments[-1]["version"]
+        fs, temporary = self._fs(f"{self.path}/unpublished/{version}-{uuid.uuid4().hex}")
+        out = fs.create(temporary, True)
+        out.write(bytearray("\n".join(map(json.dumps, segments)).encode()))
+        out.close()
+        sc, (_, final) = self.spark.sparkContext, self._fs(f"{self.path}/manifests/{version:012d}.json")
+        fs.mkdirs(final.getParent())
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        free_name_only = sc._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(final.toUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(temporary), fs.makeQualified(final), free_name_only)
+        except Py4JJavaError as error:
+            fs.delete(temporary, False)
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                raise Conflict(f"version {version} has been written by somebody else") from error
+            raise
 
     def version(self) -> int:
         return max([s["version"] for s in self.manifest()], default=0)
 
+    def _read(self, segment: dict) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{segment['folder']}")
+
     def ops(self) -> DataFrame | None:
         """All operations since the last snapshot, with their version."""
         segments = self.manifest()
         start = max([i for i, s in enumerate(segments) if s["kind"] == "snapshot"], default=0)
-        parts = [self.spark.read.parquet(f"{self.path}/v={s['version']}").withColumn("version", F.lit(s["version"])) for s in segments[start:]]
         out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
+        for s in segments[start:]:
+            part = self._read(s).withColumn("version", F.lit(s["version"]))
+            out = part if out is None else out.unionByName(part)
         return out
 
     def snapshot(self) -> DataFrame | None:
         ops = self.ops()
         return None if ops is None else current(ops, "version").drop("op", "version")
 
-    def _append(self, ops: DataFrame, kind: str, expected: int | None) -> int:
+    def _written(self, ops: DataFrame, kind: str, version: int) -> dict:
+        """A segment's rows in a folder of their own."""
+        folder = f"v={version}-{uuid.uuid4().hex[:12]}"
+        ops.write.parquet(f"{self.path}/{folder}")
+        told = segment_digest(self.spark.read.parquet(f"{self.path}/{folder}")).first()
+        return {"version": version, "kind": kind, "rows": told["rows"], "digest": told["digest"], "folder": folder}
+
+    def _append(self, ops: DataFrame, segments: list[dict]) -> int:
+        now = max([s["version"] for s in segments], default=0)
+        new = self._written(ops, "delta", now + 1)
+        if new["rows"] == 0 and segments:
+            return now
+        self._publish([*segments, new])
+        if len(segments) + 1 >= COMPACT_SEGMENTS or (segments and new["rows"] >= COMPACT_LEAST and new["rows"] >= self.snapshot().count()):
+            return self.compact()
+        return now + 1
+
+    def _expecting(self, expected: int | None) -> list[dict]:
         segments = self.manifest()
         now = max([s["version"] for s in segments], default=0)
         if expected is not None and expected != now:
             raise Conflict(f"the archive is at version {now}, not {expected}")
-        place = f"{self.path}/v={now + 1}"
-        ops.write.mode("overwrite").parquet(place)
-        told = segment_digest(self.spark.read.parquet(place)).first()
-        if told["rows"] == 0 and segments:
-            return now
-        self._publish([*segments, {"version": now + 1, "kind": kind, "rows": told["rows"], "digest": told["digest"]}])
-        return now + 1
+        return segments
 
     def commit(self, rows: DataFrame, expected: int | None = None) -> int:
         """Make the archive hold exactly these rows."""
-        state = self.snapshot()
+        segments, state = self._expecting(expected), self.snapshot()
         if state is None:
-            return self._append(rows.withColumn("op", F.lit("upsert")), "delta", expected)
-        return self._append(_filled(difference(state, rows), rows), "delta", expected)
+            return self._append(rows.withColumn("op", F.lit("upsert")), segments)
+        return self._append(_filled(difference(state, rows), rows), segments)
 
     def commit_delta(self, upserts: DataFrame, delete_ids: DataFrame, expected: int | None = None) -> int:
         """Add, replace and delete rows; what changes nothing is left out."""
-        state = self.snapshot()
+        segments, state = self._expecting(expected), self.snapshot()
         if state is None:
-            return self._append(upserts.withColumn("op", F.lit("upsert")), "delta", expected)
-        version = self._append(_filled(effective(state, upserts, delete_ids), upserts), "delta", expected)
-        return self.compact() if len(self.manifest()) >= COMPACT_SEGMENTS else version
+            return self._append(upserts.withColumn("op", F.lit("upsert")), segments)
+        return self._append(_filled(effective(state, upserts, delete_ids), upserts), segments)
 
     def changes(self, since: int, limit: int = 20_000) -> DataFrame | None:
         """The net operations after a version; None if a snapshot lies between or they are too many: reload then."""
@@ -163,20 +198,26 @@ class Archive:
         return None if found.limit(limit + 1).count() > limit else found
 
     def compact(self) -> int:
-        """One snapshot in the place of all segments; the old ones are deleted when nothing names them any more."""
-        segments, now = self.manifest(), self.version()
-        place = f"{self.path}/v={now + 1}"
-        self.snapshot().withColumn("op", F.lit("upsert")).write.mode("overwrite").parquet(place)
-        told = segment_digest(self.spark.read.parquet(place)).first()
-        self._publish([{"version": now + 1, "kind": "snapshot", "rows": told["rows"], "digest": told["digest"]}])
-        for s in segments:
-            fs, old = self._fs(f"{self.path}/v={s['version']}")
-            fs.delete(old, True)
+        """One snapshot in the place of all segments; when it is published, the old ones and their manifests are deleted."""
+        segments, names = self.manifest(), self._manifests()
+        now = max(s["version"] for s in segments)
+        self._publish([self._written(self.snapshot().withColumn("op", F.lit("upsert")), "snapshot", now + 1)])
+        for old in [*(f"manifests/{n}" for n in names), *(s["folder"] for s in segments)]:
+            fs, place = self._fs(f"{self.path}/{old}")
+            fs.delete(place, True)
         return now + 1
 
+    def migrate(self, legacy: DataFrame) -> int:
+        """The first version of an archive from the rows of a single file; nothing if there is an archive already."""
+        if self.manifest():
+            return self.version()
+        segment = self._written(legacy.withColumn("op", F.lit("upsert")), "snapshot", 1)
+        self._publish([segment])
+        return 1
+
     def verify(self) -> list[int]:
         """The versions whose rows are not those that were written."""
-        return [s["version"] for s in self.manifest() if segment_digest(self.spark.read.parquet(f"{self.path}/v={s['version']}")).first().asDict() != {"rows": s["rows"], "digest": s["digest"]}]
+        return [s["version"] for s in self.manifest() if segment_digest(self._read(s)).first().asDict() != {"rows": s["rows"], "digest": s["digest"]}]
 
 
 def segment_digest(ops: DataFrame) -> DataFrame:

@@ -136,6 +136,7 @@ ORACLE_SQL = {
           UNION ALL SELECT f.user_id, f.nth, CASE WHEN kept < 20 AND k.bytes + f.bytes <= 15000 THEN kept + 1 ELSE kept END, CASE WHEN kept < 20 AND k.bytes + f.bytes <= 15000 THEN k.bytes + f.bytes ELSE k.bytes END,
                  CASE WHEN kept < 20 AND k.bytes + f.bytes <= 15000 THEN concat(names, ',', f.name) ELSE names END FROM k JOIN f ON f.user_id = k.user_id AND f.nth = k.nth + 1)
         SELECT user_id, kept, bytes, ltrim(names, ',') AS names FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY nth DESC) AS last FROM k) WHERE last = 1""",
+    "archive_round_trip": f"WITH {EVENT} SELECT count(*) AS rows, count(DISTINCT id) AS ids, max(start_ts) AS latest, CAST(0 AS BIGINT) AS bad FROM context_event",
     "greedy_segments": f"{SIZED} SELECT id, user_id, place, segment FROM fold",
     "segment_overlap": SIZED + """, heads AS (SELECT user_id, segment, min(place) AS first_place FROM fold GROUP BY user_id, segment),
         back AS (SELECT h.user_id, h.segment, h.first_place, f.place, h.first_place - f.place AS dist, sum(f.size) OVER (PARTITION BY h.user_id, h.segment ORDER BY f.place DESC) AS used

@@ -11,6 +11,7 @@ from chatloom.functions.columns import captured_at, char_grams, compact_key, fnv
 from chatloom.functions import claims, normalize
 from chatloom.operators import archive, browse, ensemble, evidence, gates, links, merge, people, segments
 from chatloom.sources import adapted
+from chatloom.sources.staging import new_path
 
 AS_OF = "2024-01-20 00:00:00"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +180,15 @@ def retention_budget(spark, sf_dir):
     return gates.kept_within(files, 20, 15_000, "user_id")
 
 
+@query
+def archive_round_trip(spark, sf_dir):
+    """A commit of all events and its verification: rows read back, versions that are not what was written."""
+    held = archive.Archive(spark, new_path(spark, "archive"))
+    held.commit(adapted.context_event(spark, sf_dir))
+    bad = held.verify()
+    return held.snapshot().agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"), F.max("start_ts").alias("latest")).withColumn("bad", F.lit(len(bad)).cast("long"))
+
+
 # Segments ------------------------------------------------------------------------------------------------------------
 
 

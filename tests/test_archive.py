@@ -26,10 +26,50 @@ def test_commits_changes_and_compaction(spark, tmp_path):
     assert a.verify() == []
     four = a.compact()
     assert state(a) == [("3", "z")] and len(a.manifest()) == 1 and a.changes(one) is None
-    spark.createDataFrame([("3", "other", "upsert")], "id string, text string, op string").write.mode("overwrite").parquet(f"{tmp_path}/a/v={four}")
+    spark.createDataFrame([("3", "other", "upsert")], "id string, text string, op string").write.mode("overwrite").parquet(f"{tmp_path}/a/{a.manifest()[-1]['folder']}")
     assert a.verify() == [four]
 
 
+def test_a_writer_that_stops_changes_nothing(spark, tmp_path, monkeypatch):
+    a = Archive(spark, str(tmp_path / "a"))
+    one = a.commit(rows(spark, ("1", "x")))
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m:
+        m.setattr(Archive, "_publish", stop)
+        for act in (lambda: a.commit(rows(spark, ("2", "y"))), a.compact):
+            with pytest.raises(RuntimeError):
+                act()
+    again = Archive(spark, str(tmp_path / "a"))
+    assert again.version() == one and state(again) == [("1", "x")] and again.verify() == []
+    assert again.commit(rows(spark, ("2", "y"))) == one + 1 and state(again) == [("2", "y")]
+
+
+def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    a, b = (Archive(spark, str(tmp_path / "a")) for _ in range(2))
+    one = a.commit(rows(spark, ("1", "x")))
+    stale = b.manifest()
+    a.commit_delta(rows(spark, ("2", "a")), spark.createDataFrame([], "id string"))
+    monkeypatch.setattr(b, "manifest", lambda: stale)  # b has looked before a published
+    with pytest.raises(Conflict):
+        b.commit_delta(rows(spark, ("3", "b")), spark.createDataFrame([], "id string"), expected=one)
+    assert state(a) == [("1", "x"), ("2", "a")]
+
+
+def test_many_changes_compact(spark, tmp_path, monkeypatch):
+    from chatloom.operators import archive
+
+    monkeypatch.setattr(archive, "COMPACT_LEAST", 3)
+    a = Archive(spark, str(tmp_path / "a"))
+    a.commit(rows(spark, *[(str(i), "x") for i in range(10)]))
+    a.commit(rows(spark, ("1", "y")))  # ten operations over one row
+    assert [s["kind"] for s in a.manifest()] == ["snapshot"] and state(a) == [("1", "y")]
+    b = Archive(spark, str(tmp_path / "b"))
+    assert b.migrate(rows(spark, ("1", "old"))) == 1 and b.migrate(rows(spark, ("2", "new"))) == 1 and state(b) == [("1", "old")]
+
+
 def test_first_only(spark):
     df = spark.createDataFrame([(1, "c", "u"), (2, "c", "u"), (3, "d", "u"), (4, "c", None)], "id int, k string, url string")
     assert [(r.id, r.url) for r in first_only(df, "url", ["k"], ["id"]).orderBy("id").collect()] == [(1, "u"), (2, None), (3, "u"), (4, None)]
