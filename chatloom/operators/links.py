@@ -86,7 +86,12 @@ def names_containing(names: DataFrame, known: DataFrame, name: str, other: str,
 
     def parts(text: str, lengths: list[int]):
         """All distinct substrings of the given lengths."""
-        every = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i, n=n: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in lengths]
+        none = F.array().cast("array<string>")
+
+        def of_length(n: int):
+            return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(none)
+
+        every = [none, *map(of_length, lengths)]
         return F.explode(F.array_distinct(F.concat(*every)))
 
     def lengths(rows: DataFrame, column: str) -> list[int]:
