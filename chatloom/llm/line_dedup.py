@@ -17,13 +17,13 @@ kept by `drop_common_lines(..., keep=...)`.
 
 from __future__ import annotations
 
-import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, new_path, staged, with_row_key
+from .common import ascii_lower, bucketed, new_path, staged, with_row_key
 
 WHITE = " \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
@@ -37,21 +37,28 @@ def line_hashes(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc_id", "row_key", "pos", F.pmod("row_key", F.lit(batches)).cast("int").alias("batch"))
 
 
+@contextmanager
+def in_bucket_order(spark):
+    """Plans that are made inside know that a bucket of one file is sorted, so runs are merged without sorting them again."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Runs:
     """The levelled runs."""
 
     def __init__(self, spark, min_documents: int, fanout: int):
         self.spark, self.least, self.fanout = spark, min_documents, fanout
         self.levels: list[list[DataFrame]] = []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _written(self, counts: DataFrame) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex[:12]}"
-        counts.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", new_path(self.spark, "runs")).saveAsTable(name)
-        run = self.spark.table(name)
-        run.schema  # resolved; the name is of no more use, the files stay
-        self.spark.sql(f"DROP TABLE {name}")
-        return run
+        with in_bucket_order(self.spark):
+            return bucketed(counts, new_path(self.spark, "runs"), HASH)
 
     def add(self, batch: DataFrame) -> None:
         """batch: h1, h2, n of documents that no earlier batch held."""
@@ -90,7 +97,8 @@ def drop_common_lines(docs: DataFrame, min_documents: int = 10, min_chars: int =
     for i in range(batches):
         once = lines.where(F.col("batch") == i).groupBy(*HASH, "doc_id", "row_key").agg(F.lit(1).alias("one"))
         runs.add(once.groupBy(*HASH).agg(F.count("*").alias("n")))
-    common = staged(runs.common(), "common")
+    with in_bucket_order(docs.sparkSession):
+        common = staged(runs.common(), "common")
     dropped = lines.join(common, HASH).select(F.col("doc_id").alias("drop_id"), F.col("row_key").alias("drop_key"), "pos").groupBy("drop_id", "drop_key").agg(F.collect_set("pos").alias("dropped"))
     both = keyed.join(dropped, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("row_key") == F.col("drop_key")), "left")
     both = both.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text"), "dropped")

@@ -53,3 +53,19 @@ def test_no_python_in_the_plan(spark):
     plan = D.drop_common_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert hashlib.sha256(b"").hexdigest() == spark.sql("SELECT sha2('', 256)").first()[0]
+
+
+def test_runs_are_merged_without_sorting(spark):
+    """The scans of the runs are sorted, so merging them sorts nothing."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = D.Runs(spark, 2, 3)
+        for i in range(2):
+            runs._place(runs._written(spark.range(1000).repartition(3).selectExpr("id AS h1", "id * 7 AS h2", "1L AS n").groupBy("h1", "h2").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")), 0)
+        with D.in_bucket_order(spark):
+            common = runs.common()
+            plan = common._jdf.queryExecution().executedPlan().toString()
+            assert common.count() == 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
