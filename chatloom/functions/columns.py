@@ -13,6 +13,8 @@ DIRECT_WORDS = r"(?i)私聊|单聊|好友|friend|direct|personal"
 DATE_TIME = r"(\d{4})\s*(?:年|[-/])\s*(\d{1,2})\s*(?:月|[-/])\s*(\d{1,2})(?:\s*(?:日|号))?(?:[ T]+(\d{1,2})(?:\s*[:时]\s*(\d{1,2}))?(?:\s*[:分]\s*(\d{1,2}))?\s*秒?\s*)?"
 #: Ages in days and how relevant a message of at most that age is.
 RELEVANCE = ((3, 1.0), (7, 0.92), (14, 0.78), (30, 0.62), (60, 0.42), (120, 0.24), (365, 0.1))
+#: The space and ASCII from ! to ~ in full width, and plain.
+FULL_WIDTH, PLAIN = (space + "".join(chr(x + shift) for x in range(0x21, 0x7F)) for space, shift in (("\u3000", 0xFEE0), (" ", 0)))
 RELEVANCE_OLDER, RELEVANCE_UNDATED = 0.04, 0.08
 
 
@@ -41,8 +43,9 @@ def text_key(text: Column) -> Column:
 
 
 def compact_key(text: Column) -> Column:
-    """Lower case without punctuation, symbols and white space. For text in compatibility forms, nfkc() goes first."""
-    return F.lower(F.regexp_replace(text, r"[\p{P}\p{S}\s]+", ""))
+    """Lower case without punctuation, symbols and white space, full-width forms of ASCII as their plain ones. For text in other
+    compatibility forms, nfkc() goes first."""
+    return F.lower(F.regexp_replace(F.translate(text, FULL_WIDTH, PLAIN), r"[\p{P}\p{S}\s]+", ""))
 
 
 @F.pandas_udf(StringType())

@@ -3,8 +3,9 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from chatloom.functions import claims, normalize
 from chatloom.functions import columns as C
-from chatloom.operators import gates, merge
+from chatloom.operators import gates, links, merge
 
 
 def fnv(text):
@@ -88,3 +89,33 @@ def test_text_keys_see_whole_messages(spark, tmp_path):
         assert r.compact == (None if t is None else re.sub(r"[\W_]+", "", t).lower())
     assert got["m-0-0"].compact != got["m-1-0"].compact
     assert len(got["m-0-0"].grams.split("|")) == 36
+
+
+def test_full_width_keys_are_plain_ones(spark):
+    rows = spark.createDataFrame([("ＡＢＣ　１２３！ｘ",), ("abc 123 x",)], "t string")
+    assert {r.k for r in rows.select(C.compact_key(F.col("t")).alias("k")).collect()} == {"abc123x"}
+
+
+def test_small_functions(spark):
+    rows = spark.createDataFrame([("医院 7", {"homeAddress": "x", "placeTag": "home", "lat": "1", "steps": "9"}, "b", "2024-01-10 12:00:00")], "t string, m map<string,string>, k string, at string")
+    got = rows.select(
+        normalize.place_category(F.col("t")).alias("place"),
+        links.hidden_values(F.col("m")).alias("left"),
+        normalize.one_of(F.col("k"), "a", "b").alias("one"),
+        normalize.one_of(F.col("k"), "a").alias("other"),
+        claims.whole_days(F.col("at").cast("timestamp_ntz"), "2024-01-20 00:00:00").alias("days"),
+    ).first()
+    assert (got.place, got.left, got.one, got.other, got.days) == ("health", {"placeTag": "home", "steps": "9"}, "b", "unknown", 9)
+
+
+def test_staged_tables_go_with_their_scope(spark, tmp_path):
+    import os
+
+    from chatloom.sources.staging import new_path, scope, staged
+
+    with scope(spark):
+        path = new_path(spark, "x")
+        table = staged(spark.range(3), "y")
+        files = [f.replace("file://", "") for f in table.inputFiles()]
+        assert table.count() == 3 and all(map(os.path.exists, files))
+    assert not any(map(os.path.exists, files)) and path
