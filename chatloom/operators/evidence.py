@@ -99,7 +99,12 @@ def fingerprints(messages: DataFrame, key: str) -> DataFrame:
     their hashes hashed in blocks of `FINGERPRINT_BLOCK`, whose hashes make the digest: a long conversation is many tasks, and
     what comes together in one is a hash a block."""
     row = F.sha2(F.concat_ws("\u001f", "id", F.coalesce(F.date_format("captured_ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")), F.coalesce("speaker", F.lit("")), F.coalesce("speaker_role", F.lit("")), F.coalesce("content", F.lit(""))), 256)
-    rows = placed(messages.select(key, "captured_ts", "id", row.alias("row")), key, [F.col("captured_ts").asc_nulls_last(), F.col("id")])
+    return digests(messages.select(key, "captured_ts", "id", row.alias("row")), key, [F.col("captured_ts").asc_nulls_last(), F.col("id")])
+
+
+def digests(hashed: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """key, rows, digest of the hashes (row) of each key's rows in their order."""
+    rows = placed(hashed, key, order)
 
     def joined(at: str, value: str):
         return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, value))), lambda x: x[value]), "\u001e"), 256)

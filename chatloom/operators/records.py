@@ -12,6 +12,7 @@ from chatloom.operators.segments import placed, segments
 # Limits, labels and names that readers see.
 CONTENT, JOURNAL, TITLE, SUMMARY = 3000, 8000, 40, 1200
 NO_TEXT = "[non-text message]"
+UNNAMED = "未命名人物"
 SNAPSHOT, SNAPSHOT_TITLE = "[每日状态快照]", " 状态快照"
 MOOD, SLEEP, HOURS, MEDICATION, ALCOHOL, FOCUS, NOTE = "状态：", "睡眠：", " 小时", "药物：", "酒精：", "主要在做：", "一句话："
 MEDICATIONS = {"yes": "是", "no": "否", "reduced": "减量", "unknown": "未记录"}
@@ -114,3 +115,12 @@ def checkin_rows(checkins: DataFrame) -> DataFrame:
         line(NOTE, F.col("note")),
     )
     return checkins.select(F.concat(F.lit("checkin-"), "date").alias("id"), F.concat("date", F.lit(SNAPSHOT_TITLE)).alias("title"), text.alias("content"), F.concat("date", F.lit("T12:00:00")).alias("captured_at"), F.lit("self").alias("speaker_role"), F.lit("daily-checkin").alias("message_type"))
+
+
+def person_summaries(people: DataFrame, claims: DataFrame) -> DataFrame:
+    """id, name, last_ts, portrait, facts, preferences: people (person, name, last_ts, portrait) in short, with how many of their
+    claims (person, kind) are facts and preferences."""
+    counts = claims.groupBy("person").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("fact", "facts"), ("preference", "preferences"))])
+    name, portrait = (F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, n) for c, n in (("name", 160), ("portrait", 480)))
+    rows = people.join(counts, "person", "left").na.fill(0, ["facts", "preferences"])
+    return rows.select(F.col("person").alias("id"), F.when(name != "", name).otherwise(UNNAMED).alias("name"), "last_ts", portrait.alias("portrait"), "facts", "preferences")
