@@ -16,6 +16,8 @@ RECORD_ID, RECORD_TEXT, ATTACHMENTS, ATTACHMENT_SIZE = 160, 3000, 4, 16 * 1024 *
 CATEGORIES = ("identity", "background", "preference", "habit", "boundary", "interaction", "skill", "temporary", "filler")
 STABILITIES = ("single", "repeated", "persistent")
 OBSERVATION_KINDS = ("event", "behavior", "emotional-state", "cognition", "relationship", "decision", "routine", "stressor", "coping", "change", "uncertainty")
+VALUE_KEY, VALUE_TEXT, VALUES = r"^[a-zA-Z][a-zA-Z0-9_.-]{0,63}$", 800, 48
+PLACE_KEY = r"(?i)(?:^|[_.-])(?:lat(?:itude)?|lng|lon(?:gitude)?|coord(?:inate)?s?|address|geohash)(?:$|[_.-])"
 EVENT_KINDS = ("calendar", "location", "movement", "screen-time", "activity", "health", "payment", "device", "custom")
 
 
@@ -89,11 +91,17 @@ def self_only(records: DataFrame) -> DataFrame:
 
 def coarse_events(events: DataFrame) -> DataFrame:
     """The first SELF_ROWS events of each payload, without what tells a place: payload, ord, id, kind, title, summary, start_ts,
-    end_ts. Ones without id, start or title are left out; an end before the start is none."""
+    end_ts and, if they have them, values (a map of texts: the first VALUES that are not blank, without keys that tell a place).
+    Ones without id, start or title are left out; an end before the start is none."""
     kind = F.when(F.col("kind").isin(*EVENT_KINDS), F.col("kind")).otherwise("custom")
     place = F.coalesce(F.col("kind") == "location", F.lit(False))
+    values = []
+    if "values" in events.columns:
+        kept = F.map_filter("values", lambda k, v: k.rlike(VALUE_KEY) & ~k.rlike(PLACE_KEY) & (F.trim(F.coalesce(v, F.lit(""))) != ""))
+        kept = F.map_from_entries(F.slice(F.map_entries(F.transform_values(kept, lambda k, v: F.substring(F.trim(v), 1, VALUE_TEXT))), 1, VALUES))
+        values = [F.when(F.size(kept) > 0, kept).alias("values")]
     rows = events.select(
-        "payload", "ord", _cut("id", RECORD_ID).alias("id"), kind.alias("kind"), "start_ts",
+        "payload", "ord", *values, _cut("id", RECORD_ID).alias("id"), kind.alias("kind"), "start_ts",
         F.when(F.col("end_ts") >= F.col("start_ts"), F.col("end_ts")).alias("end_ts"),
         F.when(place, "Location capture").otherwise(_cut("title", 240)).alias("title"),
         F.when(~place & (_cut("summary", 2400) != ""), _cut("summary", 2400)).alias("summary"),

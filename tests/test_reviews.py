@@ -99,6 +99,13 @@ def test_a_payload_without_rows_and_with_nulls(spark):
     assert {r["payload"]: r["issue"] for r in got} == {"a": "no-records", "b": "segment-number", "c": "core-places"}
 
 
+def test_events_tell_no_place(spark):
+    schema = "payload string, ord long, id string, kind string, title string, summary string, start_ts string, end_ts string, values map<string,string>"
+    rows = [("a", 1, "1", "location", "Home", "at home", "2024-01-01", "2023-01-01", {"home_lat": "1", "steps": " 5 ", "latency": "2", "b c": "3", "blank": " ", "none": None}), ("a", 2, "2", None, "t", None, "2024-01-01", None, None), ("a", 3, "3", "x", "t", None, None, None, {})]
+    got = payloads.coarse_events(spark.createDataFrame(rows, schema)).orderBy("ord").collect()
+    assert [(r["id"], r["kind"], r["title"], r["summary"], r["end_ts"], r["values"]) for r in got] == [("1", "location", "Location capture", None, None, {"steps": "5", "latency": "2"}), ("2", "custom", "t", None, None, None)]
+
+
 def test_risks_of_advice(spark):
     rows = spark.createDataFrame([(None,), ("  ",), ("Use PUA",), ("ask her",), ("她一定爱你",)], "advice string")
     assert [r[0] for r in rows.select(guidance.risk(rows["advice"])).collect()] == ["empty", "empty", "manipulative-or-overconfident", None, "manipulative-or-overconfident"]
