@@ -52,4 +52,48 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op5_topk_search": OP5, "op8_warc_archive": OP8, "op10_decontaminate": OP10, "op1_substring_dedup": OP1, "op2_line_dedup": OP2}
+
+
+def _step(x: str, cost: str, letter: str, line: str = "NULL") -> str:
+    """A way (struct of the cost and audit, and the text) with one more edit; null stays null. Struct order is by cost, then audit."""
+    text = f"{x}.t" if line == "NULL" else f"CASE WHEN {x}.t = '' THEN {line} ELSE {x}.t || chr(10) || {line} END"
+    return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 't': {text}}} END"
+
+
+def _inserts(into: str) -> str:
+    """SQL of one round of inserts over the ways s0 to s3."""
+    s2 = f"list_min([s2, {_step('s0', '5', 'I', repr('user:'))}, {_step('s1', '5', 'I', repr('user:'))}, {_step('s3', '5', 'I', repr('user:'))}])"
+    return f"SELECT * REPLACE ({s2} AS s2, list_min([s3, {_step('s2', '5', 'I', repr('assistant:'))}]) AS s3) FROM ({into})"
+
+
+def _rows() -> str:
+    stay = "gone = 0 AND "
+    own = "role || ':' || text"
+    s0 = _step("s0", "2", "D")
+    s1 = f"list_min([{_step('s1', '2', 'D')}, CASE WHEN {stay} i = 's' THEN {_step('s0', 'cut', 'K', own)} END])"
+    s2 = ", ".join([_step("s2", "2", "D")] + [f"CASE WHEN {stay} i = 'u' THEN {_step(s, 'cut', 'K', own)} END, CASE WHEN {stay} true THEN {_step(s, 'cut + 1', 'R', repr('user:') + ' || text')} END" for s in ("s0", "s1", "s3")])
+    s3 = ", ".join([_step("s3", "2", "D"), f"CASE WHEN {stay} i = 'a' THEN {_step('s2', 'cut', 'K', own)} END", f"CASE WHEN {stay} true THEN {_step('s2', 'cut + 1', 'R', repr('assistant:') + ' || text')} END"])
+    return f"SELECT w.conv_id, w.p + 1 AS p, {s0} AS s0, {s1} AS s1, list_min([{s2}]) AS s2, list_min([{s3}]) AS s3 FROM ways w JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.p = w.p + 1"
+
+
+# A fold over the places of each conversation: the least way into each state. CRC-32 is worked out bit by bit.
+_WAY = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+OP11 = f"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS name FROM conversations),
+hashed AS (SELECT *, xor(list_reduce(list_transform(string_split(name, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda h, c: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(h, c)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM named),
+kept AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM hashed WHERE kind <> 0),
+put AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS p, rtrim(text, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))) AS ending, left(role, 1) AS i FROM kept),
+marked AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY p) AS i_before, CASE WHEN ending = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2 WHEN right(ending, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM put),
+faulty AS (SELECT *, CASE WHEN fault IN (1, 2) THEN 1 ELSE 0 END AS gone, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS cut FROM marked),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (p > 1 AND concat(i_before, i) NOT IN ('su', 'ua', 'au')) AS illegal, max(p) AS n FROM faulty GROUP BY conv_id),
+ways AS (SELECT conv_id, CAST(0 AS BIGINT) AS p, CAST({{'c': 0, 'a': '', 't': ''}} AS {_WAY}) AS s0, CAST(NULL AS {_WAY}) AS s1, CAST(NULL AS {_WAY}) AS s2, CAST(NULL AS {_WAY}) AS s3 FROM told
+         UNION ALL SELECT conv_id, p, s0, s1, s2, s3 FROM ({_rows().replace("FROM ways w", f"FROM ({_inserts(_inserts('SELECT * FROM ways'))}) w")})),
+ended AS (SELECT conv_id, p, list_min([s0, s3]) AS best FROM ({_inserts(_inserts("SELECT * FROM ways"))})),
+found AS (SELECT t.*, best FROM told t JOIN ended e ON t.conv_id IS NOT DISTINCT FROM e.conv_id AND t.n = e.p)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN found f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
+"""
+
+ORACLE_SQL = {"op11_conversation_repair": OP11, "op5_topk_search": OP5, "op8_warc_archive": OP8, "op10_decontaminate": OP10, "op1_substring_dedup": OP1, "op2_line_dedup": OP2}
