@@ -12,6 +12,7 @@ from .decontaminate import benchmark_hits, judged
 from .line_dedup import drop_common_lines
 from .lm_scoring import cross_entropy_difference
 from .packing import pack
+from .piece_encoding import decoded, encoded
 from .pii import KINDS, by_kind, joined, of_kind, personal_data
 from .quality_classifier import fit, scored
 from .simhash_dedup import near_duplicates
@@ -77,6 +78,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure(damaged(conversations), conversations)
 
 
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = decoded(encoded(table(spark, sf_dir, "documents")))
+    n = (F.octet_length("ids") / 4).cast("long")
+    return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -89,4 +96,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontaminate": op10_decontaminate,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_piece_encoding": op12_piece_encoding,
 }
