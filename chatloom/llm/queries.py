@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .conversation_repair import damaged, structure
 from .decontaminate import benchmark_hits, judged
+from .hard_negatives import hard_negatives, labelled
 from .line_dedup import drop_common_lines
 from .lm_scoring import cross_entropy_difference
 from .packing import pack
@@ -84,6 +85,10 @@ def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(labelled(table(spark, sf_dir, "embeddings"), every=7), every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -97,4 +102,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_piece_encoding": op12_piece_encoding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
