@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import age_days, char_grams, text_key
+from chatloom.functions.columns import age_days, char_grams, text_key, trimmed
 
 # Words and patterns that results depend on, and the labels that readers see.
 LIKING = "喜欢|不喜欢|想要|想去|爱吃|感兴趣|习惯|常去|希望|讨厌|擅长|在意|计划|准备"
@@ -42,7 +42,7 @@ def category(kind: Column, text: Column, quote: Column) -> Column:
 
 def score(kind: Column, text: Column, quote: Column, stability: Column, of: Column) -> Column:
     """How much a claim tells, by its kind, stability, words, quote and category (`of`)."""
-    said = F.trim(quote)
+    said = trimmed(quote)
     return (
         F.when(kind == "preference", 5).when(kind == "event", 8).otherwise(2)
         + F.when(stability == "persistent", 6).when(stability == "repeated", 4).otherwise(0)
@@ -73,7 +73,7 @@ def anchored(sentence: Column, text: Column, quote: Column) -> Column:
 
 def all_anchored(portrait: Column, text: Column, quote: Column) -> Column:
     """Whether every sentence of a portrait is anchored in a claim."""
-    sentences = F.filter(F.split(portrait, r"[。！？!?；;\n]+"), lambda s: F.trim(s) != "")
+    sentences = F.filter(F.split(portrait, r"[。！？!?；;\n]+"), lambda s: trimmed(s) != "")
     return (F.size(sentences) > 0) & F.forall(sentences, lambda s: anchored(s, text, quote))
 
 
@@ -96,17 +96,17 @@ def past_tense(text: Column) -> Column:
 
 def not_clinical(text: Column, most: int) -> Column:
     """A text about oneself without diagnoses; blank otherwise."""
-    cut = F.substring(F.trim(text), 1, most)
+    cut = F.substring(trimmed(text), 1, most)
     return F.when(cut.rlike(CLINICAL), "").otherwise(F.coalesce(cut, F.lit("")))
 
 
 def usable_name(name: Column) -> Column:
-    bare = F.trim(name)
+    bare = trimmed(name)
     return F.coalesce((bare != "") & (F.length(bare) <= 120) & ~bare.rlike(NO_NAME), F.lit(False))
 
 
 def display_name(name: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), NAME_PREFIX, ""))
+    return trimmed(F.regexp_replace(trimmed(F.coalesce(name, F.lit(""))), NAME_PREFIX, ""))
 
 
 def relative_label(at: Column, as_of: str) -> Column:

@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+from typing import TYPE_CHECKING
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+if TYPE_CHECKING:
+    from pyspark.sql._typing import ColumnOrName
+
 # Words and patterns that results depend on.
 GROUP_WORDS = r"(?i)群聊|群组|群消息|group|groups|chatroom"
 DIRECT_WORDS = r"(?i)私聊|单聊|好友|friend|direct|personal"
 DATE_TIME = r"(\d{4})\s*(?:年|[-/])\s*(\d{1,2})\s*(?:月|[-/])\s*(\d{1,2})(?:\s*(?:日|号))?(?:[ T]+(\d{1,2})(?:\s*[:时]\s*(\d{1,2}))?(?:\s*[:分]\s*(\d{1,2}))?\s*秒?\s*)?"
 #: Ages in days and how relevant a message of at most that age is.
 RELEVANCE = ((3, 1.0), (7, 0.92), (14, 0.78), (30, 0.62), (60, 0.42), (120, 0.24), (365, 0.1))
-#: The space and ASCII from ! to ~ in full width, and plain.
-FULL_WIDTH, PLAIN = (space + "".join(chr(x + shift) for x in range(0x21, 0x7F)) for space, shift in (("\u3000", 0xFEE0), (" ", 0)))
 RELEVANCE_OLDER, RELEVANCE_UNDATED = 0.04, 0.08
+#: What counts as white space.
+WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+@cache
+def _compatibility() -> tuple[str, str, str]:
+    """By Unicode's compatibility composition: characters that become one other whatever stands beside them, what they become,
+    and the others of the basic plane that it may change, alone or with what is before them."""
+    one, more = {}, []
+    for c in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        x = chr(c)
+        to = unicodedata.normalize("NFKC", x)
+        if unicodedata.category(x)[0] == "M" or 0x1160 <= c < 0x1200 or (to != x and (len(to) > 1 or unicodedata.category(to)[0] == "M")):
+            more.append(x)
+        elif to != x:
+            one[x] = to
+    return "".join(one), "".join(one.values()), "".join(more)
+
+
+def trimmed(text: ColumnOrName) -> Column:
+    """text without white space, of any kind, at its ends."""
+    return F.trim(text, F.lit(WHITE))
 
 
 def blank_as_null(text: Column) -> Column:
-    return F.when(F.trim(text) != "", text)
+    return F.when(trimmed(text) != "", text)
 
 
 def utf16_length(text: Column) -> Column:
@@ -39,13 +66,19 @@ def fnv1a36(text: Column) -> Column:
 
 def text_key(text: Column) -> Column:
     """Lower case without white space."""
-    return F.lower(F.regexp_replace(text, r"\s+", ""))
+    return F.lower(F.regexp_replace(text, f"[{WHITE}]+", ""))
 
 
 def compact_key(text: Column) -> Column:
-    """Lower case without punctuation, symbols and white space, full-width forms of ASCII as their plain ones. For text in other
-    compatibility forms, nfkc() goes first."""
-    return F.lower(F.regexp_replace(F.translate(text, FULL_WIDTH, PLAIN), r"[\p{P}\p{S}\s]+", ""))
+    """Lower case, in compatibility composition, without punctuation, symbols and white space.
+
+    Characters that compose with nothing are translated; only texts with others (combining marks, ligatures, voiced kana in
+    half width, numbers in circles of two digits) go through Python, the others as nulls."""
+    plain, to, others = _compatibility()
+    ascii_only = F.length(text) == F.octet_length(text)
+    composes = (F.length(F.translate(text, others, "")) != F.length(text)) | text.rlike(r"[\x{10000}-\x{10ffff}]")
+    composed = F.when(ascii_only, text).otherwise(F.coalesce(nfkc(F.when(~ascii_only & composes, text)), F.translate(text, plain, to)))
+    return F.lower(F.regexp_replace(composed, rf"[\p{{P}}\p{{S}}{WHITE}]+", ""))
 
 
 @F.pandas_udf(StringType())
@@ -54,6 +87,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+def in_locale(name: ColumnOrName, locale: str = "zh_Hans_CHN") -> Column:
+    """A name to order by as its language does, not by code points."""
+    return F.collate(name, locale)
+
+
 def field_key(name: Column) -> Column:
     """A field name as synonym lists have it."""
     return F.lower(F.regexp_replace(name, r"[_\s-]", ""))
@@ -65,7 +103,7 @@ def month_of(at: Column) -> Column:
 
 def conversation_key(conversation_id: str = "conversation_id", source: str = "source", at: str = "captured_ts") -> Column:
     """The conversation a message belongs to; without an id, its source and month."""
-    legacy = F.concat(F.lit("legacy:"), F.coalesce(blank_as_null(F.trim(F.col(source))), F.lit("unknown")), F.lit(":"), F.coalesce(month_of(F.col(at)), F.lit("undated")))
+    legacy = F.concat(F.lit("legacy:"), F.coalesce(blank_as_null(trimmed(F.col(source))), F.lit("unknown")), F.lit(":"), F.coalesce(month_of(F.col(at)), F.lit("undated")))
     return F.coalesce(blank_as_null(F.col(conversation_id)), legacy)
 
 
@@ -92,7 +130,7 @@ def relevance(at: Column, as_of: str) -> Column:
 
 def row_size(at: str = "captured_ts", content: str = "content", role: str = "speaker_role", limit: int = 3000) -> Column:
     """The size of the compact row [0, time, content, role] as JSON: 64 at least, and 8 for what is around it."""
-    text = F.coalesce(blank_as_null(F.substring(F.trim(F.col(content)), 1, limit)), F.lit("[non-text message]"))
+    text = F.coalesce(blank_as_null(F.substring(trimmed(F.col(content)), 1, limit)), F.lit("[non-text message]"))
     # an object of one field of the same value has {"v":...}, six characters more
     quoted = utf16_length(F.to_json(F.struct(text.alias("v")))) - 6
     time = F.coalesce(F.length(F.date_format(F.col(at), "yyyy-MM-dd'T'HH:mm:ss")) + 2, F.lit(4))
@@ -104,7 +142,7 @@ def captured_at(value: Column) -> Column:
     """An exported time as ISO text: epoch seconds or milliseconds, or a date with an optional time; midnight gives the
     date alone, a date that is none gives null. Zones are not looked at."""
     # an array of one: the text is made once and not for each place that looks at it
-    return F.get(F.transform(F.array(F.trim(F.regexp_replace(value, "　", " "))), _captured_at), 0)
+    return F.get(F.transform(F.array(trimmed(F.regexp_replace(value, "　", " "))), _captured_at), 0)
 
 
 def _captured_at(text: Column) -> Column:
@@ -127,7 +165,7 @@ def local_time(value: Column, end_of_day: bool = False) -> Column:
 
 def union_of(*arrays: Column, most: int) -> Column:
     """Trimmed, not blank, distinct in their first order, `most` at most."""
-    every = F.filter(F.transform(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]), lambda x: F.trim(x)), lambda x: x != "")
+    every = F.filter(F.transform(F.concat(*[F.coalesce(a, F.array().cast("array<string>")) for a in arrays]), lambda x: trimmed(x)), lambda x: x != "")
     return F.slice(F.array_distinct(every), 1, most)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import blank_as_null
+from chatloom.functions.columns import blank_as_null, trimmed
 
 # Words and patterns that results depend on.
 NO_PROVIDER = "text message content 内容 聊天记录 系统 system".split()
@@ -25,7 +25,7 @@ METRES_A_DEGREE = 111_320
 
 def provider(summary: Column) -> Column:
     """The name before the first colon, if it is one."""
-    name = blank_as_null(F.trim(F.regexp_extract(summary, r"^([^:：\n]{1,48})[:：]\s*", 1)))
+    name = blank_as_null(trimmed(F.regexp_extract(summary, r"^([^:：\n]{1,48})[:：]\s*", 1)))
     return F.when(~F.lower(name).isin(NO_PROVIDER), name)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.functions.columns import trimmed
+
 DATE_ONLY, HAS_CLOCK = r"^\d{4}-\d{2}-\d{2}$", r"T|\s\d{1,2}:"
 OFFSET = 840
 
@@ -18,7 +20,7 @@ YEAR, MONTH, DAY = "年", "月", "日"
 
 def task_time(text: Column) -> Column:
     """A task's time: a date that the calendar has, or a date and a clock; null otherwise."""
-    bare = F.trim(text)
+    bare = trimmed(text)
     return F.when(bare.rlike(DATE_ONLY), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd")).cast("timestamp_ntz")).when(bare != "", F.try_to_timestamp(bare).cast("timestamp_ntz"))
 
 
@@ -26,7 +28,7 @@ def _day(text: Column, at: Column) -> Column:
     """The day of a time, with its clock if the text has one; the text itself if it is no time."""
     day = F.concat(F.year(at).cast("string"), F.lit(YEAR), F.month(at).cast("string"), F.lit(MONTH), F.dayofmonth(at).cast("string"), F.lit(DAY))
     shown = F.when(text.rlike(HAS_CLOCK), F.concat(day, F.lit(" "), F.date_format(at, "HH:mm"))).otherwise(day)
-    return F.coalesce(shown, F.when(F.trim(text) != "", F.trim(text)), F.lit(NO_SOURCE_TIME))
+    return F.coalesce(shown, F.when(trimmed(text) != "", trimmed(text)), F.lit(NO_SOURCE_TIME))
 
 
 def labelled_tasks(tasks: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 COMPACT_SEGMENTS, COMPACT_LEAST, DELTA_SHARE = 24, 10_000, 0.75
@@ -137,6 +137,9 @@ class Archive:
     def ops(self) -> DataFrame | None:
         """All operations since the last snapshot, with their version."""
         segments = self.manifest()
+        return self._ops(self.manifest())
+
+    def _ops(self, segments: list[dict]) -> DataFrame | None:
         start = max([i for i, s in enumerate(segments) if s["kind"] == "snapshot"], default=0)
         out = None
         for s in segments[start:]:
@@ -145,26 +148,37 @@ class Archive:
         return out
 
     def snapshot(self) -> DataFrame | None:
-        ops = self.ops()
+        segments = self.manifest()
+        if segments and segments[-1]["kind"] == "snapshot":  # one row an id, nothing to aggregate
+            return self._read(segments[-1]).drop("op")
+        ops = self._ops(segments)
         return None if ops is None else current(ops, "version").drop("op", "version")
 
-    def _written(self, ops: DataFrame, kind: str, version: int) -> dict:
-        """A segment's rows in a folder of their own."""
-        folder = f"v={version}-{uuid.uuid4().hex[:12]}"
-        ops.write.parquet(f"{self.path}/{folder}")
-        told = segment_digest(self.spark.read.parquet(f"{self.path}/{folder}")).first()
-        return {"version": version, "kind": kind, "rows": told["rows"], "digest": told["digest"], "folder": folder}
+    def _written(self, ops: DataFrame, kind: str, version: int, told: dict | None = None) -> dict:
+        """A segment's rows in a folder of their own; count and digest are taken while they are written."""
+        folder, seen = f"v={version}-{uuid.uuid4().hex[:12]}", Observation()
+        ops.observe(seen, *_counted(ops)).write.parquet(f"{self.path}/{folder}")
+        return {"version": version, "kind": kind, "rows": seen.get["rows"], "digest": seen.get["digest"], "folder": folder} | (told or {})
 
-    def _append(self, ops: DataFrame, segments: list[dict]) -> int:
+    def _append(self, ops: DataFrame, segments: list[dict], told: dict | None = None) -> int:
         now = max([s["version"] for s in segments], default=0)
-        new = self._written(ops, "delta", now + 1)
-        if new["rows"] == 0 and segments:
+        new = self._written(ops, "delta" if segments else "snapshot", now + 1, told)
+        if new["rows"] == 0 and segments and not told:
+            self._gone(new["folder"])
             return now
-        self._publish([*segments, new])
+        try:
+            self._publish([*segments, new])
+        except Conflict:
+            self._gone(new["folder"])
+            raise
         if len(segments) + 1 >= COMPACT_SEGMENTS or (segments and new["rows"] >= COMPACT_LEAST and new["rows"] >= self.snapshot().count()):
             return self.compact()
         return now + 1
 
+    def _gone(self, folder: str) -> None:
+        fs, place = self._fs(f"{self.path}/{folder}")
+        fs.delete(place, True)
+
     def _expecting(self, expected: int | None) -> list[dict]:
         segments = self.manifest()
         now = max([s["version"] for s in segments], default=0)
@@ -172,12 +186,12 @@ class Archive:
             raise Conflict(f"the archive is at version {now}, not {expected}")
         return segments
 
-    def commit(self, rows: DataFrame, expected: int | None = None) -> int:
-        """Make the archive hold exactly these rows."""
+    def commit(self, rows: DataFrame, expected: int | None = None, told: dict | None = None) -> int:
+        """Make the archive hold exactly these rows (one an id). What is told of the version stands in its manifest."""
         segments, state = self._expecting(expected), self.snapshot()
         if state is None:
-            return self._append(rows.withColumn("op", F.lit("upsert")), segments)
-        return self._append(_filled(difference(state, rows), rows), segments)
+            return self._append(rows.withColumn("op", F.lit("upsert")), segments, told)
+        return self._append(_filled(difference(state, rows), rows), segments, told)
 
     def commit_delta(self, upserts: DataFrame, delete_ids: DataFrame, expected: int | None = None) -> int:
         """Add, replace and delete rows; what changes nothing is left out."""
@@ -186,6 +200,32 @@ class Archive:
             return self._append(upserts.withColumn("op", F.lit("upsert")), segments)
         return self._append(_filled(effective(state, upserts, delete_ids), upserts), segments)
 
+    def told(self) -> dict:
+        """The fingerprint of the source that the last snapshot of a source came from, and when, if one was told."""
+        return next(({k: s[k] for k in ("fingerprint", "updated_at")} for s in reversed(self.manifest()) if "fingerprint" in s), {"fingerprint": None, "updated_at": None})
+
+    def saved(self, local: DataFrame, seen: int, fingerprint: str | None, imported_at: str | None, tries: int = 5) -> tuple[int, str]:
+        """Save a window's rows, which it has made from version `seen`, and the side that stands: local, remote or both.
+
+        If somebody else has committed since, the archive is read again and decided by the sources' fingerprints: if they differ, the
+        newer snapshot stands whole (without times, the archive's), as merging would bring back what its source has dropped; if
+        they agree, both by id, where both have one the local row. That is tried on the version just read, and again if that has
+        been overtaken."""
+        rows, side, told = local, "local", {"fingerprint": fingerprint, "updated_at": imported_at}
+        for _ in range(tries):
+            try:
+                return self.commit(rows, expected=seen, told=told if side != "remote" else None), side
+            except Conflict:
+                seen, remote = self.version(), self.told()
+                if remote["fingerprint"] != fingerprint:
+                    newer = fingerprint is not None and imported_at is not None and (remote["updated_at"] is None or imported_at > remote["updated_at"])
+                    if not newer:
+                        return seen, "remote"
+                    rows, side = local, "local"
+                else:
+                    rows, side = reconciled(local, self.snapshot()), "both"
+        raise Conflict(f"overtaken {tries} times")
+
     def changes(self, since: int, limit: int = 20_000) -> DataFrame | None:
         """The net operations after a version; None if a snapshot lies between or they are too many: reload then."""
         segments = self.manifest()
@@ -222,8 +262,12 @@ class Archive:
 
 def segment_digest(ops: DataFrame) -> DataFrame:
     """rows and a digest that does not hang on their order: the sum of the rows' hashes."""
+    return ops.agg(*_counted(ops))
+
+
+def _counted(ops: DataFrame) -> list[Column]:
     each = F.xxhash64(F.to_json(F.struct(*sorted(ops.columns)), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
-    return ops.agg(F.count("*").alias("rows"), F.coalesce(F.sum(each), F.lit(0)).cast("string").alias("digest"))
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(each), F.lit(0)).cast("string").alias("digest")]
 
 
 def _filled(ops: DataFrame, rows: DataFrame) -> DataFrame:

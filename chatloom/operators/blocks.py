@@ -22,3 +22,18 @@ def connected(edges: DataFrame) -> DataFrame:
         labels = fallen.select("node", "block")
         if fallen.where("block <> was").isEmpty():
             return labels
+
+
+def extended(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The labels (node, block) with more edges (a, b), and moved: was, block for every old block or new node that they reach. Known
+    nodes stand for their block, so only what the new edges reach is gone through; the result is that of all edges at once."""
+    new = staged(edges.select("a", "b").distinct(), "edges")
+    nodes = new.select(F.col("a").alias("node")).union(new.select("b")).distinct()
+    known = staged(nodes.join(labels, "node", "left").select("node", F.coalesce("block", "node").alias("was"), F.col("block").isNull().alias("fresh")), "known")
+    a, b = known.select(F.col("node").alias("a"), F.col("was").alias("was_a")), known.select(F.col("node").alias("b"), F.col("was").alias("was_b"))
+    between = new.join(a, "a").join(b, "b").select(F.col("was_a").alias("a"), F.col("was_b").alias("b"))
+    moved = staged(connected(between).select(F.col("node").alias("was"), "block"), "moved")
+    to = moved.where("was <> block").withColumnRenamed("block", "to")
+    old = labels.join(to, F.col("block") == F.col("was"), "left").select("node", F.coalesce("to", "block").alias("block"))
+    more = known.where("fresh").join(moved, "was").select("node", "block")
+    return staged(old.unionByName(more), "labels"), moved

@@ -16,15 +16,21 @@ QUOTAS = (0.42, 0.60, 0.78, 0.88, 1.0)
 
 
 def merged_claims(claims: DataFrame, *by: str) -> DataFrame:
-    """One claim of those with the same key: the first SOURCES sources by time, times, and whether it is repeated."""
-    ranked = claims.dropDuplicates([*by, "source_id"]).withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("observed_ts", "source_id")))
-    return ranked.groupBy(*by).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= SOURCES, F.struct("nth", "source_id")))), lambda x: x["source_id"]), ",").alias("sources"),
-        F.count("*").alias("n_sources"),
-        F.min("observed_ts").alias("first_ts"),
-        F.max("observed_ts").alias("last_ts"),
-        F.max("score").alias("score"),
-    ).withColumn("strength", F.when(F.col("n_sources") > 1, "repeated").otherwise("single"))
+    """One claim of those with the same key: the first SOURCES sources by time, times, and whether it is repeated.
+
+    The sources are ranked apart from the sums: a rank with a limit is cut in every task before it is shuffled, so a claim with
+    any number of sources sends SOURCES of them a task, and the sums are partial."""
+    once = claims.groupBy(*by, "source_id").agg(F.min("observed_ts").alias("observed_ts"), F.max("observed_ts").alias("until_ts"), F.max("score").alias("score"))
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("observed_ts", "source_id"))
+    first = once.select(*by, "observed_ts", "source_id", nth.alias("nth")).where(F.col("nth") <= SOURCES)
+    sources = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "source_id"))), lambda x: x["source_id"]), ",")
+    listed = first.groupBy(*[F.col(c).alias(f"of_{c}") for c in by]).agg(sources.alias("sources"))
+    sums = once.groupBy(*by).agg(F.count("*").alias("n_sources"), F.min("observed_ts").alias("first_ts"), F.max("until_ts").alias("last_ts"), F.max("score").alias("score"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    out = sums.join(listed, same).withColumn("strength", F.when(F.col("n_sources") > 1, "repeated").otherwise("single"))
+    return out.select(*by, "sources", "n_sources", "first_ts", "last_ts", "score", "strength")
 
 
 def scope(at: Column, as_of: str, days: int = RECENT_DAYS) -> Column:

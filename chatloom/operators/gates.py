@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import age_days, local_time
+from chatloom.functions.columns import age_days, local_time, trimmed
+from chatloom.operators.segments import BLOCK, placed
+from chatloom.sources.staging import staged
 
 # Words and patterns that results depend on.
 DIRECT = r"(?:请你|麻烦你|需要你|你(?:要|去|得|需要|记得|别忘|先)|别忘了)"
@@ -61,7 +63,7 @@ def evidence(candidate_sources: DataFrame, messages: DataFrame) -> DataFrame:
 def judged(candidates: DataFrame, proof: DataFrame, as_of: str, policy: str = "balanced") -> DataFrame:
     """candidates with the first reason against each: evidence, ownership, time, shape, expired, direction; null if it passes."""
     rows = candidates.join(proof, "id", "left")
-    shapely = (F.length(F.trim("title")) >= 2) & (F.length(F.trim("description")) >= 2)
+    shapely = (F.length(trimmed("title")) >= 2) & (F.length(trimmed("description")) >= 2)
     reversed_ = F.col("other_offers") & ~F.col("self_offers") & F.col("title").rlike(REVERSED_TITLE)
     reason = (
         F.when(F.col("n_sources").isNull(), "evidence")
@@ -80,7 +82,7 @@ def action_score(text: Column) -> Column:
     score = F.lit(0)
     for word in ACTION_WORDS:
         score = score + F.when(F.contains(low, F.lit(word)), 2 if len(word) > 1 else 1).otherwise(0)
-    bare = F.trim(low)
+    bare = trimmed(low)
     noise = F.lit(False)
     for word in NOISE_WORDS:
         noise = noise | (bare == word) | ((F.length(low) < 18) & low.startswith(word))
@@ -89,22 +91,68 @@ def action_score(text: Column) -> Column:
 
 def task_like(messages: DataFrame, least: int = 3, shortest: int = 8) -> DataFrame:
     """Messages that look like tasks, one of each 120-character key, with their score."""
-    rows = messages.withColumn("score", action_score(F.col("content"))).where((F.col("score") >= least) & (F.length(F.trim("content")) >= shortest))
+    rows = messages.withColumn("score", action_score(F.col("content"))).where((F.col("score") >= least) & (F.length(trimmed("content")) >= shortest))
     key = F.substring(F.lower(F.regexp_replace("content", r"[\s\p{P}\p{S}]+", "")), 1, 120)
     best = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), F.col("captured_ts").desc_nulls_last(), "id"))
     return rows.withColumn("key", key).withColumn("nth", best).where("nth = 1").drop("nth", "key")
 
 
-def kept_within(files: DataFrame, most: int, most_bytes: int, by: str) -> DataFrame:
-    """Files (by, name, at, bytes) that are kept, newest first, while there are fewer than `most` and their bytes stay within
-    `most_bytes`; one that is too large is passed over and later, smaller ones may stay. The order matters, so it is a fold
-    over one folder's files as an array, with the sums as state."""
-    rows = files.groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("at").cast("timestamp"))).alias("newest"), "name", "bytes"))).alias("files"))
+def kept_within(files: DataFrame, most: int, most_bytes: int, by: str, block: int = BLOCK) -> DataFrame:
+    """Files (by, name, at, bytes) that are kept, newest first (without a time last), while there are fewer than `most` and their
+    bytes stay within `most_bytes`; one that is too large is passed over and later, smaller ones may stay.
+
+    The order matters. Folders of up to `block` files are folded as a short array. Larger ones go in rounds over sorted ranges:
+    what is larger than the room left can never stay; of the rest the longest run that fits does, found by sums of blocks; the
+    one after it is passed over, and the next round goes on behind it. A round keeps at least one file, and takes all folders."""
+    rows = files.select(F.to_json(F.struct(by)).alias("folder"), F.col(by), "name", (-F.unix_micros(F.col("at").cast("timestamp"))).alias("newest"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+    sizes = rows.groupBy("folder").agg(F.count("*").alias("n"))
+    large = staged(sizes.where(F.col("n") > block).select("folder"), "large_folders")
+    if large.isEmpty():
+        return _kept_small(rows, most, most_bytes, by)
+    return _kept_small(rows.join(large, "folder", "left_anti"), most, most_bytes, by).unionByName(_kept_large(rows.join(large, "folder", "left_semi"), most, most_bytes, by, block))
+
+
+def _kept_small(rows: DataFrame, most: int, most_bytes: int, by: str) -> DataFrame:
+    file = F.struct(F.col("newest").isNull().alias("undated"), "newest", "name", "bytes")
+    each = rows.groupBy("folder").agg(F.first(by).alias(by), F.array_sort(F.collect_list(file)).alias("files"))
     begin = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("names"))
 
     def take(s, f):
         fits = (s["n"] < most) & (s["used"] + f["bytes"] <= most_bytes)
         return F.struct((s["n"] + fits.cast("int")).alias("n"), (s["used"] + F.when(fits, f["bytes"]).otherwise(0)).alias("used"), F.when(fits, F.concat(s["names"], F.array(f["name"]))).otherwise(s["names"]).alias("names"))
 
-    folded = rows.withColumn("kept", F.aggregate("files", begin, take))
+    folded = each.withColumn("kept", F.aggregate("files", begin, take))
     return folded.select(by, F.col("kept.n").cast("long").alias("kept"), F.col("kept.used").alias("bytes"), F.array_join("kept.names", ",").alias("names"))
+
+
+def _kept_large(rows: DataFrame, most: int, most_bytes: int, by: str, block: int) -> DataFrame:
+    numbered = placed(rows, "folder", [F.col("newest").asc_nulls_last(), F.col("name"), F.col("bytes")]).withColumn("block", F.floor(F.col("place") / block))
+    numbered = staged(numbered.select("folder", by, "name", "bytes", "place", "block"), "files")
+    state = staged(numbered.groupBy("folder").agg(F.lit(-1).cast("long").alias("after"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("used")), "rounds")
+    kept = None
+    while True:
+        open_ = numbered.join(state, "folder").where((F.col("place") > F.col("after")) & (F.col("n") < most) & (F.col("used") + F.col("bytes") <= most_bytes))
+        earlier = Window.partitionBy("folder").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = open_.groupBy("folder", "block").agg(F.count("*").alias("c"), F.sum("bytes").alias("b"), F.first("n").alias("n"), F.first("used").alias("used"))
+        sums = sums.withColumns({"c0": F.col("n") + F.coalesce(F.sum("c").over(earlier), F.lit(0)), "b0": F.col("used") + F.coalesce(F.sum("b").over(earlier), F.lit(0))})
+        whole = (F.col("c0") + F.col("c") <= most) & (F.col("b0") + F.col("b") <= most_bytes)
+        sums = staged(sums.withColumn("whole", whole).select("folder", "block", "c0", "b0", "whole"), "rounds")
+        # sums only rise, so the whole blocks are the first ones, and the next is the only one that is looked into
+        edge = sums.where("NOT whole").groupBy("folder").agg(F.min("block").alias("block"))
+        inside = open_.drop("n", "used").join(sums.join(edge, ["folder", "block"], "left_semi").drop("whole"), ["folder", "block"])
+        so_far = Window.partitionBy("folder", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        inside = inside.withColumns({"c": F.col("c0") + F.count("*").over(so_far), "b": F.col("b0") + F.sum("bytes").over(so_far)})
+        inside = staged(inside.withColumn("fits", (F.col("c") <= most) & (F.col("b") <= most_bytes)).select("folder", by, "name", "bytes", "place", "fits"), "rounds")
+        ahead = open_.join(sums.where("whole"), ["folder", "block"], "left_semi").select("folder", by, "name", "bytes", "place")
+        now = staged(ahead.unionByName(inside.where("fits").drop("fits")), "kept")
+        kept = now if kept is None else kept.unionAll(now)
+        stops = inside.where("NOT fits").groupBy("folder").agg(F.min("place").alias("stop"))
+        if stops.isEmpty():
+            break
+        more = now.groupBy("folder").agg(F.count("*").alias("more"), F.sum("bytes").alias("more_bytes"))
+        state = state.join(stops, "folder").join(more, "folder", "left")
+        state = staged(state.select("folder", F.col("stop").alias("after"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"), (F.col("used") + F.coalesce("more_bytes", F.lit(0))).alias("used")), "rounds")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), ",")  # `most` at most
+    found = kept.groupBy("folder").agg(F.count("*").alias("kept"), F.sum("bytes").alias("bytes"), names.alias("names"))
+    folders = numbered.groupBy("folder").agg(F.first(by).alias(by))
+    return folders.join(found, "folder", "left").select(by, F.coalesce("kept", F.lit(0).cast("long")).alias("kept"), F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"), F.coalesce("names", F.lit("")).alias("names"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.functions.columns import trimmed
+
 # Wordings of advice that manipulates or claims to know another's feelings.
 RISKS = (
     "(?i)拿捏|操控|控制对方|欲擒故纵|故意冷落|冷处理|制造焦虑|制造嫉妒|让(?:她|他|对方)吃醋|试探底线|施压|逼迫|道德绑架|套路|套话|PUA",
@@ -14,7 +16,7 @@ RISKS = (
 
 def risk(advice: Column) -> Column:
     """empty, manipulative-or-overconfident, or null for advice that may be shown."""
-    text = F.trim(F.regexp_replace(F.coalesce(advice, F.lit("")), r"\s+", " "))
+    text = trimmed(F.regexp_replace(F.coalesce(advice, F.lit("")), r"\s+", " "))
     return F.when(text == "", "empty").when(text.rlike(RISKS[0]) | text.rlike(RISKS[1]), "manipulative-or-overconfident")
 
 

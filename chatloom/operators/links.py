@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.columns import conversation_key, text_key
+from chatloom.operators.segments import BLOCK, in_blocks, placed
 
 #: Rows of a table that may be broadcast for a join that no key can do.
 SMALL = 10_000
@@ -17,16 +18,28 @@ def whole_conversations(messages: DataFrame, selected: DataFrame) -> DataFrame:
     return keyed.join(keyed.join(selected.select("id"), "id", "left_semi").select("key").distinct(), "key", "left_semi")
 
 
-def with_context(rows: DataFrame, new: str, before: int, key: str, order: list) -> DataFrame:
-    """The rows that are new, and those up to `before` rows ahead of a new one in their conversation. A frame, no self-join."""
-    ahead = Window.partitionBy(key).orderBy(*order).rowsBetween(0, before)
-    return rows.withColumn("near", F.max(F.col(new)).over(ahead)).where("near").drop("near")
-
-
-def carried_forward(rows: DataFrame, column: str, key: str, order: list) -> DataFrame:
-    """The column's last value that is known, as of each row."""
-    so_far = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(so_far))
+def with_context(rows: DataFrame, new: str, before: int, key: str, order: list, block: int = BLOCK) -> DataFrame:
+    """The rows that are new, and those up to `before` rows ahead of a new one in their conversation. A frame, no self-join; rows are
+    numbered by sorted ranges and framed in blocks that see the first rows of the next, so a conversation is many tasks."""
+    dealt = in_blocks(placed(rows, key, order), after=before, block=block)
+    ahead = Window.partitionBy(key, "block").orderBy("place").rowsBetween(0, before)
+    near = dealt.withColumn("near", F.max(F.col(new)).over(ahead))
+    return near.where("own AND near").drop("near", "own", "block", "place")
+
+
+def carried_forward(rows: DataFrame, column: str, key: str, order: list, block: int = BLOCK) -> DataFrame:
+    """The column's last value that is known, as of each row. Each block of a key tells its last value, one short row; what the
+    blocks before it tell goes to the rows of a block ahead of its first own value."""
+    dealt = in_blocks(placed(rows, key, order), block=block)
+    told = dealt.where(F.col(column).isNotNull()).groupBy(F.col(key).alias("told_key"), F.col("block").alias("told_block")).agg(F.max_by(column, "place").alias("told"))
+    every = dealt.groupBy(F.col(key).alias("of_key"), F.col("block").alias("of_block")).agg(F.lit(1).alias("one"))
+    every = every.join(told, F.col("of_key").eqNullSafe(F.col("told_key")) & (F.col("of_block") == F.col("told_block")), "left")
+    earlier = Window.partitionBy("of_key").orderBy("of_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select("of_key", "of_block", F.last("told", ignorenulls=True).over(earlier).alias("carried")).where("carried IS NOT NULL")
+    so_far = Window.partitionBy(key, "block").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    within = dealt.withColumn(column, F.last(column, ignorenulls=True).over(so_far))
+    out = within.join(carried, F.col(key).eqNullSafe(F.col("of_key")) & (F.col("block") == F.col("of_block")), "left")
+    return out.withColumn(column, F.coalesce(column, "carried")).drop("own", "block", "place", "of_key", "of_block", "carried")
 
 
 def overlapping(events: DataFrame, spans: DataFrame, by: list[str], bin_seconds: int) -> DataFrame:

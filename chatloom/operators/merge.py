@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import compact_key
+from chatloom.functions.columns import compact_key, trimmed
 from chatloom.sources.staging import staged
 
 
@@ -94,56 +94,162 @@ def keyed(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("t", F.coalesce(compact_key(F.col("title")), own)).withColumn("d", F.coalesce(compact_key(F.col("description")), own))
 
 
-def merged_candidates(candidates: DataFrame) -> DataFrame:
-    """id, absorbed, sources: candidates folded in their order; each joins the first earlier one that it equals.
-
-    Being equal is not transitive and a merged candidate gathers sources, so the fold keeps its order. It runs within blocks
-    that no equal pair leaves: candidates with the same title or description, as connected by their keys. One block may be
-    large; it is streamed in order, with the merged candidates of the block as state."""
+#: Candidates that are folded as one block.
+SMALL = 1 << 15
+#: A description under more titles than this keeps all its candidates together, instead of looking at each title.
+TITLES = 64
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """own (the hash of an id), block of the candidates that may have to do with another, so that no cluster of the fold leaves
+    its block. rows: id, t, d, s (the source or null), day (or null).
+
+    A cluster has its first candidate's title and one of its titled candidates' descriptions, and takes sources from
+    candidates of both. So who joins it shares title and description, or title and source, with a candidate of it, or a
+    description with one and a source with another of its title (`indirect`). Days that differ never meet, so a pair of keys
+    counts by the day, unless a candidate without a day has it. Many rows of one title are thus as many blocks as their
+    descriptions, sources and days part them into."""
+    titles = rows.groupBy("t").agg((F.min("d") < F.max("d")).alias("more"), (F.min("s") < F.max("s")).alias("said")).where("more AND said").select("t")
+    of_titles = rows.join(titles, "t", "left_semi")
+    described = of_titles.select("t", "d").distinct()
+    crowded = described.groupBy("d").agg(F.count("*").alias("titles"))
+    shared = rows.select("d", "s", "t").distinct().groupBy("d").agg((F.min("t") < F.max("t")).alias("several")).where("several").select("d")
+    crowded = crowded.join(shared, "d", "left_semi")
+    few = described.join(crowded.where(F.col("titles") <= TITLES), "d", "left_semi").withColumnRenamed("t", "other")
+    meets = rows.where("s IS NOT NULL").select("d", "s", "t").distinct().join(few, "d").where("t <> other").select("d", "s", F.col("other").alias("t"))
+    indirect = meets.join(of_titles.select("t", "s").distinct(), ["t", "s"], "left_semi").select("d")
+    wide = indirect.unionAll(crowded.where(F.col("titles") > TITLES).select("d")).distinct().withColumn("wide", F.lit(True))
+
+    def key(kind: str, *names: str) -> Column:
+        return F.when(F.col(names[-1]).isNotNull(), F.xxhash64(F.lit(kind), *names))
+
+    keys = F.array(key("td", "t", "d"), key("ts", "t", "s"), key("ds", "d", "s"), F.when(F.col("wide"), key("d", "d")))
+    each = rows.join(wide, "d", "left").select(F.xxhash64(F.lit("row"), "id").alias("own"), "day", F.explode(F.array_compact(keys)).alias("key"))
+    met = each.groupBy("key").agg(F.count("*").alias("n"), F.bool_or(F.col("day").isNull()).alias("open")).where("n > 1").select("key", "open")
+    nodes = each.join(met, "key").select("own", F.when(F.col("open"), F.col("key")).otherwise(F.xxhash64("key", "day")).alias("node"))
+    of = staged(nodes.groupBy("own").agg(F.array_sort(F.collect_set("node")).alias("nodes")), "nodes")  # four at most
     from chatloom.operators.blocks import connected
 
-    rows = keyed(candidates).withColumn("description", F.coalesce("description", F.lit("")))
-    edges = rows.select(F.concat(F.lit("t:"), "t").alias("a"), F.concat(F.lit("d:"), "d").alias("b")).distinct()
-    blocks = connected(edges)
-    rows = rows.join(blocks.withColumnRenamed("node", "key"), F.concat(F.lit("t:"), F.col("t")) == F.col("key")).drop("key")
+    # a candidate links its keys, so the graph is of keys alone
+    labels = connected(of.select(F.col("nodes")[0].alias("a"), F.explode("nodes").alias("b")))
+    return of.select("own", F.col("nodes")[0].alias("node")).join(labels, "node").select("own", "block")
+
+
+class _Held:
+    """The merged candidates of one block, found by what a candidate may share with them."""
+
+    def __init__(self):
+        self.all: list[dict] = []
+        self.by: dict[tuple, list[int]] = {}
+
+    def note(self, n: int, sources: list[str]) -> None:
+        h = self.all[n]
+        for key in (("td", h["t"], h["d"]), *(x for s in sources for x in (("ts", h["t"], s), ("ds", h["d"], s)))):
+            self.by.setdefault(key, []).append(n)
+
+    def first(self, r: dict) -> dict | None:
+        """The first of them that r equals."""
+        found = None
+        s = r["source_id"]
+        for key in (("td", r["t"], r["d"]), *((("ts", r["t"], s), ("ds", r["d"], s)) if s is not None else ())):
+            for n in self.by.get(key, ()):
+                if (found is None or n < found) and self._same(r, self.all[n], key[0]):
+                    found = n
+        return found
+
+    def _same(self, r: dict, h: dict, kind: str) -> bool:
+        if kind != "ts" and r["d"] != h["d"]:  # it has had that description, but no longer
+            return False
+        if r["day"] and h["day"] and r["day"] != h["day"]:
+            return False
+        p, q = r["place"], h["place"]
+        return not (p and q and p not in q and q not in p and r["precision"] == h["precision"] == 2)
+
+    def take(self, r: dict) -> str:
+        """The id of the merged candidate that r becomes part of, its own if none before it is equal."""
+        n, s = self.first(r), r["source_id"]
+        if n is None:
+            self.all.append(r | {"members": 1, "sources": [] if s is None else [s]})
+            self.note(len(self.all) - 1, self.all[-1]["sources"])
+            return r["id"]
+        h = self.all[n]
+        h["members"] += 1
+        h["day"] = h["day"] or r["day"]
+        if (not h["place"] and r["place"]) or r["precision"] > h["precision"]:
+            h["place"], h["precision"] = r["place"], r["precision"]
+        if len(r["description"]) > len(h["description"]):
+            other, h["description"], h["d"] = r["d"] != h["d"], r["description"], r["d"]
+            if other:
+                self.note(n, h["sources"])
+        if s is not None and s not in h["sources"] and len(h["sources"]) < 30:
+            h["sources"].append(s)
+            self.note(n, [s])
+        return h["id"]
+
+
+def folded(candidates: DataFrame, small: int = SMALL) -> DataFrame:
+    """id, head, absorbed, sources: every candidate and the one that it is merged into (itself: then with how many others it
+    took and its sources), folded in the order of ord; each joins the first earlier one that it equals.
+
+    Being equal is not transitive and a merged candidate gathers sources, so the order counts within a block (`_blocks`), whose
+    rows are streamed and looked up by what they share; blocks are folded apart from each other. A candidate that shares
+    nothing is in no block. Up to `small` candidates are one block, which costs less than parting them. Null or unknown
+    precisions are `unknown`, a null source is none."""
+    rows = keyed(candidates).select(
+        "id",
+        "ord",
+        "t",
+        "d",
+        F.coalesce("description", F.lit("")).alias("description"),
+        F.col("source_id").alias("s"),
+        F.substring(F.nullif("start_at", F.lit("")), 1, 10).alias("day"),
+        F.coalesce(compact_key(F.col("place")), F.lit("")).alias("place"),
+        F.when(F.col("location_precision") == "exact", 2).when(F.col("location_precision") == "approximate", 1).otherwise(0).alias("precision"),
+    )
+    rows = staged(rows, "candidates")
+    if rows.limit(small + 1).count() <= small:
+        parted = rows.withColumn("block", F.lit(0).cast("long"))
+    else:
+        parted = rows.withColumn("own", F.xxhash64(F.lit("row"), "id")).join(_blocks(rows), "own", "left")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, held = None, []
+        at, held = None, _Held()
 
-        def out():
-            return pd.DataFrame([(h["id"], len(h["members"]) - 1, ",".join(h["sources"])) for h in held], columns=["id", "absorbed", "sources"])
+        def heads() -> list[tuple]:
+            return [(h["id"], h["id"], h["members"] - 1, ",".join(h["sources"])) for h in held.all]
 
         for batch in batches:
             done = []
             for r in batch.to_dict("records"):
                 if r["block"] != at:
-                    if held:
-                        done.append(out())
-                    at, held = r["block"], []
-                place = "".join(c for c in (r["place"] or "").lower() if c.isalnum())
-                for h in held:
-                    if r["start_at"] and h["start_at"] and r["start_at"][:10] != h["start_at"][:10]:
-                        continue
-                    if place and h["place"] and place not in h["place"] and h["place"] not in place and r["location_precision"] == h["location_precision"] == "exact":
-                        continue
-                    same = (r["t"] == h["t"]) + (r["d"] == h["d"])
-                    if same == 2 or (same == 1 and r["source_id"] in h["sources"]):
-                        h["members"].append(r["id"])
-                        if r["source_id"] not in h["sources"] and len(h["sources"]) < 30:
-                            h["sources"].append(r["source_id"])
-                        h["start_at"] = h["start_at"] or r["start_at"]
-                        if len(r["description"]) > len(h["description"]):
-                            h["description"], h["d"] = r["description"], r["d"]
-                        rank = ("unknown", "approximate", "exact").index
-                        if (not h["place"] and place) or rank(r["location_precision"]) > rank(h["location_precision"]):
-                            h["place"], h["location_precision"] = place, r["location_precision"]
-                        break
-                else:
-                    held.append({k: r[k] for k in ("id", "t", "d", "description", "start_at", "location_precision")} | {"place": place, "members": [r["id"]], "sources": [r["source_id"]]})
-            if done:
-                yield pd.concat(done)
-        if held:
-            yield out()
-
-    narrow = rows.select("block", "ord", "id", "t", "d", "description", "source_id", "start_at", "place", "location_precision")
-    return narrow.repartition("block").sortWithinPartitions("block", "ord").mapInPandas(fold, "id string, absorbed long, sources string")
+                    done += heads()
+                    at, held = r["block"], _Held()
+                head = held.take(r)
+                if head != r["id"]:
+                    done.append((r["id"], head, None, None))
+            yield pd.DataFrame(done, columns=["id", "head", "absorbed", "sources"]).astype({"absorbed": "Int64"})
+        yield pd.DataFrame(heads(), columns=["id", "head", "absorbed", "sources"]).astype({"absorbed": "Int64"})
+
+    narrow = parted.where("block IS NOT NULL").select("block", "ord", "id", "t", "d", "description", F.col("s").alias("source_id"), "day", "place", "precision")
+    several = narrow.repartition("block").sortWithinPartitions("block", "ord", "id").mapInPandas(fold, "id string, head string, absorbed long, sources string")
+    alone = parted.where("block IS NULL").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("absorbed"), F.coalesce("s", F.lit("")).alias("sources"))
+    return several.unionAll(alone)
+
+
+def merged_candidates(candidates: DataFrame, small: int = SMALL) -> DataFrame:
+    """id, absorbed, sources: the merged candidates (see folded), how many others each took, and its first 30 sources."""
+    return folded(candidates, small).where("id = head").select("id", "absorbed", "sources")
+
+
+def adjudicated(observations: DataFrame, extractors: int) -> DataFrame:
+    """candidate, passes, models, agreement of merged candidates: how many passes and models saw one of its members. One
+    extractor: single; two passes or more: consensus; else needs-review. observations: candidates with pass_id and model;
+    those without a pass take no part."""
+    rows = observations.where(trimmed("pass_id") != "")
+    members = folded(rows).select("id", F.col("head").alias("candidate")).join(rows.select("id", "pass_id", F.nullif(trimmed("model"), F.lit("")).alias("model")), "id")
+    told = F.lit("single") if extractors <= 1 else F.when(F.col("passes") >= 2, "consensus").otherwise("needs-review")
+    # counted by distinct pairs first, so that a candidate with many members is no group of their rows
+    passes = members.select("candidate", "pass_id").distinct().groupBy("candidate").agg(F.count("*").alias("passes"))
+    models = members.where("model IS NOT NULL").select("candidate", "model").distinct().groupBy("candidate").agg(F.count("*").alias("models"))
+    out = passes.join(models, "candidate", "left").withColumn("agreement", told)
+    return out.select("candidate", "passes", F.coalesce("models", F.lit(0).cast("long")).alias("models"), "agreement")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import fnv1a36
+from chatloom.functions.columns import fnv1a36, trimmed
 from chatloom.operators.ensemble import clusters
 
 CLAIMS, CLAIM_TEXT, CLAIM_QUOTE, CLAIM_SOURCES, NAME, NOTES = 96, 360, 120, 12, 120, 6000
@@ -22,7 +22,7 @@ EVENT_KINDS = ("calendar", "location", "movement", "screen-time", "activity", "h
 
 
 def _cut(column: str, most: int) -> Column:
-    return F.substring(F.trim(F.coalesce(F.col(column), F.lit(""))), 1, most)
+    return F.substring(trimmed(F.coalesce(F.col(column), F.lit(""))), 1, most)
 
 
 def _first(rows: DataFrame, most: int, *order: str) -> DataFrame:
@@ -35,7 +35,7 @@ def checked(payloads: DataFrame, records: DataFrame, attachments: DataFrame) ->
     segments, core (array of places, null: all); records: payload, id, content, summary; attachments: payload, mime, size."""
     text = F.coalesce(F.when(_cut("content", RECORD_TEXT) != "", _cut("content", RECORD_TEXT)), _cut("summary", RECORD_TEXT))
     held = records.groupBy("payload").agg(F.count("*").alias("records"), F.count_if((_cut("id", RECORD_ID) == "") | (text == "")).alias("blank"))
-    bad = F.coalesce(F.trim("mime") == "", F.lit(True)) | F.coalesce((F.col("size") <= 0) | (F.col("size") > ATTACHMENT_SIZE), F.lit(True))
+    bad = F.coalesce(trimmed("mime") == "", F.lit(True)) | F.coalesce((F.col("size") <= 0) | (F.col("size") > ATTACHMENT_SIZE), F.lit(True))
     files = attachments.groupBy("payload").agg(F.count("*").alias("files"), F.count_if(bad).alias("bad_files"))
     rows = payloads.join(held, "payload", "left").join(files, "payload", "left").na.fill(0, ["records", "blank", "files", "bad_files"])
     n = F.col("records")
@@ -78,7 +78,7 @@ def merge_payloads(people: DataFrame, claims: DataFrame) -> DataFrame:
     """payload, claims, ok: a payload may go if it has a name and a claim (of merge_claims), two facts, or notes. people: payload,
     name, facts, notes."""
     held = claims.groupBy("payload").agg(F.count("*").alias("claims"))
-    facts = F.size(F.array_distinct(F.filter(F.transform(F.coalesce("facts", F.array().cast("array<string>")), lambda x: F.substring(F.trim(x), 1, CLAIM_TEXT)), lambda x: x != "")))
+    facts = F.size(F.array_distinct(F.filter(F.transform(F.coalesce("facts", F.array().cast("array<string>")), lambda x: F.substring(trimmed(x), 1, CLAIM_TEXT)), lambda x: x != "")))
     rows = people.join(held, "payload", "left").na.fill(0, ["claims"])
     ok = (_cut("name", NAME) != "") & ((F.col("claims") > 0) | (facts >= 2) | (_cut("notes", NOTES) != ""))
     return rows.select("payload", "claims", ok.alias("ok"))
@@ -97,8 +97,8 @@ def coarse_events(events: DataFrame) -> DataFrame:
     place = F.coalesce(F.col("kind") == "location", F.lit(False))
     values = []
     if "values" in events.columns:
-        kept = F.map_filter("values", lambda k, v: k.rlike(VALUE_KEY) & ~k.rlike(PLACE_KEY) & (F.trim(F.coalesce(v, F.lit(""))) != ""))
-        kept = F.map_from_entries(F.slice(F.map_entries(F.transform_values(kept, lambda k, v: F.substring(F.trim(v), 1, VALUE_TEXT))), 1, VALUES))
+        kept = F.map_filter("values", lambda k, v: k.rlike(VALUE_KEY) & ~k.rlike(PLACE_KEY) & (trimmed(F.coalesce(v, F.lit(""))) != ""))
+        kept = F.map_from_entries(F.slice(F.map_entries(F.transform_values(kept, lambda k, v: F.substring(trimmed(v), 1, VALUE_TEXT))), 1, VALUES))
         values = [F.when(F.size(kept) > 0, kept).alias("values")]
     rows = events.select(
         "payload", "ord", *values, _cut("id", RECORD_ID).alias("id"), kind.alias("kind"), "start_ts",

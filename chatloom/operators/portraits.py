@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.claims import anchored, category, eligible, overstates, past_tense, score, unsupported_numbers, uses_notes
-from chatloom.functions.columns import fnv1a36, text_key
+from chatloom.functions.columns import fnv1a36, text_key, trimmed
 from chatloom.operators.evidence import digests, scope, stability
 
 TEXT, QUOTE, SOURCES, KEYS, PLATFORMS = 360, 100, 12, 30, 8
@@ -26,12 +26,12 @@ def borne_out(claims: DataFrame, messages: DataFrame) -> DataFrame:
     A message counts if it is among the first SOURCES cited ones of the claim's conversation, its speaker has the claim's name (or
     no other speaker is named there and the conversation is expected to be with that name) and it holds the quote. One message
     does not bear out a word stronger than its own."""
-    rows = claims.withColumns({"text": F.substring(F.trim("text"), 1, TEXT), "quote": F.substring(F.trim("quote"), 1, QUOTE)})
+    rows = claims.withColumns({"text": F.substring(trimmed("text"), 1, TEXT), "quote": F.substring(trimmed("quote"), 1, QUOTE)})
     rows = rows.withColumns({"needle": text_key(F.col("quote")), "who": text_key(F.col("name")), "due": text_key(F.coalesce("expected", F.lit("")))})
     rows = rows.where((F.col("text") != "") & (F.length("needle") >= 2) & (F.col("who") != ""))
     cited = rows.select("claim_id", "key", "needle", "who", "due", F.posexplode(F.array_distinct("source_ids")).alias("pos", "id"))
     said = messages.select("key", "id", "captured_ts", "speaker_role", text_key(F.coalesce("speaker", F.lit(""))).alias("said"), text_key(F.col("content")).alias("hay"))
-    named = messages.where("speaker_role = 'other'").groupBy("key").agg(F.count_if(F.trim(F.coalesce("speaker", F.lit(""))) != "").alias("named"))
+    named = messages.where("speaker_role = 'other'").groupBy("key").agg(F.count_if(trimmed(F.coalesce("speaker", F.lit(""))) != "").alias("named"))
     found = cited.join(said, ["key", "id"]).join(named, "key")
     found = found.withColumn("nth", F.row_number().over(Window.partitionBy("claim_id").orderBy("pos"))).where(F.col("nth") <= SOURCES)
     theirs = (F.col("said") == F.col("who")) | ((F.col("who") == F.col("due")) & (F.col("named") == 0))
@@ -67,7 +67,7 @@ def cards(claims: DataFrame, messages: DataFrame, core: DataFrame | None = None)
         F.slice(F.array_sort(F.collect_set("key")), 1, KEYS).alias("keys"),
         F.slice(F.array_sort(F.collect_set("source")), 1, PLATFORMS).alias("platforms"),
     )
-    person = F.concat(F.lit("person-"), fnv1a36(F.concat(F.substring(F.trim("name"), 1, 120), F.lit("|"), F.array_join("source_ids", ","))), F.lit("-"), F.col("nth").cast("string"))
+    person = F.concat(F.lit("person-"), fnv1a36(F.concat(F.substring(trimmed("name"), 1, 120), F.lit("|"), F.array_join("source_ids", ","))), F.lit("-"), F.col("nth").cast("string"))
     return out.withColumn("person", person).withColumn("sources", F.size("source_ids").cast("long"))
 
 
@@ -92,17 +92,17 @@ def checked_blocks(blocks: DataFrame, registry: DataFrame, notes: DataFrame, as_
     """person, pos, text, claim_ids, source_ids, reason, scope, from_ts, to_ts, manual, issue: the first BLOCKS blocks of each
     portrait with the first rule that each breaks (null: none). blocks: person, pos (from 1), text, claim_ids, reason; registry:
     person, claim_id, text, quote, source_ids, eligible, first_ts, last_ts; notes: person, notes."""
-    rows = blocks.where(F.col("pos") <= BLOCKS).select("person", "pos", F.substring(F.trim(F.coalesce("text", F.lit(""))), 1, BLOCK_TEXT).alias("text"), F.slice(F.array_distinct(F.coalesce("claim_ids", F.array().cast("array<string>"))), 1, BLOCK_CLAIMS).alias("claim_ids"), F.when(F.col("reason").isin(*REASONS), F.col("reason")).otherwise("other").alias("reason"))
+    rows = blocks.where(F.col("pos") <= BLOCKS).select("person", "pos", F.substring(trimmed(F.coalesce("text", F.lit(""))), 1, BLOCK_TEXT).alias("text"), F.slice(F.array_distinct(F.coalesce("claim_ids", F.array().cast("array<string>"))), 1, BLOCK_CLAIMS).alias("claim_ids"), F.when(F.col("reason").isin(*REASONS), F.col("reason")).otherwise("other").alias("reason"))
     at = F.coalesce("last_ts", "first_ts")
     known = registry.select("person", "claim_id", F.struct("claim_id", F.col("text").alias("text"), "quote", "source_ids", "eligible", scope(at, as_of).alias("scope"), F.coalesce("first_ts", "last_ts").alias("from_ts"), at.alias("to_ts")).alias("claim"))
     cited = rows.select("person", "pos", F.posexplode("claim_ids").alias("at", "claim_id")).join(known, ["person", "claim_id"])
     # at most BLOCK_CLAIMS claims a block
     held = cited.groupBy("person", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "claim"))), lambda x: x["claim"]).alias("claims"))
-    rows = rows.join(held, ["person", "pos"], "left").join(notes.select("person", F.trim(F.coalesce("notes", F.lit(""))).alias("notes")), "person", "left")
+    rows = rows.join(held, ["person", "pos"], "left").join(notes.select("person", trimmed(F.coalesce("notes", F.lit(""))).alias("notes")), "person", "left")
     rows = rows.withColumns({"notes": F.coalesce("notes", F.lit("")), "claims": F.coalesce("claims", F.array().cast(held.schema["claims"].dataType))})
     rows = rows.withColumn("manual", F.array_contains("claim_ids", MANUAL) & (F.col("notes") != ""))
     claims, text = F.col("claims"), F.col("text")
-    sentences = F.filter(F.split(text, r"[。！？!?；;\n]+"), lambda s: F.trim(s) != "")
+    sentences = F.filter(F.split(text, r"[。！？!?；;\n]+"), lambda s: trimmed(s) != "")
     anchor = (F.size(sentences) > 0) & F.forall(sentences, lambda s: F.exists(claims, lambda c: anchored(s, c["text"], c["quote"])))
     allowed = F.concat_ws(" ", F.transform(claims, lambda c: F.concat_ws(" ", c["text"], c["quote"])), F.col("notes"))
     recent, past = F.exists(claims, lambda c: c["scope"] == "recent"), F.exists(claims, lambda c: c["scope"] == "historical")
@@ -137,7 +137,7 @@ def checked_portraits(checked: DataFrame, registry: DataFrame, notes: DataFrame,
     sources = claims.where("scope = 'recent'").select("person", F.explode("source_ids").alias("id")).groupBy("person").agg(F.count_distinct("id").alias("recent_sources"))
     people = registry.select("person").union(notes.select("person")).union(checked.select("person")).distinct()
     rows = people
-    for part in (of_blocks, cited, lasting, sources, notes.select("person", F.length(F.trim("notes")).alias("noted"))):
+    for part in (of_blocks, cited, lasting, sources, notes.select("person", F.length(trimmed("notes")).alias("noted"))):
         rows = rows.join(part, "person", "left")
     rows = rows.na.fill(0, ["good", "cited", "lasting", "recent", "recent_sources", "noted"]).na.fill(False, ["manual", "current"])
     own = F.array(
@@ -165,7 +165,7 @@ def signatures(registry: DataFrame, notes: DataFrame, version: str) -> DataFrame
     quote, source_ids, score, first_ts, last_ts); nobody without both. A person's claims are hashed in blocks of sorted ranges."""
     row = F.sha2(F.to_json(F.struct("kind", "text", "quote", F.array_sort("source_ids").alias("source_ids"), "score", "first_ts", "last_ts")), 256)
     claims = digests(registry.select("person", "ord", "claim_id", row.alias("row")), "person", [F.col("ord"), F.col("claim_id")])
-    noted = notes.select("person", F.trim("notes").alias("notes")).where("notes <> ''")
+    noted = notes.select("person", trimmed("notes").alias("notes")).where("notes <> ''")
     rows = claims.join(noted, "person", "full")
     return rows.select("person", F.sha2(F.concat_ws("\u001f", F.lit(version), F.coalesce("digest", F.lit("")), F.coalesce("notes", F.lit(""))), 256).alias("signature"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.claims import not_clinical
-from chatloom.functions.columns import blank_as_null
+from chatloom.functions.columns import blank_as_null, trimmed
 from chatloom.operators.segments import placed, segments
 
 # Limits, labels and names that readers see.
@@ -21,7 +21,7 @@ ALCOHOLS = {"none": "无", "low": "少", "high": "多", "unknown": "未记录"}
 
 def model_text(*texts: Column) -> Column:
     """The first text that is not blank, trimmed and cut; a placeholder, as a row without text keeps its place."""
-    return F.coalesce(F.substring(F.coalesce(*[blank_as_null(F.trim(t)) for t in texts]), 1, CONTENT), F.lit(NO_TEXT))
+    return F.coalesce(F.substring(F.coalesce(*[blank_as_null(trimmed(t)) for t in texts]), 1, CONTENT), F.lit(NO_TEXT))
 
 
 def known_role(role: Column) -> Column:
@@ -55,7 +55,7 @@ def self_plan(records: DataFrame, budgets: dict[str, int]) -> DataFrame:
 
 def verified_observations(observations: DataFrame, messages: DataFrame, core: DataFrame) -> DataFrame:
     """Observations (observation, kind, text, evidence: an array of source_id, quote) that messages of one's own bear out, one of them core (id)."""
-    quote = F.substring(F.trim("e.quote"), 1, 180)
+    quote = F.substring(trimmed("e.quote"), 1, 180)
     told = observations.withColumn("text", not_clinical(F.col("text"), 600)).where("text <> ''")
     cited = told.select("observation", F.explode("evidence").alias("e")).select("observation", F.col("e.source_id").alias("id"), quote.alias("quote")).where(F.length("quote") >= 2).distinct()
     own = messages.where("speaker_role = 'self'").select("id", "content", "captured_ts")
@@ -85,7 +85,7 @@ def resolved_periods(paragraphs: DataFrame, observations: DataFrame) -> DataFram
 
 def journal_rows(entries: DataFrame) -> DataFrame:
     """Journal entries (entry, name, content, at) as messages; blank ones are none."""
-    body = F.substring(F.trim("content"), 1, JOURNAL)
+    body = F.substring(trimmed("content"), 1, JOURNAL)
     rows = entries.withColumn("content", body).where("content <> ''")
     title = F.when(F.length("content") > TITLE, F.concat(F.substring("content", 1, TITLE), F.lit("..."))).otherwise(F.col("content"))
     return rows.select(F.concat(F.lit("self-journal-"), "entry").alias("id"), title.alias("title"), F.substring("content", 1, SUMMARY).alias("summary"), "content", F.col("name").alias("speaker"), F.lit("self").alias("speaker_role"), F.lit("journal").alias("message_type"), F.col("at").alias("captured_ts"))
@@ -121,6 +121,6 @@ def person_summaries(people: DataFrame, claims: DataFrame) -> DataFrame:
     """id, name, last_ts, portrait, facts, preferences: people (person, name, last_ts, portrait) in short, with how many of their
     claims (person, kind) are facts and preferences."""
     counts = claims.groupBy("person").agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (("fact", "facts"), ("preference", "preferences"))])
-    name, portrait = (F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, n) for c, n in (("name", 160), ("portrait", 480)))
+    name, portrait = (F.substring(trimmed(F.coalesce(c, F.lit(""))), 1, n) for c, n in (("name", 160), ("portrait", 480)))
     rows = people.join(counts, "person", "left").na.fill(0, ["facts", "preferences"])
     return rows.select(F.col("person").alias("id"), F.when(name != "", name).otherwise(UNNAMED).alias("name"), "last_ts", portrait.alias("portrait"), "facts", "preferences")

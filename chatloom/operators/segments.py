@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.columns import relevance
@@ -136,21 +136,41 @@ def segments(rows: DataFrame, key: str, size: str, core_rows: int, core_size: in
     return rows.join(found, (F.col(key).cast("string") == F.col("segment_key")) & (F.col("place") == F.col("segment_place"))).drop("segment_key", "segment_place")
 
 
-def overlaps(rows: DataFrame, key: str, size: str, overlap_rows: int, overlap_size: int, **_) -> DataFrame:
+def in_blocks(rows: DataFrame, before: int = 0, after: int = 0, block: int = BLOCK) -> DataFrame:
+    """rows (with a place) with their block and whether they are its own. The last `before` rows of a block also stand in the next
+    one, the first `after` in the one before, so a frame of so many rows needs no more than its block, however long the key."""
+    if max(before, after) > block:
+        raise ValueError("a frame reaches over one block at most")
+    at, nth = F.floor(F.col("place") / block), F.col("place") % block
+
+    def there(b: Column, own: bool) -> Column:
+        return F.struct(b.cast("long").alias("block"), F.lit(own).alias("own"))
+
+    copies = [there(at, True)]
+    if before:
+        copies.append(F.when(nth >= block - before, there(at + 1, False)))
+    if after:
+        copies.append(F.when((nth < after) & (at > 0), there(at - 1, False)))
+    dealt = rows.withColumn("copy", F.explode(F.array_compact(F.array(*copies))))
+    return dealt.withColumns({"block": F.col("copy.block"), "own": F.col("copy.own")}).drop("copy")
+
+
+def overlaps(rows: DataFrame, key: str, size: str, overlap_rows: int, overlap_size: int, block: int = BLOCK, **_) -> DataFrame:
     """For every segment its first place and how many rows before it are its overlap: the nearest ones, of which the first is
-    always taken. A frame of overlap_rows rows is all that is looked at."""
-    before = Window.partitionBy(key).orderBy("place").rowsBetween(-overlap_rows, -1)
-    sizes = F.reverse(F.collect_list(size).over(before))  # the nearest first
+    always taken. A frame of overlap_rows rows is all that is looked at, and blocks hand it on."""
+    dealt = in_blocks(rows.select(key, "segment", "place", F.col(size).cast("long").alias("size")), before=overlap_rows, block=block)
+    before = Window.partitionBy(key, "block").orderBy("place").rowsBetween(-overlap_rows, -1)
+    sizes = F.reverse(F.collect_list("size").over(before))  # the nearest first
 
     def take(state, s):
         go = state["go"] & ((state["n"] == 0) | (state["used"] + s <= overlap_size))
         return F.struct(go.alias("go"), (state["n"] + go.cast("int")).alias("n"), (state["used"] + F.when(go, s).otherwise(0)).alias("used"))
 
     begin = F.struct(F.lit(True).alias("go"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("used"))
-    n = F.aggregate(F.transform(sizes, lambda s: s.cast("long")), begin, take)["n"] if overlap_rows else F.lit(0)
-    first = Window.partitionBy(key, "segment").orderBy("place")
-    heads = rows.withColumn("overlap", n.cast("long")).withColumn("nth", F.row_number().over(first))
-    return heads.where("nth = 1").select(key, "segment", F.col("place").alias("first_place"), "overlap")
+    n = F.aggregate(sizes, begin, take)["n"] if overlap_rows else F.lit(0)
+    heads = dealt.withColumn("overlap", n.cast("long")).where("own")
+    first = heads.groupBy(key, "segment").agg(F.min("place").alias("first_place"), F.min_by("overlap", "place").alias("overlap"))
+    return first.select(key, "segment", "first_place", "overlap")
 
 
 def plan(rows: DataFrame, key: str, at: str, as_of: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import blank_as_null, fnv1a36
+from chatloom.functions.columns import blank_as_null, fnv1a36, trimmed
 from chatloom.operators.links import name_matches, names_containing
 from chatloom.operators.merge import conflicts, keyed
 from chatloom.operators.segments import placed
@@ -25,12 +25,12 @@ def with_owner(candidates: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def _trimmed(array: str, most: int) -> Column:
-    return F.slice(F.filter(F.transform(F.coalesce(array, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+    return F.slice(F.filter(F.transform(F.coalesce(array, F.array().cast("array<string>")), lambda x: trimmed(x)), lambda x: x != ""), 1, most)
 
 
 def normalized(candidates: DataFrame) -> DataFrame:
     """Candidates of one's own with a title, a description and sources, cut to their limits; the id is a hash of these."""
-    rows = candidates.where("action_owner = 'self'").withColumn("title", F.substring(F.trim("title"), 1, TITLE)).withColumn("description", F.substring(F.trim("description"), 1, DESCRIPTION))
+    rows = candidates.where("action_owner = 'self'").withColumn("title", F.substring(trimmed("title"), 1, TITLE)).withColumn("description", F.substring(trimmed("description"), 1, DESCRIPTION))
     rows = rows.withColumn("source_ids", F.slice("source_ids", 1, SOURCES)).where("title <> '' AND description <> '' AND size(source_ids) > 0")
     key = F.concat_ws("|", "title", "description", F.array_join("source_ids", ","))
     radius = F.when(F.col("radius") > 0, F.greatest(F.lit(RADIUS[0]), F.least(F.lit(RADIUS[1]), F.floor(F.col("radius") + 0.5)))).cast("long")
@@ -41,7 +41,7 @@ def normalized(candidates: DataFrame) -> DataFrame:
         "source_ids",
         _trimmed("people", PEOPLE).alias("people"),
         _trimmed("tags", TAGS).alias("tags"),
-        F.substring(blank_as_null(F.trim("place")), 1, PLACE).alias("place"),
+        F.substring(blank_as_null(trimmed("place")), 1, PLACE).alias("place"),
         F.when(F.col("location_precision").isin("exact", "approximate", "unknown"), F.col("location_precision")).alias("location_precision"),
         radius.alias("radius"),
         F.lit("pending").alias("status"),
@@ -116,7 +116,7 @@ def place_removed(tasks: DataFrame, places: DataFrame, place_id: int) -> DataFra
 
 def generated_places(candidates: DataFrame, places: DataFrame, lookups: DataFrame) -> DataFrame:
     """id, place_id, found: a candidate's place among those there are, else what its name was looked up as (query, found)."""
-    asked = candidates.where(blank_as_null(F.trim("place")).isNotNull()).select("id", F.trim("place").alias("query"))
+    asked = candidates.where(blank_as_null(trimmed("place")).isNotNull()).select("id", trimmed("place").alias("query"))
     near = name_matches(asked.select("query"), places.select(F.col("name").alias("at_place"), "place_id"), "query", "at_place", "place_id").select("query", "place_id")
     known = lookups.dropDuplicates(["query"])
     return candidates.select("id").join(asked, "id", "left").join(near, "query", "left").join(known, "query", "left").select("id", "place_id", F.when(F.col("place_id").isNull(), F.col("found")).alias("found"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import DATE_TIME, blank_as_null, captured_at, fnv1a36
+from chatloom.functions.columns import DATE_TIME, blank_as_null, captured_at, fnv1a36, trimmed
 
 # Field names, words and patterns that results depend on.
 CONTENT = "content text message msg body messagecontent msgcontent".split()
@@ -218,14 +218,14 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def text_messages(files: DataFrame) -> DataFrame:
     """Lines `[time] speaker: text`, of which only the text must be there. A time counts until the next one."""
-    lines = files.select("source_file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    lines = files.select("source_file", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).withColumn("line", trimmed("line")).where("line <> ''")
     head = rf"^(?:\[\s*)?({re.sub(r'\((?![?])', '(?:', DATE_TIME)})(?:\s*\])?\s*"
     timed = F.regexp_extract("line", head, 1)
     at = captured_at(blank_as_null(timed))
-    rest = F.trim(F.regexp_replace(F.regexp_replace("line", head, ""), r"^[-|：:]+\s*", ""))
+    rest = trimmed(F.regexp_replace(F.regexp_replace("line", head, ""), r"^[-|：:]+\s*", ""))
     rows = lines.withColumn("stamped", timed != "").withColumn("own_at", at).withColumn("rest", F.when(timed != "", rest).otherwise(F.col("line")))
     named = F.col("stamped") & F.col("rest").rlike(r"^[^：:]{1,48}[：:]\s*.+$")
-    rows = rows.withColumn("speaker", F.when(named, F.trim(F.regexp_extract("rest", r"^([^：:]{1,48})[：:]", 1)))).withColumn("text", F.when(named, F.trim(F.regexp_extract("rest", r"^[^：:]{1,48}[：:]\s*(.+)$", 1))).otherwise(F.col("rest")))
+    rows = rows.withColumn("speaker", F.when(named, trimmed(F.regexp_extract("rest", r"^([^：:]{1,48})[：:]", 1)))).withColumn("text", F.when(named, trimmed(F.regexp_extract("rest", r"^[^：:]{1,48}[：:]\s*(.+)$", 1))).otherwise(F.col("rest")))
     so_far = Window.partitionBy("source_file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("at", F.last("own_at", ignorenulls=True).over(so_far)).where(F.length("text") >= 2)
     none = F.lit(None).cast("string")

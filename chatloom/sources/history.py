@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.functions.columns import trimmed
 from chatloom.operators.archive import Archive
 
 # What is scanned, and what a segment's header says.
@@ -67,7 +68,7 @@ def legacy_rows(spark: SparkSession, path: str, item_schema: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     listed = F.from_json("value", f"array<{item_schema}>")
     held = F.from_json("value", f"items array<{item_schema}>")["items"]
-    return text.select(F.explode(F.when(F.trim("value").startswith("["), listed).otherwise(held)).alias("item")).select("item.*")
+    return text.select(F.explode(F.when(trimmed("value").startswith("["), listed).otherwise(held)).alias("item")).select("item.*")
 
 
 def replayed(logs: DataFrame) -> DataFrame:

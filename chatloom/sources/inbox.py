@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import blank_as_null
+from chatloom.functions.columns import blank_as_null, trimmed
 
 MOST = 10_000
 #: The kinds of device events, and the keys that are kept of an event's values.
@@ -38,7 +38,7 @@ SNAPSHOT = "schema string, generatedAt string, producer struct<name:string,versi
 
 
 def clean(text: Column, most: int) -> Column:
-    return blank_as_null(F.substring(F.trim(F.regexp_replace(text, "\r\n", "\n")), 1, most))
+    return blank_as_null(F.substring(trimmed(F.regexp_replace(text, "\r\n", "\n")), 1, most))
 
 
 def iso(text: Column) -> Column:
@@ -113,8 +113,8 @@ def device_events(documents: DataFrame, envelope: Envelope, producer: str, impor
     valid = where["latitude"].between(-90, 90) & where["longitude"].between(-180, 180)
     exact = F.coalesce((F.col("kind") == "location") & (F.col("e.privacy") == "precise") & consent & valid, F.lit(False))
     accuracy = F.when(where["accuracyMeters"] >= 0, F.least(F.lit(1e6), where["accuracyMeters"]))
-    entries = F.filter(F.map_entries(F.map_filter("e.values", lambda k, v: k.rlike(VALUE_KEY) & (F.trim(v) != ""))), lambda x: x["key"].isNotNull())
-    values = F.map_from_entries(F.slice(F.transform(entries, lambda x: F.struct(x["key"].alias("key"), F.substring(F.trim(x["value"]), 1, 800).alias("value"))), 1, MOST_VALUES))
+    entries = F.filter(F.map_entries(F.map_filter("e.values", lambda k, v: k.rlike(VALUE_KEY) & (trimmed(v) != ""))), lambda x: x["key"].isNotNull())
+    values = F.map_from_entries(F.slice(F.transform(entries, lambda x: F.struct(x["key"].alias("key"), F.substring(trimmed(x["value"]), 1, 800).alias("value"))), 1, MOST_VALUES))
     fallback = F.concat(F.lit("context-"), F.left(F.sha2(F.concat_ws("\0", F.lit(producer), "kind", "start_at", F.coalesce("end_at", F.lit("")), title, "source_file"), 256), F.lit(20)))
     out = made.select(
         F.coalesce(clean(F.col("e.id"), 160), fallback).alias("id"),

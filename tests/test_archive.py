@@ -77,3 +77,53 @@ def test_first_only(spark):
 
 def test_delta_or_snapshot():
     assert [delta_or_snapshot(*x) for x in ((74, 100, True), (75, 100, True), (1, 100, False), (0, 100, True))] == ["delta", "snapshot", "snapshot", "nothing"]
+
+
+def test_an_overtaken_window_reads_again(spark, tmp_path):
+    def archive(name, fingerprint="dir-1", at="2024-01-01T00:00:00Z"):
+        a = Archive(spark, str(tmp_path / name))
+        assert a.saved(rows(spark, ("1", "x"), ("2", "y")), 0, fingerprint, at) == (1, "local")
+        return a
+
+    # the same source: both windows' rows, where both have one the later window's
+    a = archive("same")
+    assert a.saved(rows(spark, ("1", "one"), ("2", "y")), 1, "dir-1", "2024-01-01T00:00:00Z") == (2, "local")
+    assert a.saved(rows(spark, ("1", "x"), ("2", "two"), ("3", "z")), 1, "dir-1", "2024-01-01T00:00:00Z") == (3, "both")
+    assert state(a) == [("1", "x"), ("2", "two"), ("3", "z")]
+    # another source: the newer snapshot stands whole
+    b = archive("newer")
+    assert b.saved(rows(spark, ("2", "y")), 1, "dir-2", "2024-01-03T00:00:00Z") == (2, "local")
+    assert b.saved(rows(spark, ("7", "late")), 1, "dir-3", "2024-01-02T00:00:00Z") == (2, "remote") and state(b) == [("2", "y")]
+    assert b.saved(rows(spark, ("7", "late")), 1, "dir-3", None) == (2, "remote") and b.saved(rows(spark, ("7", "x")), 1, None, "2025-01-01T00:00:00Z") == (2, "remote")
+    assert b.saved(rows(spark, ("8", "new")), 1, "dir-4", "2024-01-05T00:00:00Z") == (3, "local") and state(b) == [("8", "new")]
+    assert b.told() == {"fingerprint": "dir-4", "updated_at": "2024-01-05T00:00:00Z"}
+
+
+def test_a_window_overtaken_between_reading_and_writing(spark, tmp_path, monkeypatch):
+    a = Archive(spark, str(tmp_path / "a"))
+    a.saved(rows(spark, ("1", "x")), 0, "d", "2024-01-01T00:00:00Z")
+    publish, left = Archive._publish, [2]
+
+    def overtaken(self, segments):
+        if left[0]:
+            left[0] -= 1
+            n = left[0]
+            left[0], keep = 0, left[0]
+            Archive(spark, self.path).commit_delta(rows(spark, (f"other{n}", "o")), spark.createDataFrame([], "id string"))
+            left[0] = keep
+        return publish(self, segments)
+
+    monkeypatch.setattr(Archive, "_publish", overtaken)
+    assert a.saved(rows(spark, ("1", "x"), ("2", "mine")), 1, "d", "2024-01-01T00:00:00Z") == (4, "both")
+    assert state(a) == [("1", "x"), ("2", "mine"), ("other0", "o"), ("other1", "o")]
+    folders = {p.name for p in (tmp_path / "a").iterdir() if p.name.startswith("v=")}
+    assert folders == {s["folder"] for s in a.manifest()}  # what lost the race is gone
+
+
+def test_the_first_version_is_a_snapshot(spark, tmp_path):
+    a = Archive(spark, str(tmp_path / "a"))
+    a.commit(rows(spark, ("1", "x"), ("2", None)))
+    assert [s["kind"] for s in a.manifest()] == ["snapshot"] and a.verify() == []
+    assert "Aggregate" not in a.snapshot()._jdf.queryExecution().executedPlan().toString()
+    assert a.commit_delta(rows(spark).limit(0), spark.createDataFrame([], "id string")) == 1
+    assert len([p for p in (tmp_path / "a").iterdir() if p.name.startswith("v=")]) == 1
