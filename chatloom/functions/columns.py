@@ -141,20 +141,30 @@ def row_size(at: str = "captured_ts", content: str = "content", role: str = "spe
 def captured_at(value: Column) -> Column:
     """An exported time as ISO text: epoch seconds or milliseconds, or a date with an optional time; midnight gives the
     date alone, a date that is none gives null. Zones are not looked at."""
-    # an array of one: the text is made once and not for each place that looks at it
-    return F.get(F.transform(F.array(trimmed(F.regexp_replace(value, "　", " "))), _captured_at), 0)
+    return _once(trimmed(F.regexp_replace(value, "　", " ")), _captured_at)
+
+
+def _once(value: Column, made) -> Column:
+    """made of the value, which is worked out once, however often made looks at it."""
+    return F.get(F.transform(F.array(value), made), 0)
 
 
 def _captured_at(text: Column) -> Column:
     number = F.when(text.rlike(r"^\d{10,13}$"), text.cast("long"))
     epoch = F.timestamp_millis(F.when(number < 100_000_000_000, number * 1000).otherwise(number))
-    part = [F.regexp_extract(text, DATE_TIME, i) for i in range(1, 7)]
-    numbers = [F.coalesce(blank_as_null(p).cast("int"), F.lit(0)) for p in part]
-    made = F.try_make_timestamp_ntz(*numbers[:5], numbers[5].cast("decimal(8,6)"))
-    made = F.when(numbers[5] < 60, F.when(numbers[3] < 24, made))
-    iso = F.when(F.date_format(made, "HHmmss") == "000000", F.date_format(made, "yyyy-MM-dd")).otherwise(F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss"))
+    found = F.regexp_replace(F.regexp_extract(text, DATE_TIME, 0), DATE_TIME, "$1,$2,$3,$4,$5,$6")
+    numbers = F.transform(F.split(found, ","), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+
+    def time_of(n: Column) -> Column:
+        part = [F.coalesce(F.get(n, i), F.lit(0)) for i in range(6)]
+        return F.when((part[5] < 60) & (part[3] < 24), F.try_make_timestamp_ntz(*part[:5], part[5].cast("decimal(8,6)")))
+
+    def written(made: Column) -> Column:
+        return F.when(F.date_format(made, "HHmmss") == "000000", F.date_format(made, "yyyy-MM-dd")).otherwise(F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss"))
+
     other = F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(F.coalesce(text, F.lit("")) == "", None).when(number.isNotNull(), F.date_format(epoch, "yyyy-MM-dd'T'HH:mm:ss")).when(text.rlike(DATE_TIME), iso).otherwise(other)
+    dated = F.when(text.rlike(DATE_TIME), _once(_once(numbers, time_of), written)).otherwise(other)
+    return F.when(F.coalesce(text, F.lit("")) == "", None).when(number.isNotNull(), F.date_format(epoch, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(dated)
 
 
 def local_time(value: Column, end_of_day: bool = False) -> Column:

@@ -196,9 +196,10 @@ def calendar_chunks(rows: DataFrame, at: str, most: int = 120, *by: str) -> Data
     return rows.withColumn("quarter", F.date_format(quarter, "yyyy-MM")).withColumn("chunk", F.floor(nth / most).cast("long"))
 
 
-def ranges(rows: DataFrame, number: str, *by: str) -> DataFrame:
-    """Runs of consecutive numbers as text: 1-3, 7."""
-    island = F.col(number) - F.row_number().over(Window.partitionBy(*by).orderBy(number))
-    runs = rows.select(*by, number).distinct().withColumn("island", island).groupBy(*by, "island").agg(F.min(number).alias("low"), F.max(number).alias("high"))
+def ranges(rows: DataFrame, number: str, by: str) -> DataFrame:
+    """Runs of consecutive numbers as text: 1-3, 7. Numbers are placed by sorted ranges, so a key may have any number of them; what
+    comes together is its runs."""
+    each = placed(rows.select(by, number).where(F.col(number).isNotNull()).distinct(), by, [F.col(number)])
+    runs = each.groupBy(by, (F.col(number) - F.col("place")).alias("island")).agg(F.min(number).alias("low"), F.max(number).alias("high"))
     one = F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.concat(F.col("low").cast("string"), F.lit("-"), F.col("high").cast("string")))
-    return runs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", one.alias("text")))), lambda x: x["text"]), ", ").alias("ranges"))
+    return runs.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", one.alias("text")))), lambda x: x["text"]), ", ").alias("ranges"))

@@ -147,8 +147,8 @@ ORACLE_SQL = {
     "segment_interleave": f"{PLAN}, t AS (SELECT *, CAST(sum(rows) OVER (PARTITION BY user_id) AS BIGINT) AS total FROM plan) SELECT user_id, segment, total, row_number() OVER (PARTITION BY segment ORDER BY total DESC, segments DESC, user_id) AS turn FROM t",
     "quarter_chunks": f"""WITH {EVENT}, n AS (SELECT user_id, strftime(date_trunc('quarter', start_ts), '%Y-%m') AS quarter, row_number() OVER (PARTITION BY user_id, date_trunc('quarter', start_ts) ORDER BY start_ts, id) - 1 AS nth FROM context_event)
         SELECT user_id, quarter, nth // 25 AS chunk, count(*) AS rows FROM n GROUP BY ALL""",
-    "ref_ranges": """WITH r AS (SELECT DISTINCT user_id, event_id % 97 AS ref FROM events WHERE event_type <> 'view'), i AS (SELECT *, ref - row_number() OVER (PARTITION BY user_id ORDER BY ref) AS island FROM r),
-        g AS (SELECT user_id, min(ref) AS low, max(ref) AS high FROM i GROUP BY user_id, island) SELECT user_id, string_agg(CASE WHEN low = high THEN CAST(low AS VARCHAR) ELSE concat(low, '-', high) END, ', ' ORDER BY low) AS ranges FROM g GROUP BY user_id""",
+    "ref_ranges": """WITH r AS (SELECT DISTINCT o_orderstatus, CAST(o_orderkey AS BIGINT) AS ref FROM orders), i AS (SELECT *, ref - row_number() OVER (PARTITION BY o_orderstatus ORDER BY ref) AS island FROM r),
+        g AS (SELECT o_orderstatus, min(ref) AS low, max(ref) AS high FROM i GROUP BY o_orderstatus, island) SELECT o_orderstatus, string_agg(CASE WHEN low = high THEN CAST(low AS VARCHAR) ELSE concat(low, '-', high) END, ', ' ORDER BY low) AS ranges FROM g GROUP BY o_orderstatus""",
     "incremental_context": f"""WITH {MESSAGE}, r AS (SELECT *, id LIKE '%-5' AS new FROM keyed) SELECT id, key, new FROM (SELECT *, bool_or(new) OVER (PARTITION BY key ORDER BY captured_ts NULLS LAST, id ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS near FROM r) WHERE near""",
     "full_conversation_semi": f"WITH {MESSAGE} SELECT id, key FROM keyed WHERE key IN (SELECT key FROM keyed WHERE length(content) % 11 = 0)",
     "carry_forward_time": f"WITH {MESSAGE} SELECT id, last_value(captured_ts IGNORE NULLS) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS captured_ts FROM keyed",
@@ -250,7 +250,7 @@ ORACLE_SQL = {
     "relative_labels": f"""WITH {MESSAGE}, d AS (SELECT id, captured_ts, floor((epoch(TIMESTAMP '2024-01-20') - epoch(captured_ts)) / 86400) AS d, ceil((epoch(captured_ts) - epoch(TIMESTAMP '2024-01-20')) / 86400) AS a FROM message)
         SELECT id, CASE WHEN captured_ts IS NULL THEN '时间未记录' WHEN d < 0 AND a = 1 THEN '明天' WHEN d < 0 THEN concat(CAST(a AS BIGINT), ' 天后') WHEN d = 0 THEN '今天' WHEN d = 1 THEN '昨天' WHEN d < 30 THEN concat(CAST(d AS BIGINT), ' 天前')
           WHEN d < 365 THEN concat(CAST(floor(d / 30) AS BIGINT), ' 个月前') ELSE concat(CAST(floor(d / 365) AS BIGINT), ' 年前') END AS label FROM d""",
-    "search_radii": """SELECT s_suppkey, CAST(floor(least(100000, greatest(120, greatest(0.01 * (s_suppkey % 50) * 111320, 0.02 * (s_suppkey % 30) * 111320 * greatest(0.2, cos(radians(s_nationkey * 3.0)))) / 2)) + 0.5) AS BIGINT) AS radius FROM supplier WHERE s_suppkey % 50 > 0""",
+    "search_radii": """SELECT s_suppkey, CASE WHEN s_suppkey % 50 > 0 OR s_suppkey % 30 > 0 THEN CAST(floor(least(100000, greatest(120, greatest(0.01 * (s_suppkey % 50) * 111320, 0.02 * (s_suppkey % 30) * 111320 * greatest(0.2, cos(radians(s_nationkey * 3.0)))) / 2)) + 0.5) AS BIGINT) END AS radius FROM supplier""",
 }
 
 _HAY = r"lower(regexp_replace(concat(text, ' ', text), '\s+', '', 'g'))"

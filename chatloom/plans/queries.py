@@ -242,9 +242,9 @@ def quarter_chunks(spark, sf_dir):
 
 @query
 def ref_ranges(spark, sf_dir):
-    rows = adapted.table(spark, sf_dir, "events").where("event_type <> 'view'").select("user_id", F.col("event_id"))
-    numbered = rows.select("user_id", (F.col("event_id") % 97).alias("ref"))
-    return segments.ranges(numbered, "ref", "user_id")
+    """The order numbers of each status as runs."""
+    rows = adapted.table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_orderkey").cast("long").alias("ref"))
+    return segments.ranges(rows, "ref", "o_orderstatus")
 
 
 # Incremental work ----------------------------------------------------------------------------------------------------
@@ -569,7 +569,7 @@ def relative_labels(spark, sf_dir):
 
 @query
 def search_radii(spark, sf_dir):
-    rows = adapted.table(spark, sf_dir, "supplier").where("s_suppkey % 50 > 0").selectExpr("s_suppkey", "s_nationkey * 3.0D AS lat", "0.01D * (s_suppkey % 50) AS north", "0.02D * (s_suppkey % 30) AS east")
+    rows = adapted.table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_nationkey * 3.0D AS lat", "0.01D * (s_suppkey % 50) AS north", "0.02D * (s_suppkey % 30) AS east")
     return rows.select("s_suppkey", normalize.search_radius(F.col("lat"), F.lit(0.0), F.lit(0.0), F.col("north"), F.col("east")).alias("radius"))
 
 

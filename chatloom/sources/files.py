@@ -267,8 +267,8 @@ def messages(parsed: DataFrame, root: str = "") -> DataFrame:
     """Archive messages of PARSED rows; a speaker's first avatar in a file stands for those without one."""
     first = F.first("avatar_url", ignorenulls=True).over(Window.partitionBy("source_file", "speaker").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = parsed.withColumn("path", F.regexp_replace("source_file", rf"^(?:file:/*)?/?{re.escape(root.strip('/'))}/?" if root else r"^(?:file:)?/*", ""))
-    rows = rows.withColumn("avatar_url", F.coalesce("avatar_url", first)).withColumn("place", conversation_of("path"))
-    at = captured_at(F.col("at"))
+    rows = rows.withColumn("avatar_url", F.coalesce("avatar_url", first)).withColumn("place", conversation_of("path")).withColumn("iso_at", captured_at(F.col("at")))
+    at = F.col("iso_at")
     said = F.concat_ws(": ", "speaker", "text")
     summary = F.substring(said, 1, 1200)
     return rows.select(

@@ -36,11 +36,12 @@ def files_below(spark: SparkSession, root: str) -> DataFrame:
 
 
 def segment_operations(spark: SparkSession, path: str, item_schema: str, checksums: DataFrame | None = None) -> DataFrame:
-    """file, seq, kind, op, id, item of compressed segments: a header of JSON, then an operation a line. The number that a file's
-    name begins with orders segments. A file whose bytes do not have the checksum (file, sha256) it is listed with, or with a line
-    that is no operation, is an error."""
+    """file, seq, line, kind, op, id, item of compressed segments: a header of JSON, then an operation a line. The number that a file's
+    name begins with orders segments, the line the operations of one. With checksums (file, sha256), a file whose bytes have
+    another one or that is not listed is an error; so is a line that is no operation, and a header without a schema."""
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    lines = spark.read.text(path, wholetext=False).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value").where("trim(value) <> ''")
+    # a segment is compressed, so it is one split and its lines are numbered in one task in their order
+    lines = spark.read.text(path, wholetext=False).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value", F.monotonically_increasing_id().alias("line")).where("trim(value) <> ''")
     parsed = lines.withColumn("v", F.from_json("value", f"schema string, kind string, op string, id string, item {item_schema}"))
     parsed = parsed.withColumn("is_header", F.col("v.schema").isNotNull())
     bad = F.col("v.op").isNull() | ~F.col("v.op").isin("upsert", "delete")
@@ -50,16 +51,17 @@ def segment_operations(spark: SparkSession, path: str, item_schema: str, checksu
     out = ops.join(kinds, "file", "left").withColumn("kind", known)
     if checksums is not None:
         held = spark.read.format("binaryFile").load(path).select(name.alias("file"), F.sha2("content", 256).alias("is"))
-        wrong = held.join(checksums, "file").where(F.col("is") != F.col("sha256")).select("file", F.lit(True).alias("wrong"))
+        wrong = held.join(checksums, "file", "left").where(~F.col("is").eqNullSafe(F.col("sha256"))).select("file", F.lit(True).alias("wrong"))
         out = out.join(wrong, "file", "left").withColumn("op", F.when(F.col("wrong"), F.raise_error(F.concat(F.lit("checksum of "), "file"))).otherwise(F.col("op")))
     seq = F.regexp_extract("file", r"^(\d+)-", 1).cast("long")
-    return out.select("file", seq.alias("seq"), "kind", "op", F.coalesce("v.id", "v.item.id").alias("id"), F.col("v.item").alias("item"))
+    return out.select("file", seq.alias("seq"), "line", "kind", "op", F.coalesce("v.id", "v.item.id").alias("id"), F.col("v.item").alias("item"))
 
 
 def state_of(operations: DataFrame) -> DataFrame:
-    """The rows that are there after all operations: the last snapshot and what follows it, the last operation of each id."""
+    """The rows that are there after all operations: the last snapshot and what follows it, the last operation of each id, also of
+    several in one segment."""
     start = operations.where("kind = 'snapshot'").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    last = operations.where(F.col("seq") >= start).groupBy("id").agg(F.max_by(F.struct("op", "item"), "seq").alias("last"))
+    last = operations.where(F.col("seq") >= start).groupBy("id").agg(F.max_by(F.struct("op", "item"), F.struct("seq", "line")).alias("last"))
     return last.where("last.op = 'upsert'").select("id", "last.item")
 
 

@@ -28,6 +28,8 @@ from chatloom.sources.inbox import SNAPSHOT, Envelope, device_events
 
 #: Rows of a segment's file that are handed on together.
 BATCH_ROWS = 10_000
+#: Files, and bytes of them, that a task reads.
+BUNDLE_FILES, BUNDLE_BYTES = 16, 2 << 20
 SETTLE_MS, MOST_BYTES, MOST_FILES = 4000, 4 << 20, 10_000
 
 
@@ -79,7 +81,7 @@ class ArchiveChanges(DataSource):
         folder = _segments(path, versions[-1])[-1]["folder"]
         file = next(f.path for f in fs.get_file_info(pafs.FileSelector(f"{base}/{folder}")) if f.base_name.endswith(".parquet"))
         own = from_arrow_schema(pq.read_schema(file, filesystem=fs), prefer_timestamp_ntz=True)
-        return StructType([*own.fields, StructField("version", LongType()), StructField("reset", BooleanType())])
+        return StructType([*(StructField(f.name, f.dataType) for f in own), StructField("version", LongType()), StructField("reset", BooleanType())])
 
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:  # noqa: N802 (the name is Spark's)
         return ArchiveReader(self.options["path"], schema)
@@ -157,27 +159,29 @@ def follow(changes: DataFrame, target: Archive, checkpoint: str) -> StreamingQue
 
 def listed(path: str, folders: str, file: str, settle_ms: int, most_bytes: int, most: int, now_ms: float | None = None) -> tuple[dict[str, list[int]], int]:
     """size and time of the files that are ready, by their path below the folder, and how many are pending: written within
-    settle_ms, or of more than most_bytes. Of the folders that match, sorted, the first `most` are looked at."""
+    settle_ms, or of more than most_bytes. Of the files whose names and folders' names match, sorted, the first `most` are looked at."""
     fs, base = _place(path)
     base = base.rstrip("/")
     now = time.time() * 1000 if now_ms is None else now_ms
     inner = [f for f in fs.get_file_info(pafs.FileSelector(base)) if f.type == pafs.FileType.Directory and re.fullmatch(folders, f.base_name)]
-    found = [f for f in fs.get_file_info([f"{f.path}/{file}" for f in sorted(inner, key=lambda f: f.base_name)]) if f.type == pafs.FileType.File][:most]
-    at = {f"{f.path.split('/')[-2]}/{file}": [f.size, f.mtime_ns // 1_000_000] for f in found}
+    files = [f for d in inner for f in fs.get_file_info(pafs.FileSelector(d.path)) if f.type == pafs.FileType.File and re.fullmatch(file, f.base_name)]
+    at = {"/".join(f.path.split("/")[-2:]): [f.size, f.mtime_ns // 1_000_000] for f in sorted(files, key=lambda f: f.path)[:most]}
     ready = {p: x for p, x in at.items() if x[0] <= most_bytes and now - x[1] >= settle_ms}
     return ready, len(at) - len(ready)
 
 
-class SnapshotFile(InputPartition):
-    def __init__(self, path: str, size: int, mtime: int):
+class SnapshotBundle(InputPartition):
+    """Files (path, size, time) that one task reads one after another."""
+
+    def __init__(self, files: list[tuple[str, int, int]]):
         super().__init__(None)
-        self.path, self.size, self.mtime = path, size, mtime
+        self.files = files
 
 
 class SnapshotFiles(DataSource):
     """The snapshot files of a folder (`path`) as they become ready, also when one is written again: source_file, size, mtime_ms, value.
 
-    Options: folders (a pattern of their names), file, settleMs, mostBytes, mostFiles. An offset is what `listed` finds, so a file
+    Options: folders and file (patterns of names), settleMs, mostBytes, mostFiles. An offset is what `listed` finds, so a file
     that is pending is in no offset and comes with a later one; a batch is the files whose size or time differs between two."""
 
     @classmethod
@@ -204,16 +208,27 @@ class SnapshotReader(DataSourceStreamReader):
         return {"files": listed(self.path, *self.asked)[0]}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [SnapshotFile(p, *x) for p, x in sorted(end["files"].items()) if start["files"].get(p) != x]
-
-    def read(self, partition: SnapshotFile) -> Iterator[tuple]:
+        bundles: list[list[tuple[str, int, int]]] = [[]]
+        room = BUNDLE_BYTES
+        for path, (size, mtime) in sorted(end["files"].items()):
+            if start["files"].get(path) == [size, mtime]:
+                continue
+            if bundles[-1] and (len(bundles[-1]) >= BUNDLE_FILES or size > room):
+                bundles.append([])
+                room = BUNDLE_BYTES
+            bundles[-1].append((path, size, mtime))
+            room -= size
+        return [SnapshotBundle(b) for b in bundles if b]
+
+    def read(self, partition: SnapshotBundle) -> Iterator[tuple]:
         fs, base = _place(self.path)
-        try:
-            with fs.open_input_stream(f"{base}/{partition.path}") as file:
-                value = file.read().decode("utf-8", "replace")
-        except FileNotFoundError:  # gone since; if it comes back, its time differs
-            return
-        yield partition.path, partition.size, partition.mtime, value
+        for path, size, mtime in partition.files:
+            try:
+                with fs.open_input_stream(f"{base}/{path}") as file:
+                    value = file.read().decode("utf-8", "replace")
+            except FileNotFoundError:  # gone since; if it comes back, its time differs
+                continue
+            yield path, size, mtime, value
 
     def commit(self, end: dict) -> None:
         pass
@@ -235,6 +250,7 @@ def taken(batch: DataFrame, events: Archive, files: Archive, envelope: Envelope,
     platform = F.coalesce(F.from_json("value", SNAPSHOT)["device"]["platform"], F.lit("unknown"))
     documents = fresh.select(F.concat(platform, F.lit("/"), "source_file").alias("source_file"), "value")
     made, bad = device_events(documents, envelope, producer, imported_at)
+    made = made.persist()
     per_file = made.groupBy(F.expr("substring(source_file, length(platform) + 2)").alias("source_file")).agg(F.count("*").alias("n"))
     # of one id in several files of a batch, the last by file
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("source_file")))
@@ -249,8 +265,8 @@ def taken(batch: DataFrame, events: Archive, files: Archive, envelope: Envelope,
         noted = rows.join(per_file, "source_file", "left").select(F.col("source_file").alias("id"), "hash", "size", "mtime_ms", F.when(F.col("hash").eqNullSafe(F.col("known_hash")), F.col("known_events")).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("events"))
         files.commit_delta(noted, noted.select("id").limit(0))
     finally:
-        one.unpersist()
-        rows.unpersist()
+        for held in (one, made, rows):
+            held.unpersist()
     return batch.sparkSession.createDataFrame([counts], "files long, invalid long, added long, updated long, duplicate long")
 
 

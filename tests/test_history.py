@@ -25,6 +25,8 @@ def test_segments(spark, tmp_path):
     sums = [segment(tmp_path, "0000000001-a.jsonl.gz", "delta", up("9", "gone with the snapshot")), segment(tmp_path, "0000000002-a.jsonl.gz", "snapshot", up("1", "a"), up("2", "b")), segment(tmp_path, "0000000003-a.jsonl.gz", "delta", up("1", "c"), {"op": "delete", "id": "2"}, up("3", None))]
     ops = history.segment_operations(spark, str(tmp_path), ITEM, spark.createDataFrame(sums, "file string, sha256 string"))
     assert sorted((r.id, r.item.content) for r in history.state_of(ops).collect()) == [("1", "c"), ("3", None)]
+    with pytest.raises(PySparkException, match="checksum"):  # one that the list lacks
+        history.segment_operations(spark, str(tmp_path), ITEM, spark.createDataFrame(sums[1:], "file string, sha256 string")).collect()
     wrong = spark.createDataFrame([(sums[0][0], "0" * 64)], "file string, sha256 string")
     with pytest.raises(PySparkException, match="checksum"):
         history.segment_operations(spark, str(tmp_path), ITEM, wrong).collect()
@@ -66,3 +68,9 @@ def test_folders_scanned(spark, tmp_path):
     assert sorted(r.path.rsplit("/", 1)[1] for r in taken.collect()) == ["a.json", "b.CSV", "e.txt", "g.txt"] and told.first().complete
     taken, told = history.scanned(files, str(tmp_path), most_files=1, most_bytes=50, most_depth=1)
     assert taken.count() == 1 and told.first().asDict() == {"complete": False, "truncated": True, "oversized": 1, "too_deep": True}
+
+
+def test_operations_of_one_segment_keep_their_order(spark, tmp_path):
+    segment(tmp_path, "0000000001-a.jsonl.gz", "delta", *[up("1", f"v{i:04}") for i in range(3000)], {"op": "delete", "id": "2"}, up("2", "again"), up("3", "x"), {"op": "delete", "id": "3"})
+    ops = history.segment_operations(spark, str(tmp_path), ITEM).repartition(7)
+    assert sorted((r.id, r.item.content) for r in history.state_of(ops).collect()) == [("1", "v2999"), ("2", "again")]
