@@ -16,6 +16,8 @@ repeated items count once; repeated documents each get a result; other columns a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,14 +61,22 @@ def _windows(rows: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     return runs.select(*keep, "n_words", F.explode_outer("runs").alias("run")).where("run IS NOT NULL").select(*keep, "n_words", "run.*")
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
-    """doc_id, row_key, n_words, n_hit, items (sorted as strings) for every row of docs (doc_id, text); benchmark: item_id, text."""
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5, told: Callable[[Column], dict[str, Column]] = lambda items: {"items": items}) -> DataFrame:
+    """doc_id, row_key, n_words, n_hit and what is told of the items, which are ids sorted as strings (as such, unless `told` makes
+    something smaller of them), for every row of docs (doc_id, text); benchmark: item_id, text.
+
+    A window that many items share is one row, and items that documents have in common are put together once: a line of 10,000
+    items in 10,000 documents gives neither 10^8 rows nor, with a small `told`, 10^8 strings."""
     items = staged(benchmark.where("item_id IS NOT NULL").select("item_id", _words("text").alias("words")), "items")
     short = sorted(r["n"] for r in items.select(F.size("words").alias("n")).where(f"n BETWEEN 1 AND {window - 1}").distinct().collect())
     lengths = [*short, window]
     # an item of at least a window's words is not looked up by its short runs, nor a short one by runs of its own
     whole = (F.col("length") == window) | (F.col("length") == F.col("n_words"))
-    known = staged(_windows(items, lengths, "item_id").where(whole).select("item_id", *KEY).distinct(), "item_windows")
+    windows = _windows(items, lengths, "item_id").where(whole).select("item_id", *KEY).distinct()
+    # windows of the same items share one number of their set, so a document takes a number for a window, not its items
+    sets = windows.groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("set", F.struct(F.xxhash64("items").alias("a"), F.xxhash64(F.lit(1), "items").alias("b")))
+    sets = staged(sets, "item_windows")
+    known = sets.select(*KEY, "set")
     long_marks = _fingerprints(items.where(F.size("words") >= window), window, k, [], "item_id")
     marks = long_marks.select(F.explode_outer("marks").alias("mark")).where("mark IS NOT NULL")
     for x in short:
@@ -81,16 +91,22 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: i
     same = F.col("doc_id").eqNullSafe(F.col("met_id")) & (F.col("row_key") == F.col("met_key"))
     look = keyed.join(met, same, "left_semi").select("doc_id", "row_key", _words("text").alias("words"))
     found = _windows(look, lengths, "doc_id", "row_key").join(known, KEY)
-    hits = found.groupBy(F.col("doc_id").alias("met_id"), F.col("row_key").alias("met_key")).agg(F.collect_set(F.struct("pos", "length")).alias("spans"), F.collect_set("item_id").alias("items"))
+    hits = found.groupBy(F.col("doc_id").alias("met_id"), F.col("row_key").alias("met_key")).agg(F.collect_set(F.struct("pos", "length")).alias("spans"), F.array_sort(F.collect_set("set")).alias("sets"))
 
     def grow(acc, span):
         end = span["pos"] + span["length"]
         return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], span["pos"]))).alias("n"))
 
     union = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), grow)["n"]
-    hits = hits.select("met_id", "met_key", union.cast("long").alias("n_hit"), F.array_sort(F.transform("items", lambda x: x.cast("string"))).alias("items"))
+    hits = staged(hits.select("met_id", "met_key", union.cast("long").alias("n_hit"), "sets"), "hits")
+    # what a combination of sets tells is made once, however many documents have it
+    each = hits.select("sets").distinct().select("sets", F.explode("sets").alias("set")).join(sets.select("set", "items").distinct(), "set")
+    each = each.select("sets", F.explode("items").alias("item_id")).distinct().groupBy("sets").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("items"))
+    combined = each.select(F.col("sets").alias("of_sets"), *[c.alias(n) for n, c in told(F.col("items")).items()])
+    hits = hits.join(combined, F.col("sets") == F.col("of_sets")).drop("sets", "of_sets")
     every = marked.select("doc_id", "row_key", F.col("n_words").cast("long").alias("n_words")).join(hits, same, "left")
-    return every.select("doc_id", "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    none = told(F.array().cast("array<string>"))
+    return every.select("doc_id", "row_key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), *[F.coalesce(n, c).alias(n) for n, c in none.items()])
 
 
 def judged(hits: DataFrame, share: int = 20) -> DataFrame:

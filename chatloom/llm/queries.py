@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .conversation_repair import damaged, structure
@@ -46,9 +46,11 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = judged(benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13), share=20)
-    digest = F.sha2(F.array_join("items", ","), 256)
-    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+    def told(items: Column) -> dict[str, Column]:
+        return {"n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.array_join(items, ","), 256)}
+
+    hits = judged(benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13, told=told), share=20)
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import bucketed, new_path, staged
 
 END = "\r\n"
+#: Responses of one payload that are rebuilt one by one.
+HOT = 1024
 
 
 def _uuid(page_id: Column, digest: Column) -> Column:
@@ -114,6 +116,29 @@ def read_records(spark: SparkSession, path: str, stored: DataFrame | None = None
     return _rebuilt(read_headers(spark, path), read_payloads(spark, path, stored)).select("page_id", "record_type", "refers_to", "record", "payload")
 
 
+def _blocks(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """page_id, digest, and of each record's rebuilt block payload_bytes and payload_digest."""
+    ahead = F.octet_length("header")
+    block = F.substring("record", ahead + 1, F.octet_length("record") - ahead - 4)
+    whole = _rebuilt(headers, payloads).select("page_id", "digest", block.alias("block"))
+    return whole.select("page_id", "digest", F.octet_length("block").cast("long").alias("payload_bytes"), F.sha1("block").alias("payload_digest"))
+
+
+def _responses(headers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """The same for all responses. A small payload may be that of any number of pages, all of them responses: one that more than
+    HOT have is rebuilt and checked once for each length and digest that their headers state, which is all that tells them
+    apart, and the others stand beside it; so no bucket of payloads gets more than HOT headers of one digest."""
+    stated = ["digest", "length", "payload_digest"]
+    hot = staged(headers.groupBy(*stated).agg(F.count("*").alias("n"), F.min("header").alias("header")).where(F.col("n") > HOT).select(*stated, "header"), "hot_payloads")
+    if hot.isEmpty():
+        return _blocks(headers, payloads)
+    rest = headers.join(hot.select(*stated), stated, "left_anti")
+    checked = _blocks(hot.withColumns({"page_id": F.lit(None).cast("long"), "record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")}), payloads)
+    checked = staged(checked.select("digest", F.col("payload_bytes").alias("length"), "payload_digest"), "hot_blocks")
+    beside = headers.join(checked, stated).select("page_id", "digest", F.col("length").alias("payload_bytes"), "payload_digest")
+    return _blocks(rest, payloads).unionByName(beside)
+
+
 def archived(pages: DataFrame, path: str | None = None, min_bytes: int = 1000) -> DataFrame:
     """Archive pages, rebuild the records: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -122,11 +147,7 @@ def archived(pages: DataFrame, path: str | None = None, min_bytes: int = 1000) -
     path = path or new_path(spark, "warc")
     stored = write_archive(pages, path, min_bytes)
     headers = read_headers(spark, path)
-    whole = _rebuilt(headers.where("record_type = 'response'"), read_payloads(spark, path, stored))
-    ahead = F.octet_length("header")
-    block = F.substring("record", ahead + 1, F.octet_length("record") - ahead - 4)
-    whole = whole.select("page_id", "digest", block.alias("block"))
-    whole = staged(whole.select("page_id", "digest", F.octet_length("block").cast("long").alias("payload_bytes"), F.sha1("block").alias("payload_digest")), "rebuilt")
+    whole = staged(_responses(headers.where("record_type = 'response'"), read_payloads(spark, path, stored)), "rebuilt")
     again = headers.where("record_type = 'revisit'").select("page_id", "refers_to", "digest", F.col("payload_digest").alias("stated"))
     one = whole.select(F.col("page_id").alias("refers_to"), "digest", "payload_bytes", "payload_digest").distinct()
     again = again.join(one, ["refers_to", "digest"], "left")

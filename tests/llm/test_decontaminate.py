@@ -60,3 +60,14 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id string, text string")
     assert sorted(tuple(r) for r in C.benchmark_hits(docs, none).select("doc_id", "n_words", "n_hit").collect()) == [(1, 2, 0), (2, 0, 0)]
     assert C.benchmark_hits(docs.limit(0), none).collect() == []
+
+
+def test_a_line_of_many_items_in_many_documents(spark):
+    """4,000 documents and 4,000 items share a window: one row a document and not 16 million."""
+    line = " ".join(f"w{i}" for i in range(13))
+    docs = spark.range(4000).selectExpr("id AS doc_id", f"concat('start ', '{line}', ' end ', id) AS text")
+    bench = spark.range(4000).selectExpr("concat('i', id) AS item_id", f"concat('{line}', ' of ', id) AS text")
+    hits = C.benchmark_hits(docs, bench, told=lambda items: {"n_items": C.F.size(items)})
+    assert hits.groupBy("n_words", "n_hit", "n_items").count().collect() == [(16, 13, 4000, 4000)]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan

@@ -29,6 +29,16 @@ def test_records_come_back(spark):
     assert sorted(map(tuple, got), key=str) == want(ROWS)
 
 
+def test_a_payload_of_many_pages_is_rebuilt_once(spark, monkeypatch):
+    monkeypatch.setattr(A, "HOT", 4)
+    rows = ROWS + [(100 + i, "u", None if i % 2 else "") for i in range(60)] + [(300 + i, "v", "same short text") for i in range(30)] + [(400 + i, "w", BIG) for i in range(9)]
+    joined = []
+    monkeypatch.setattr(A, "_rebuilt", lambda headers, payloads, f=A._rebuilt: joined.append(headers) or f(headers, payloads))
+    got = A.archived(pages(spark, rows)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=str) == want(rows)
+    assert max(r["count"] for h in joined for r in h.groupBy("digest").count().collect()) <= 4
+
+
 def test_exact_round_trip_and_one_copy(spark, tmp_path):
     A.write_archive(pages(spark, ROWS), f"{tmp_path}/a")
     assert A.read_payloads(spark, f"{tmp_path}/a").count() == len({h or "" for _, _, h in ROWS})
