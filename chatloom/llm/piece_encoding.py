@@ -146,15 +146,17 @@ class Pieces:
         return [s for s in symbols if s]
 
     def _part(self, part: str) -> bytes:
-        out = []
-        for symbol in self.merged(part):
-            i = self.ids.get(symbol)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out += [self.bytes[b] for b in symbol.encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+        symbols = self.merged(part)
+        out = list(map(self.ids.get, symbols))
+        if None in out:
+            known, out = out, []
+            for symbol, i in zip(symbols, known, strict=True):
+                if i is not None:
+                    out.append(i)
+                elif self.bytes:
+                    out += [self.bytes[b] for b in symbol.encode()]
+                elif not out or out[-1] != self.unknown:
+                    out.append(self.unknown)
         ids = array("I", out).tobytes()
         self.fresh.append((part, ids))
         return ids
@@ -169,7 +171,7 @@ class Pieces:
         fresh = [(part, ids) for part, ids in self.fresh if part != SPACE]  # the library takes an empty text as it is
         self.fresh = []
         theirs = self.library.encode([part[1:] for part, _ in fresh], num_threads=1)
-        _same([np.frombuffer(ids, "<u4").tolist() for _, ids in fresh], theirs, [part for part, _ in fresh], "the encoding of")
+        _same([ids for _, ids in fresh], [array("I", x).tobytes() for x in theirs], [part for part, _ in fresh], "the encoding of")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space that a first piece begins with; bytes that are no text become U+FFFD each."""
