@@ -5,8 +5,8 @@ the smaller vec_id, its own row left out.
 
 Method. Vectors are dealt to shards by the hash of their row and each shard keeps a ball tree of them. A ball with centre
 c and radius r bounds the inner products with q by q.c + |q| r, so a search takes the child with the higher bound first
-and leaves out balls bounded below the k-th best score so far. Queries go in waves of at most `wave` rows, which bounds
-what is broadcast. In a wave every shard first answers from the leaf that its tree likes best; the k-th best of those
+and leaves out balls bounded below the k-th best score so far. Queries go in waves of at most `wave` rows and WAVE_BYTES,
+which bounds what is broadcast, however long the vectors. In a wave every shard first answers from the leaf that its tree likes best; the k-th best of those
 answers over all shards is a floor under each query's k-th score, which all shards share in the search proper. A task
 takes its shards one after another and carries the k best of each query from shard to shard, so it hands on k rows a
 query, however many shards it has.
@@ -34,6 +34,8 @@ from .common import in_arrow, staged
 
 LEAF = 64
 BLOCK = 4096
+#: Bytes of the queries that are sent to every task at once.
+WAVE_BYTES = 32 << 20
 LEAST, MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 NOBODY = MOST
 #: Below every score: of 64 bits, and of any size.
@@ -246,6 +248,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     wide = ((size["most"] or 0.0) * scale + 1) ** 2 * (size["dim"] or 0) >= 2.0**62 if (size["most"] or 0.0) < 1e100 else True
     trees = ball_trees(rows, scale, shard_rows)
     queries = rows.where(F.col("vec_id") % every == 0)
+    wave = max(1, min(wave, WAVE_BYTES // (8 * (size["dim"] or 0) + 64)))
     waves = max(1, -(-queries.count() // wave))
     lowest = LOWEST_OF_ALL if wide else LOWEST
     out = None
