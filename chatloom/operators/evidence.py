@@ -130,3 +130,22 @@ def pending(messages: DataFrame, watermarks: DataFrame, key: str) -> DataFrame:
     now = fingerprints(messages, key)
     due = now.join(watermarks.select(key, F.col("digest").alias("seen")), key, "left").where("seen IS NULL OR seen <> digest")
     return due.agg(F.count("*").alias("conversations"), F.coalesce(F.sum("rows"), F.lit(0)).alias("messages"))
+
+
+def scoped(messages: DataFrame, prints: DataFrame, watermarks: DataFrame, scope: str, targets: frozenset[str]) -> DataFrame:
+    """The messages (key, status, own_kind, ai_analyzed_at) that an analysis takes: `all`, `new` ones, or of those the `pending` ones,
+    by what is asked for (tasks, people). prints: key, digest; watermarks: key, target, digest.
+
+    A conversation is pending for people if it is direct and its watermark is not its fingerprint, for tasks if its watermark is
+    not; for tasks alone a message that has been analyzed is not taken again. Without a fingerprint all are pending."""
+    if scope == "all":
+        return messages
+    new = messages.where("status = 'new'")
+    if scope == "new":
+        return new
+    marks = watermarks.groupBy("key").agg(*[F.max(F.when(F.col("target") == t, F.col("digest"))).alias(f"seen_{t}") for t in ("tasks", "people")])
+    rows = new.join(prints.select("key", F.col("digest").alias("print")), "key", "left").join(marks, "key", "left")
+    tasks = ~F.col("seen_tasks").eqNullSafe(F.col("print"))
+    people = (F.col("own_kind") == "direct") & ~F.col("seen_people").eqNullSafe(F.col("print"))
+    asked = tasks | people if targets >= {"tasks", "people"} else people if "people" in targets else tasks & F.col("ai_analyzed_at").isNull()
+    return rows.where(F.col("print").isNull() | asked).drop("print", "seen_tasks", "seen_people")

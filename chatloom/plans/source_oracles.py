@@ -32,3 +32,6 @@ up AS (SELECT concat('m:acc:', conv, ':', turn) AS id, trim(replace(content, chr
 down AS (SELECT DISTINCT concat('m:acc:', conv, ':', turn + 1) AS id FROM r WHERE turn % 2 = 0)"""
 ORACLE_SQL["chat_documents"] = f"{_CHAT} SELECT id, 'upsert' AS op, content, captured_at, speaker_role, conversation_kind FROM up UNION ALL SELECT id, 'delete', NULL, NULL, NULL, NULL FROM down WHERE id NOT IN (SELECT id FROM up)"
 ORACLE_SQL["chat_stream"] = f"{_CHAT} SELECT * FROM up"
+ORACLE_SQL["analysis_scopes"] = f"""WITH {MESSAGE}, r AS (SELECT *, length(key) % 5 <> 0 AND length(key) % 2 = 0 AS done_tasks, length(key) % 5 <> 0 AND right(key, 1) IN ('1', '3', '5', '7') AS done_people, own_kind = 'direct' AS direct, length(content) % 4 = 0 AS analyzed FROM keyed)
+SELECT 'all' AS scope, id FROM r UNION ALL SELECT 'new', id FROM r WHERE status = 'new' UNION ALL SELECT 'pending+tasks', id FROM r WHERE status = 'new' AND NOT done_tasks AND NOT coalesce(analyzed, false)
+UNION ALL SELECT 'pending+people', id FROM r WHERE status = 'new' AND direct AND NOT done_people UNION ALL SELECT 'pending+people+tasks', id FROM r WHERE status = 'new' AND (NOT done_tasks OR (direct AND NOT done_people))"""

@@ -8,8 +8,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.operators import archive, merge, persons
-from chatloom.plans.queries import joined, query
+from chatloom.functions.columns import conversation_kind
+from chatloom.operators import archive, evidence, merge, persons
+from chatloom.plans.queries import joined, keyed, query
 from chatloom.plans.workflow_queries import _cards
 from chatloom.sources import adapted, files, history, inbox, layouts
 from chatloom.sources.staging import new_path
@@ -202,3 +203,20 @@ def candidate_adjudication(spark, sf_dir):
     """Passes and models that agree on a merged candidate; a test compares the fold with one candidate after another."""
     rows = adapted.candidate(spark, sf_dir).withColumn("pass_id", F.concat(F.lit("pass-"), F.substring("id", -1, 1)))
     return merge.adjudicated(rows.withColumn("model", F.when(F.col("ord") % 2 == 0, "a").otherwise("b")), 4)
+
+
+@query
+def analysis_scopes(spark, sf_dir):
+    """The messages that each scope and each choice of targets takes. Some conversations have been analyzed as they are, some before
+    they changed, some never."""
+    length = F.length("key")
+    rows = keyed(spark, sf_dir).withColumn("own_kind", conversation_kind()).withColumn("ai_analyzed_at", F.when(F.length("content") % 4 == 0, "2024-03-01"))
+    prints = evidence.fingerprints(rows, "key")
+    marks = prints.where(length % 5 != 0).select("key", F.explode(F.array(F.lit("tasks"), F.lit("people"))).alias("target"), "digest")
+    kept = F.when(F.col("target") == "tasks", F.octet_length("key") % 2 == 0).otherwise(F.right("key", F.lit(1)).isin("1", "3", "5", "7"))
+    marks = marks.withColumn("digest", F.when(kept, F.col("digest")).otherwise("before"))
+    out = None
+    for scope, targets in (("all", ()), ("new", ()), ("pending", ("tasks",)), ("pending", ("people",)), ("pending", ("people", "tasks"))):
+        part = evidence.scoped(rows, prints, marks, scope, frozenset(targets)).select(F.lit("+".join((scope, *targets))).alias("scope"), "id")
+        out = part if out is None else out.unionAll(part)
+    return out
