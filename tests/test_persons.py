@@ -61,3 +61,11 @@ def test_portraits_end_with_their_evidence(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("new", "3")], "person string, signature string")
     got = {r.person: (r.signature, r.retries, r.state) for r in persons.portraits_kept(portraits, people, now).collect()}
     assert got == {"a": ("1", 2, "ready"), "b": (None, 0, "processing"), "new": (None, 0, "processing"), "quiet": (None, 0, "processing")}
+
+
+def test_a_position_half_way_is_rounded_as_its_decimals_are(spark, tmp_path):
+    from chatloom.plans.workflow_queries import distinct_places
+
+    # 0.0000450 and 0.0000516 are both 0.00005; a product of doubles makes the first one less than half
+    spark.createDataFrame([(450, 17), (516, 17)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    assert [(r["query"], r["rank"]) for r in distinct_places(spark, str(tmp_path)).collect()] == [(17, 450)]
