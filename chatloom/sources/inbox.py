@@ -5,6 +5,7 @@ code serves a batch of files and a stream of them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,14 +53,23 @@ def opened(documents: DataFrame, schema: str, envelope: Envelope) -> DataFrame:
     return rows.withColumn("ok", F.coalesce((F.col("doc.schema") == envelope.schema) & (F.col("doc.producer.name") == envelope.producer) & (F.col("doc.producer.layout") == envelope.layout) & clean(F.col("doc.producer.version"), 64).isNotNull(), F.lit(False)))
 
 
+def listed_in(rows: DataFrame, field: str, **told: Callable[[Column], Column]) -> DataFrame:
+    """source_file, what is told of the document, pos and raw: a row for each entry of a document's array.
+
+    Everything is put into the entries before they are rows. What stood beside an array that is exploded would be made for every row of
+    it, from the document's whole text, so a document would cost the square of its entries."""
+    each = F.transform(F.array("doc"), lambda doc: F.transform(F.array(F.struct(*[made(doc).alias(name) for name, made in told.items()])), lambda t: F.transform(doc[field], lambda raw, pos: F.struct(F.col("source_file").alias("source_file"), *[t[name].alias(name) for name in told], pos.alias("pos"), raw.alias("raw")))))
+    return rows.select(F.inline(F.flatten(F.flatten(each))))
+
+
 def chat_operations(documents: DataFrame, envelope: Envelope, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Upserts (messages), deletes (id) and rejected documents (source_file). In a document a later row of an id wins, and a
     delete that the document also upserts is dropped; so is one of another account."""
     rows = opened(documents, CHAT, envelope)
     sizes = (F.size("doc.records") >= 0) & (F.size("doc.records") <= MOST) & (F.coalesce(F.size("doc.deleteIds"), F.lit(0)) <= MOST)
-    rows = rows.withColumn("account", clean(F.col("doc.account.id"), 180))
-    rows = rows.withColumn("ok", F.col("ok") & sizes & F.col("account").isNotNull())
-    each = rows.where("ok").select("source_file", "account", F.posexplode("doc.records").alias("pos", "raw")).withColumn("r", F.from_json("raw", _RECORD))
+    account = lambda doc: clean(doc["account"]["id"], 180)
+    rows = rows.withColumn("ok", F.col("ok") & sizes & account(F.col("doc")).isNotNull())
+    each = listed_in(rows.where("ok"), "records", account=account).withColumn("r", F.from_json("raw", _RECORD))
     text = {n: clean(F.col(f"r.{n}"), m) for n, m in (("id", 420), ("content", 65536), ("conversationId", 420), ("conversationName", 240), ("speaker", 160), ("messageType", 80), ("summary", 1200), ("title", 160))}
     summary = F.coalesce(text["summary"], F.substring(F.concat_ws(": ", text["speaker"], text["content"]), 1, 1200))
     title = F.coalesce(text["title"], F.when(F.length(summary) > 22, F.concat(F.left(summary, F.lit(22)), F.lit("..."))).otherwise(summary))
@@ -86,7 +96,7 @@ def chat_operations(documents: DataFrame, envelope: Envelope, source: str) -> tu
     ).where("id IS NOT NULL AND content IS NOT NULL AND captured_at IS NOT NULL AND conversation_id IS NOT NULL")
     last = F.row_number().over(Window.partitionBy("source_file", "id").orderBy(F.desc("pos")))
     upserts = made.withColumn("nth", last).where("nth = 1").drop("nth", "pos")
-    gone = rows.where("ok").select("source_file", "account", F.explode("doc.deleteIds").alias("raw")).select("source_file", "account", clean(F.col("raw"), 420).alias("id"))
+    gone = listed_in(rows.where("ok"), "deleteIds", account=account).select("source_file", "account", clean(F.col("raw"), 420).alias("id"))
     gone = gone.where(F.startswith("id", F.concat(F.lit(f"{envelope.prefix}:"), "account", F.lit(":")))).select("source_file", "id").distinct()
     deletes = gone.join(upserts.select("source_file", "id"), ["source_file", "id"], "left_anti")
     return upserts, deletes, rows.where("NOT ok").select("source_file")
@@ -104,7 +114,7 @@ def device_events(documents: DataFrame, envelope: Envelope, producer: str, impor
     precise and whose consent is explicit; the last of an id in a document counts."""
     rows = opened(documents, SNAPSHOT, envelope)
     rows = rows.withColumn("ok", F.col("ok") & F.col("doc.events").isNotNull() & F.coalesce(F.col("doc.device.platform").isin(*PLATFORMS), F.lit(False)))
-    each = rows.where("ok").select("source_file", F.col("doc.device.platform").alias("platform"), F.posexplode("doc.events").alias("pos", "raw")).withColumn("e", F.from_json("raw", _EVENT)).where(F.col("e.source") == producer)
+    each = listed_in(rows.where("ok"), "events", platform=lambda doc: doc["device"]["platform"]).withColumn("e", F.from_json("raw", _EVENT)).where(F.col("e.source") == producer)
     start, end = iso(F.col("e.startAt")), iso(F.col("e.endAt"))
     made = each.select("*", F.when(F.col("e.kind").isin(*KINDS), F.col("e.kind")).otherwise("custom").alias("kind"), start.alias("start_at"), F.when(end >= start, end).alias("end_at")).where("start_at IS NOT NULL")
     title = F.coalesce(clean(F.col("e.title"), 240), F.when(F.col("kind") == "location", "Location capture").otherwise("Context event"))

@@ -144,3 +144,16 @@ def test_snapshots_wait_settle_and_count(spark, tmp_path):
     os.rename(tmp_path / "point", tmp_path / "lost")  # a checkpoint that is lost costs reading, no changes
     run()
     assert events.version() == known
+
+
+def test_entries_do_not_carry_their_document(spark):
+    from chatloom.sources import inbox
+
+    documents = spark.createDataFrame([("android/a", '{"schema":"x"}')], "source_file string, value string")
+    envelope = inbox.Envelope("x", "p", "immutable", "m")
+    made, _ = inbox.device_events(documents, envelope, "p", "2024-01-01T00:00:00.000Z")
+    ups, downs, _ = inbox.chat_operations(documents, envelope, "p")
+    for df in (made, ups, downs.sparkSession.createDataFrame([], "id string").join(downs, "id")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[: plan.index("Generate ")]
+        assert "value#" not in above and "doc#" not in above  # else each row of a document is made from all of its text
