@@ -23,6 +23,8 @@ RELEVANCE = ((3, 1.0), (7, 0.92), (14, 0.78), (30, 0.62), (60, 0.42), (120, 0.24
 RELEVANCE_OLDER, RELEVANCE_UNDATED = 0.04, 0.08
 #: What counts as white space.
 WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Punctuation, symbols and WHITE, said by what they are not, so that a letter is told by the first class that is asked.
+UNLETTERED = r"[^\p{L}\p{M}\p{N}[\p{C}&&[^\t-\r\x{feff}]]]+"
 
 
 @cache
@@ -78,7 +80,7 @@ def compact_key(text: Column) -> Column:
     ascii_only = F.length(text) == F.octet_length(text)
     composes = (F.length(F.translate(text, others, "")) != F.length(text)) | text.rlike(r"[\x{10000}-\x{10ffff}]")
     composed = F.when(ascii_only, text).otherwise(F.coalesce(nfkc(F.when(~ascii_only & composes, text)), F.translate(text, plain, to)))
-    return F.lower(F.regexp_replace(composed, rf"[\p{{P}}\p{{S}}{WHITE}]+", ""))
+    return F.lower(F.regexp_replace(composed, UNLETTERED, ""))
 
 
 @F.pandas_udf(StringType())

@@ -50,10 +50,14 @@ def manual_kept(imported: DataFrame, now: DataFrame, manual: Column) -> DataFram
     return kept.unionByName(imported.join(kept.select("id"), "id", "left_anti"))
 
 
+#: What two candidates say that may keep them apart, and the key of the place.
+SAID = ("start_at", "place", "location_precision", "p")
+
+
 def conflicts(a: str, b: str) -> Column:
-    """Whether two candidates (struct columns) name different days, or exact places of which neither refines the other."""
+    """Whether two candidates (struct columns of SAID) name different days, or exact places of which neither refines the other."""
     day = F.col(f"{a}.start_at").isNotNull() & F.col(f"{b}.start_at").isNotNull() & (F.substring(f"{a}.start_at", 1, 10) != F.substring(f"{b}.start_at", 1, 10))
-    p, q = compact_key(F.coalesce(F.col(f"{a}.place"), F.lit(""))), compact_key(F.coalesce(F.col(f"{b}.place"), F.lit("")))
+    p, q = F.col(f"{a}.p"), F.col(f"{b}.p")
     refines = F.contains(p, q) | F.contains(q, p)
     both = (F.col(f"{a}.location_precision") == "exact") & (F.col(f"{b}.location_precision") == "exact")
     return day | ((p != "") & (q != "") & ~refines & both)
@@ -65,23 +69,21 @@ def duplicate_pairs(candidates: DataFrame) -> DataFrame:
     Candidates that agree in all that is compared are a class, whose first is its representative: links of kind `member` name
     it for the others, and links of kind `same` are between representatives. So a title that many have gives no pair for
     each two of them. Classes meet by (title and description), by (source and title) or by (source and description)."""
-    rows = keyed(candidates)
-    said = ["start_at", "place", "location_precision"]
-    classes = ["t", "d", "source_id", *said]
+    rows = staged(keyed(candidates).select("id", "ord", "t", "d", "source_id", *SAID), "candidates")
     same = F.lit(True)
-    for c in said:
+    for c in SAID:
         same = same & F.col(c).eqNullSafe(F.col(f"first_{c}"))
-    first = staged(rows.groupBy(*classes).agg(F.min_by("id", "ord").alias("first"), F.min("ord").alias("ord")), "candidate_classes")
-    of = first.select("t", "d", "source_id", *[F.col(c).alias(f"first_{c}") for c in said], "first")
+    first = staged(rows.groupBy("t", "d", "source_id", *SAID).agg(F.min_by("id", "ord").alias("first"), F.min("ord").alias("ord")), "candidate_classes")
+    of = first.select("t", "d", "source_id", *[F.col(c).alias(f"first_{c}") for c in SAID], "first")
     members = rows.join(of, ["t", "d", "source_id"]).where(same & (F.col("first") != F.col("id"))).select("first", F.col("id").alias("second"), F.lit("member").alias("link"))
     met = None
     for keys in (["t", "d"], ["source_id", "t"], ["source_id", "d"]):
         # of what these keys and the sayings do not tell apart, one class speaks for all; the others are linked to it
-        alike = first.groupBy(*keys, *said).agg(F.min_by("first", "ord").alias("id"), F.min("ord").alias("ord"))
-        one = alike.select(*keys, F.struct("id", "ord", *said).alias("a"))
-        two = alike.select(*keys, F.struct("id", "ord", *said).alias("b"))
+        alike = first.groupBy(*keys, *SAID).agg(F.min_by("first", "ord").alias("id"), F.min("ord").alias("ord"))
+        one = alike.select(*keys, F.struct("id", "ord", *SAID).alias("a"))
+        two = alike.select(*keys, F.struct("id", "ord", *SAID).alias("b"))
         across = one.join(two, keys).where("a.ord < b.ord").where(~F.coalesce(conflicts("a", "b"), F.lit(False))).select(F.col("a.id").alias("first"), F.col("b.id").alias("second"))
-        spoken = alike.select(*keys, *[F.col(c).alias(f"first_{c}") for c in said], F.col("id").alias("speaker"))
+        spoken = alike.select(*keys, *[F.col(c).alias(f"first_{c}") for c in SAID], F.col("id").alias("speaker"))
         within = first.join(spoken, keys).where(same & (F.col("first") != F.col("speaker"))).select(F.col("speaker").alias("first"), F.col("first").alias("second"))
         part = across.unionAll(within)
         met = part if met is None else met.unionAll(part)
@@ -89,9 +91,15 @@ def duplicate_pairs(candidates: DataFrame) -> DataFrame:
 
 
 def keyed(candidates: DataFrame) -> DataFrame:
-    """candidates with t and d, the keys of title and description; a null one has a key of its own, so it equals no other."""
+    """candidates with t and d, the keys of title and description, and p, the key of the place. A null title or description has a
+    key of its own, so it equals no other. Keys are only compared for being equal, so t and d are 128-bit digests: what is
+    shuffled by them does not grow with the texts."""
     own = F.concat(F.lit("\0"), F.col("id"))
-    return candidates.withColumn("t", F.coalesce(compact_key(F.col("title")), own)).withColumn("d", F.coalesce(compact_key(F.col("description")), own))
+
+    def digested(text: str) -> Column:
+        return F.substring(F.unhex(F.sha2(F.coalesce(compact_key(F.col(text)), own), 256)), 1, 16)
+
+    return candidates.withColumns({"t": digested("title"), "d": digested("description"), "p": compact_key(F.coalesce("place", F.lit("")))})
 
 
 #: Candidates that are folded as one block.
@@ -203,7 +211,7 @@ def folded(candidates: DataFrame, small: int = SMALL) -> DataFrame:
         F.coalesce("description", F.lit("")).alias("description"),
         F.col("source_id").alias("s"),
         F.substring(F.nullif("start_at", F.lit("")), 1, 10).alias("day"),
-        F.coalesce(compact_key(F.col("place")), F.lit("")).alias("place"),
+        F.col("p").alias("place"),
         F.when(F.col("location_precision") == "exact", 2).when(F.col("location_precision") == "approximate", 1).otherwise(0).alias("precision"),
     )
     rows = staged(rows, "candidates")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.columns import blank_as_null, fnv1a36, trimmed
 from chatloom.operators.links import name_matches, names_containing
-from chatloom.operators.merge import conflicts, keyed
+from chatloom.operators.merge import SAID, conflicts, keyed
 from chatloom.operators.segments import placed
 
 # Limits and marks.
@@ -52,16 +52,15 @@ def not_known_yet(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """Incoming candidates (id, title, description, source_id, start_at, place, location_precision) that equal no existing one.
 
     Three anti-joins by keys, as of `merge.duplicate_pairs`; of existing ones that no comparison tells apart, one is asked."""
-    said = ["start_at", "place", "location_precision"]
-    both = [keyed(df) for df in (incoming, existing)]
-    left = both[0].withColumn("a", F.struct(*said))
+    left = keyed(incoming).withColumn("a", F.struct(*SAID))
+    known = keyed(existing)
     for keys in (["t", "d"], ["source_id", "t"], ["source_id", "d"]):
-        others = both[1].select(*keys, *said).distinct().select(*[F.col(k).alias(f"other_{k}") for k in keys], F.struct(*said).alias("b"))
+        others = known.select(*keys, *SAID).distinct().select(*[F.col(k).alias(f"other_{k}") for k in keys], F.struct(*SAID).alias("b"))
         same = F.lit(True)
         for k in keys:
             same = same & (F.col(k) == F.col(f"other_{k}"))
         left = left.join(others, same & ~F.coalesce(conflicts("a", "b"), F.lit(False)), "left_anti")
-    return left.drop("t", "d", "a")
+    return left.drop("t", "d", "p", "a")
 
 
 def tasks_of(candidates: DataFrame, tasks: DataFrame, places: DataFrame, people: DataFrame) -> DataFrame:

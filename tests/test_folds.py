@@ -166,3 +166,11 @@ def test_claims_with_many_sources(spark):
     first = ",".join(s for _, s in sorted((r[3], r[2]) for r in data[:400])[:12])
     assert got == {("p", "k"): (first, 400, 6.0, "repeated"), ("p", None): ("m1", 1, 2.0, "single"), (None, "k"): ("m2", 1, 0.5, "single")}
     assert "WindowGroupLimit" in evidence.merged_claims(df, "person", "claim")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_candidates_are_keyed_once(spark):
+    """Texts are digested where they are read; what compares candidates works out no keys, and shuffles none that are as long as a text."""
+    rows = spark.createDataFrame(drawn(7, 60), CANDIDATE)
+    keys = merge.keyed(rows.withColumn("description", F.repeat("description", F.lit(500)))).select("t", "d").collect()
+    assert {len(k) for r in keys for k in r} == {16}
+    assert "ArrowEvalPython" not in merge.duplicate_pairs(rows)._jdf.queryExecution().executedPlan().toString()

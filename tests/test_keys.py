@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from chatloom.functions.columns import WHITE, blank_as_null, compact_key, in_locale, text_key, trimmed
+from chatloom.functions.columns import UNLETTERED, WHITE, blank_as_null, compact_key, in_locale, text_key, trimmed
 from chatloom.operators import persons
 
 SPACE = f"[{WHITE}]+"
@@ -60,3 +60,11 @@ def test_people_are_searched_in_all_that_is_shown(spark):
     names = lambda text, most=9: [r.name for r in persons.searched(df, text, most).collect()]
     assert [names(t) for t in ("chess", " tea　", "quiet", "paris", "chat", "bo", "none")] == [["Ann"], ["Bo"], ["Bo"], ["Cy"], ["Ann"], ["Bo"], []]
     assert names("") == ["Cy", "Ann", "Bo"] and names(" ", 1) == ["Cy"]
+
+
+def test_unlettered_is_punctuation_symbols_and_white_space(spark):
+    """The pattern against the plain one, over every code point."""
+    chars = spark.createDataFrame([(f"a{chr(c)}b{chr(c)}{chr(c)}",) for c in range(0x110000) if not 0xD800 <= c < 0xE000], "s string")
+    plain = rf"[\p{{P}}\p{{S}}{WHITE}]+"
+    assert chars.where(F.regexp_replace("s", UNLETTERED, "") != F.regexp_replace("s", plain, "")).isEmpty()
+    assert chars.where(F.regexp_replace("s", UNLETTERED, "") != F.col("s")).count() > 8000
