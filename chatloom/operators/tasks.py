@@ -9,6 +9,7 @@ from chatloom.functions.columns import blank_as_null, fnv1a36, trimmed
 from chatloom.operators.links import name_matches, names_containing
 from chatloom.operators.merge import SAID, conflicts, keyed
 from chatloom.operators.segments import placed
+from chatloom.sources.staging import staged
 
 # Limits and marks.
 TITLE, DESCRIPTION, SOURCES, PEOPLE, TAGS, GUIDANCE, PLACE, TIME = 120, 1000, 30, 12, 10, 3, 120, 40
@@ -53,7 +54,7 @@ def not_known_yet(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
     Three anti-joins by keys, as of `merge.duplicate_pairs`; of existing ones that no comparison tells apart, one is asked."""
     left = keyed(incoming).withColumn("a", F.struct(*SAID))
-    known = keyed(existing)
+    known = staged(keyed(existing).select("source_id", "t", "d", *SAID), "existing_candidates")
     for keys in (["t", "d"], ["source_id", "t"], ["source_id", "d"]):
         others = known.select(*keys, *SAID).distinct().select(*[F.col(k).alias(f"other_{k}") for k in keys], F.struct(*SAID).alias("b"))
         same = F.lit(True)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.operators import evidence, gates, links, merge, records, segments
+from chatloom.operators import evidence, gates, links, merge, records, segments, tasks
 from chatloom.sources.staging import staged
 
 CANDIDATE = "id string, ord long, title string, description string, source_id string, start_at string, place string, location_precision string"
@@ -174,3 +174,16 @@ def test_candidates_are_keyed_once(spark):
     keys = merge.keyed(rows.withColumn("description", F.repeat("description", F.lit(500)))).select("t", "d").collect()
     assert {len(k) for r in keys for k in r} == {16}
     assert "ArrowEvalPython" not in merge.duplicate_pairs(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_candidates_are_keyed_once(spark):
+    rows = spark.createDataFrame(drawn(8, 90), CANDIDATE)
+    new = tasks.not_known_yet(rows.where("ord % 3 = 0"), rows.where("ord % 3 <> 0"))
+    assert new._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1  # of the incoming ones
+    keyed, left = merge.keyed(rows).collect(), []
+    for a in keyed:
+        near = [b for b in keyed if b.ord % 3 and (a.t == b.t) + (a.d == b.d) + (a.source_id is not None and a.source_id == b.source_id) > 1 and (a.t == b.t or a.d == b.d)]
+        apart = lambda b: (a.start_at is not None and b.start_at is not None and a.start_at[:10] != b.start_at[:10]) or (a.p and b.p and a.p not in b.p and b.p not in a.p and a.location_precision == b.location_precision == "exact")  # noqa: E731, B023
+        if a.ord % 3 == 0 and all(map(apart, near)):
+            left.append(a.id)
+    assert sorted(r.id for r in new.collect()) == sorted(left) and new.columns == rows.columns and left
