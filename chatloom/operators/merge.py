@@ -185,8 +185,8 @@ class _Held:
         h["day"] = h["day"] or r["day"]
         if (not h["place"] and r["place"]) or r["precision"] > h["precision"]:
             h["place"], h["precision"] = r["place"], r["precision"]
-        if len(r["description"]) > len(h["description"]):
-            other, h["description"], h["d"] = r["d"] != h["d"], r["description"], r["d"]
+        if r["length"] > h["length"]:
+            other, h["length"], h["d"] = r["d"] != h["d"], r["length"], r["d"]
             if other:
                 self.note(n, h["sources"])
         if s is not None and s not in h["sources"] and len(h["sources"]) < 30:
@@ -208,7 +208,7 @@ def folded(candidates: DataFrame, small: int = SMALL) -> DataFrame:
         "ord",
         "t",
         "d",
-        F.coalesce("description", F.lit("")).alias("description"),
+        F.length(F.coalesce("description", F.lit(""))).alias("length"),
         F.col("source_id").alias("s"),
         F.substring(F.nullif("start_at", F.lit("")), 1, 10).alias("day"),
         F.col("p").alias("place"),
@@ -238,7 +238,7 @@ def folded(candidates: DataFrame, small: int = SMALL) -> DataFrame:
             yield pd.DataFrame(done, columns=["id", "head", "absorbed", "sources"]).astype({"absorbed": "Int64"})
         yield pd.DataFrame(heads(), columns=["id", "head", "absorbed", "sources"]).astype({"absorbed": "Int64"})
 
-    narrow = parted.where("block IS NOT NULL").select("block", "ord", "id", "t", "d", "description", F.col("s").alias("source_id"), "day", "place", "precision")
+    narrow = parted.where("block IS NOT NULL").select("block", "ord", "id", "t", "d", "length", F.col("s").alias("source_id"), "day", "place", "precision")
     several = narrow.repartition("block").sortWithinPartitions("block", "ord", "id").mapInPandas(fold, "id string, head string, absorbed long, sources string")
     alone = parted.where("block IS NULL").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("absorbed"), F.coalesce("s", F.lit("")).alias("sources"))
     return several.unionAll(alone)

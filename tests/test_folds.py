@@ -187,3 +187,9 @@ def test_known_candidates_are_keyed_once(spark):
         if a.ord % 3 == 0 and all(map(apart, near)):
             left.append(a.id)
     assert sorted(r.id for r in new.collect()) == sorted(left) and new.columns == rows.columns and left
+
+
+def test_descriptions_do_not_go_into_the_fold(spark):
+    rows = spark.createDataFrame(drawn(9, 40), CANDIDATE)
+    said = merge.folded(rows, small=0)._jdf.queryExecution().analyzed().toString()
+    assert "length#" in said and "description#" not in said
