@@ -154,6 +154,18 @@ class Archive:
         ops = self._ops(segments)
         return None if ops is None else current(ops, "version").drop("op", "version")
 
+    def _count(self, segments: list[dict]) -> int:
+        """How many rows there are; of the segments, only ids are read."""
+        return current(self._ops(segments).select("id", "op", "version"), "version").count()
+
+    def _named(self, segments: list[dict], ids: DataFrame) -> DataFrame:
+        """The rows that there are of these ids. Beyond their ids, only segments are read that hold the last operation on one of them."""
+        ops = self._ops(segments)
+        last = latest(ops.select("id", "op", "version").join(ids, "id", "left_semi"), "version")
+        held = {r["version"] for r in last.select("version").distinct().collect()}  # a row a segment
+        rows = self._ops([s for s in segments if s["version"] in held]) if held else ops.where(F.lit(False))
+        return current(rows.join(ids, "id", "left_semi"), "version").drop("op", "version")
+
     def _written(self, ops: DataFrame, kind: str, version: int, told: dict | None = None) -> dict:
         """A segment's rows in a folder of their own; count and digest are taken while they are written."""
         folder, seen = f"v={version}-{uuid.uuid4().hex[:12]}", Observation()
@@ -171,7 +183,7 @@ class Archive:
         except Conflict:
             self._gone(new["folder"])
             raise
-        if len(segments) + 1 >= COMPACT_SEGMENTS or (segments and new["rows"] >= COMPACT_LEAST and new["rows"] >= self.snapshot().count()):
+        if len(segments) + 1 >= COMPACT_SEGMENTS or (segments and new["rows"] >= COMPACT_LEAST and new["rows"] >= self._count([*segments, new])):
             return self.compact()
         return now + 1
 
@@ -194,10 +206,11 @@ class Archive:
         return self._append(_filled(difference(state, rows), rows), segments, told)
 
     def commit_delta(self, upserts: DataFrame, delete_ids: DataFrame, expected: int | None = None) -> int:
-        """Add, replace and delete rows; what changes nothing is left out."""
-        segments, state = self._expecting(expected), self.snapshot()
-        if state is None:
+        """Add, replace and delete rows; what changes nothing is left out. It costs what the delta is, and a look at the archive's ids."""
+        segments = self._expecting(expected)
+        if not segments:
             return self._append(upserts.withColumn("op", F.lit("upsert")), segments)
+        state = self._named(segments, upserts.select("id").unionAll(delete_ids.select("id")))
         return self._append(_filled(effective(state, upserts, delete_ids), upserts), segments)
 
     def told(self) -> dict:

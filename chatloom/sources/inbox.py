@@ -62,9 +62,8 @@ def listed_in(rows: DataFrame, field: str, **told: Callable[[Column], Column]) -
     return rows.select(F.inline(F.flatten(F.flatten(each))))
 
 
-def chat_operations(documents: DataFrame, envelope: Envelope, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Upserts (messages), deletes (id) and rejected documents (source_file). In a document a later row of an id wins, and a
-    delete that the document also upserts is dropped; so is one of another account."""
+def _chat_entries(documents: DataFrame, envelope: Envelope, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages as documents list them (with pos), deletes (source_file, id) but of other accounts, and rejected documents."""
     rows = opened(documents, CHAT, envelope)
     sizes = (F.size("doc.records") >= 0) & (F.size("doc.records") <= MOST) & (F.coalesce(F.size("doc.deleteIds"), F.lit(0)) <= MOST)
     account = lambda doc: clean(doc["account"]["id"], 180)
@@ -94,12 +93,29 @@ def chat_operations(documents: DataFrame, envelope: Envelope, source: str) -> tu
         at.alias("captured_at"),
         F.lit("new").alias("status"),
     ).where("id IS NOT NULL AND content IS NOT NULL AND captured_at IS NOT NULL AND conversation_id IS NOT NULL")
-    last = F.row_number().over(Window.partitionBy("source_file", "id").orderBy(F.desc("pos")))
-    upserts = made.withColumn("nth", last).where("nth = 1").drop("nth", "pos")
     gone = listed_in(rows.where("ok"), "deleteIds", account=account).select("source_file", "account", clean(F.col("raw"), 420).alias("id"))
     gone = gone.where(F.startswith("id", F.concat(F.lit(f"{envelope.prefix}:"), "account", F.lit(":")))).select("source_file", "id").distinct()
-    deletes = gone.join(upserts.select("source_file", "id"), ["source_file", "id"], "left_anti")
-    return upserts, deletes, rows.where("NOT ok").select("source_file")
+    return made, gone, rows.where("NOT ok").select("source_file")
+
+
+def chat_operations(documents: DataFrame, envelope: Envelope, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Upserts (messages), deletes (id) and rejected documents (source_file). In a document a later row of an id wins, and a
+    delete that the document also upserts is dropped; so is one of another account."""
+    made, gone, bad = _chat_entries(documents, envelope, source)
+    last = F.row_number().over(Window.partitionBy("source_file", "id").orderBy(F.desc("pos")))
+    upserts = made.withColumn("nth", last).where("nth = 1").drop("nth", "pos")
+    return upserts, gone.join(upserts.select("source_file", "id"), ["source_file", "id"], "left_anti"), bad
+
+
+def chat_net(documents: DataFrame, envelope: Envelope, source: str) -> tuple[DataFrame, DataFrame]:
+    """id, up, row: the one operation of each id that `latest_of` leaves of `chat_operations`, an upsert of a row (up is 1) or a delete, and
+    rejected documents. Both rules are one order, of file, upsert before delete, and place, so entries are parsed and shuffled once."""
+    made, gone, bad = _chat_entries(documents, envelope, source)
+    row = F.struct(*[c for c in made.columns if c not in ("id", "source_file", "pos")])
+    ups = made.select("id", F.struct("source_file", F.lit(1).alias("up"), "pos").alias("at"), row.alias("row"))
+    downs = gone.select("id", F.struct("source_file", F.lit(0).alias("up"), F.lit(-1).alias("pos")).alias("at"), F.lit(None).cast(ups.schema["row"].dataType).alias("row"))
+    last = ups.unionAll(downs).groupBy("id").agg(F.max_by(F.struct("at.up", "row"), "at").alias("x"))
+    return last.select("id", "x.up", "x.row"), bad
 
 
 def latest_of(upserts: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:

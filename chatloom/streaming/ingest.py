@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from chatloom.operators.archive import Archive
-from chatloom.sources.inbox import Envelope, chat_operations, latest_of
+from chatloom.sources.inbox import Envelope, chat_net
 
 
 def document_stream(spark: SparkSession, folder: str, pattern: str = "*.json", files_each: int = 100) -> DataFrame:
@@ -21,14 +21,15 @@ def chat_ingest(documents: DataFrame, archive: Archive, envelope: Envelope, sour
     """Run all documents that are there into the archive; those without a right envelope are listed in the folder `rejected`."""
 
     def commit(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        kept = [batch.persist()]
         try:
-            upserts, deletes, bad = chat_operations(batch, envelope, source)
-            ups, downs = latest_of(upserts, deletes)
-            archive.commit_delta(ups, downs)
+            net, bad = chat_net(batch, envelope, source)
+            kept.append(net.persist())  # a commit looks at it more than once
+            archive.commit_delta(net.where("up = 1").select("id", "row.*"), net.where("up = 0").select("id"))
             bad.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
         finally:
-            batch.unpersist()
+            for df in kept[::-1]:
+                df.unpersist()
 
     return documents.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -127,3 +127,20 @@ def test_the_first_version_is_a_snapshot(spark, tmp_path):
     assert "Aggregate" not in a.snapshot()._jdf.queryExecution().executedPlan().toString()
     assert a.commit_delta(rows(spark).limit(0), spark.createDataFrame([], "id string")) == 1
     assert len([p for p in (tmp_path / "a").iterdir() if p.name.startswith("v=")]) == 1
+
+
+def test_a_delta_reads_what_it_names(spark, tmp_path, monkeypatch):
+    """Deltas go without the whole state: of what they do not name, only ids are read."""
+    a, ids = Archive(spark, str(tmp_path / "a")), lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    whole = Archive.snapshot
+    monkeypatch.setattr(Archive, "snapshot", lambda self: pytest.fail("the whole state is read"))
+    a.commit_delta(rows(spark, ("1", "x"), ("2", "y"), ("4", "w")), ids())
+    a.commit_delta(rows(spark, ("3", "z"), ("4", "v")), ids("1", "7"))
+    plan = lambda *x: a._named(a.manifest(), ids(*x))._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, a._named(a.manifest(), ids("1", "2", "4", "8")).collect())) == [("2", "y"), ("4", "v")]
+    assert (plan("8").count("FileScan"), plan("2").count("FileScan"), plan("1", "2").count("FileScan")) == (0, 1, 2)
+    last = a.commit_delta(rows(spark, ("2", "y"), ("1", "again"), ("5", "u")), ids("2", "3", "8"))
+    assert {(r.id, r.op) for r in a.changes(last - 1).collect()} == {("1", "upsert"), ("5", "upsert"), ("3", "delete")}
+    assert a._count(a.manifest()) == 4
+    monkeypatch.setattr(Archive, "snapshot", whole)
+    assert state(a) == [("1", "again"), ("2", "y"), ("4", "v"), ("5", "u")] and a.verify() == []

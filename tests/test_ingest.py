@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -75,3 +76,19 @@ def test_event_windows(spark, tmp_path):
     stream = spark.readStream.schema("user_id long, kind string, start_ts timestamp").parquet(str(tmp_path / "ev"))
     ingest.activity_windows(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "p")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(120)
     assert [(r.events, str(r.start)) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(2, "2024-01-01 00:00:00")]
+
+
+def test_net_operations_are_the_latest(spark):
+    """In one pass over the entries, what chat_operations and latest_of give in several."""
+    rng = random.Random(3)
+    texts = [batch([record(rng.randrange(9), content=f"{d}-{n}", title=rng.choice([None, "t"])) for n in range(rng.randrange(8))], {f"row:acc:{rng.randrange(9)}" for _ in range(5)}) for d in range(12)]
+    docs = spark.createDataFrame([(f"f{rng.randrange(100):02}-{d}", t) for d, t in enumerate(texts)] + [("x", "{broken")], "source_file string, value string")
+    for some in (docs, docs.where("source_file < 'f5'"), docs.where("source_file = 'x'")):
+        upserts, deletes, _ = I.chat_operations(some, ENVELOPE, "chat")
+        ups, downs = I.latest_of(upserts, deletes)
+        net, bad = I.chat_net(some, ENVELOPE, "chat")
+        got = net.where("up = 1").select("id", "row.*")
+        assert got.columns == ups.columns and sorted(map(str, got.collect())) == sorted(map(str, ups.collect()))
+        assert {r.id for r in net.where("up = 0").collect()} == {r.id for r in downs.collect()}
+        assert [r.source_file for r in bad.collect()] == [r.source_file for r in some.where("source_file = 'x'").collect()]
+        assert net._jdf.queryExecution().executedPlan().toString().count("Join") == 0
