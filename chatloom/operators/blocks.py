@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.sources.staging import staged
 
 
+def _rooted(to: DataFrame) -> DataFrame:
+    """node, block of (node, block) that lead to lower nodes: the block that is its own, in a logarithmic number of jumps."""
+    while True:
+        on = to.select(F.col("node").alias("block"), F.col("block").alias("next"))
+        jumped = staged(to.join(on, "block").select("node", F.col("next").alias("block"), (F.col("next") < F.col("block")).alias("moved")), "labels")
+        to = jumped.select("node", "block")
+        if jumped.where("moved").isEmpty():
+            return to
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """node, block: the least node of its component, for every node of the edges (a, b). Labels fall to the least label
-    nearby and then to that label's own, so a chain takes a logarithmic number of rounds; each round is a staged table."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("block")), "labels")
+    """node, block: the least node of its component, for every node of the edges (a, b). Every node falls to its least neighbour and
+    so to the root of a tree; what is left are the edges between roots. In two rounds each root that has edges meets another, so
+    roots are halved: a chain takes a logarithmic number of rounds, and settled components are in none of the later ones."""
+
+    def ordered(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    left, falls = staged(edges.select(*ordered("a", "b")).distinct(), "edges"), []
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("block").alias("near"))
-        lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("block", "near").alias("low"), F.col("block").alias("was"))
-        lower = staged(lower, "lower")
-        root = lower.select(F.col("node").alias("low"), F.col("low").alias("root"))
-        fallen = staged(lower.join(root, "low").select("node", F.least("low", "root").alias("block"), "was"), "labels")
-        labels = fallen.select("node", "block")
-        if fallen.where("block <> was").isEmpty():
-            return labels
+        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("block"))
+        falls.append(_rooted(staged(least, "labels")))
+        a, b = [falls[-1].select(F.col("node").alias(c), F.col("block").alias(f"root_{c}")) for c in "ab"]
+        between = left.where("a <> b").join(a, "a").join(b, "b").where("root_a <> root_b")
+        left = staged(between.select(*ordered("root_a", "root_b")).distinct(), "edges")
+        if left.isEmpty():
+            break
+    labels = falls.pop()
+    for fall in reversed(falls):
+        later = labels.select(F.col("node").alias("block"), F.col("block").alias("lower"))
+        labels = staged(fall.join(later, "block", "left").select("node", F.coalesce("lower", "block").alias("block")), "labels")
+    return labels
 
 
 def extended(labels: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -108,6 +108,12 @@ SMALL = 1 << 15
 TITLES = 64
 
 
+def _several(name: str) -> Column:
+    """Whether a group has several values of a column besides null. Told by two hashes: greatest and least of numbers need no sort."""
+    hashes = [F.when(F.col(name).isNotNull(), h) for h in (F.xxhash64(name), F.xxhash64(F.lit("again"), name))]
+    return (F.min(hashes[0]) < F.max(hashes[0])) | (F.min(hashes[1]) < F.max(hashes[1]))
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """own (the hash of an id), block of the candidates that may have to do with another, so that no cluster of the fold leaves
     its block. rows: id, t, d, s (the source or null), day (or null).
@@ -117,11 +123,11 @@ def _blocks(rows: DataFrame) -> DataFrame:
     description with one and a source with another of its title (`indirect`). Days that differ never meet, so a pair of keys
     counts by the day, unless a candidate without a day has it. Many rows of one title are thus as many blocks as their
     descriptions, sources and days part them into."""
-    titles = rows.groupBy("t").agg((F.min("d") < F.max("d")).alias("more"), (F.min("s") < F.max("s")).alias("said")).where("more AND said").select("t")
+    titles = rows.groupBy("t").agg(_several("d").alias("more"), _several("s").alias("said")).where("more AND said").select("t")
     of_titles = rows.join(titles, "t", "left_semi")
     described = of_titles.select("t", "d").distinct()
     crowded = described.groupBy("d").agg(F.count("*").alias("titles"))
-    shared = rows.select("d", "s", "t").distinct().groupBy("d").agg((F.min("t") < F.max("t")).alias("several")).where("several").select("d")
+    shared = rows.groupBy("d").agg(_several("t").alias("several")).where("several").select("d")
     crowded = crowded.join(shared, "d", "left_semi")
     few = described.join(crowded.where(F.col("titles") <= TITLES), "d", "left_semi").withColumnRenamed("t", "other")
     meets = rows.where("s IS NOT NULL").select("d", "s", "t").distinct().join(few, "d").where("t <> other").select("d", "s", F.col("other").alias("t"))
@@ -173,13 +179,13 @@ class _Held:
         p, q = r["place"], h["place"]
         return not (p and q and p not in q and q not in p and r["precision"] == h["precision"] == 2)
 
-    def take(self, r: dict) -> str:
-        """The id of the merged candidate that r becomes part of, its own if none before it is equal."""
+    def take(self, r: dict) -> dict | None:
+        """The merged candidate that r becomes part of, or None if none before it is equal and it begins its own."""
         n, s = self.first(r), r["source_id"]
         if n is None:
             self.all.append(r | {"members": 1, "sources": [] if s is None else [s]})
             self.note(len(self.all) - 1, self.all[-1]["sources"])
-            return r["id"]
+            return None
         h = self.all[n]
         h["members"] += 1
         h["day"] = h["day"] or r["day"]
@@ -192,12 +198,13 @@ class _Held:
         if s is not None and s not in h["sources"] and len(h["sources"]) < 30:
             h["sources"].append(s)
             self.note(n, [s])
-        return h["id"]
+        return h
 
 
-def folded(candidates: DataFrame, small: int = SMALL) -> DataFrame:
+def folded(candidates: DataFrame, small: int = SMALL, carried: tuple[str, ...] = ()) -> DataFrame:
     """id, head, absorbed, sources: every candidate and the one that it is merged into (itself: then with how many others it
-    took and its sources), folded in the order of ord; each joins the first earlier one that it equals.
+    took and its sources; else both are null), folded in the order of ord; each joins the first earlier one that it equals. Every
+    row brings the columns `carried` along, so that they need not be joined to the result.
 
     Being equal is not transitive and a merged candidate gathers sources, so the order counts within a block (`_blocks`), whose
     rows are streamed and looked up by what they share; blocks are folded apart from each other. A candidate that shares
@@ -213,6 +220,7 @@ def folded(candidates: DataFrame, small: int = SMALL) -> DataFrame:
         F.substring(F.nullif("start_at", F.lit("")), 1, 10).alias("day"),
         F.col("p").alias("place"),
         F.when(F.col("location_precision") == "exact", 2).when(F.col("location_precision") == "approximate", 1).otherwise(0).alias("precision"),
+        *carried,
     )
     rows = staged(rows, "candidates")
     if rows.limit(small + 1).count() <= small:
@@ -222,42 +230,44 @@ def folded(candidates: DataFrame, small: int = SMALL) -> DataFrame:
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held = None, _Held()
+        columns = ["id", "head", "absorbed", "sources", *carried]
 
         def heads() -> list[tuple]:
-            return [(h["id"], h["id"], h["members"] - 1, ",".join(h["sources"])) for h in held.all]
+            return [(h["id"], h["id"], h["members"] - 1, ",".join(h["sources"]), *[h[c] for c in carried]) for h in held.all]
 
         for batch in batches:
             done = []
-            for r in batch.to_dict("records"):
+            for values in zip(*[batch[c].tolist() for c in batch.columns], strict=True):
+                r = dict(zip(batch.columns, values, strict=True))
                 if r["block"] != at:
                     done += heads()
                     at, held = r["block"], _Held()
                 head = held.take(r)
-                if head != r["id"]:
-                    done.append((r["id"], head, None, None))
-            yield pd.DataFrame(done, columns=["id", "head", "absorbed", "sources"]).astype({"absorbed": "Int64"})
-        yield pd.DataFrame(heads(), columns=["id", "head", "absorbed", "sources"]).astype({"absorbed": "Int64"})
-
-    narrow = parted.where("block IS NOT NULL").select("block", "ord", "id", "t", "d", "length", F.col("s").alias("source_id"), "day", "place", "precision")
-    several = narrow.repartition("block").sortWithinPartitions("block", "ord", "id").mapInPandas(fold, "id string, head string, absorbed long, sources string")
-    alone = parted.where("block IS NULL").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("absorbed"), F.coalesce("s", F.lit("")).alias("sources"))
+                if head is not None:
+                    done.append((r["id"], head["id"], None, None, *[r[c] for c in carried]))
+            yield pd.DataFrame(done, columns=columns).astype({"absorbed": "Int64"})
+        yield pd.DataFrame(heads(), columns=columns).astype({"absorbed": "Int64"})
+
+    narrow = parted.where("block IS NOT NULL").select("block", "ord", "id", "t", "d", "length", F.col("s").alias("source_id"), "day", "place", "precision", *carried)
+    made = ["id string, head string, absorbed long, sources string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carried).schema]]
+    several = narrow.repartition("block").sortWithinPartitions("block", "ord", "id").drop("ord").mapInPandas(fold, ", ".join(made))
+    alone = parted.where("block IS NULL").select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("absorbed"), F.coalesce("s", F.lit("")).alias("sources"), *carried)
     return several.unionAll(alone)
 
 
 def merged_candidates(candidates: DataFrame, small: int = SMALL) -> DataFrame:
     """id, absorbed, sources: the merged candidates (see folded), how many others each took, and its first 30 sources."""
-    return folded(candidates, small).where("id = head").select("id", "absorbed", "sources")
+    return folded(candidates, small).where("absorbed IS NOT NULL").select("id", "absorbed", "sources")
 
 
 def adjudicated(observations: DataFrame, extractors: int) -> DataFrame:
     """candidate, passes, models, agreement of merged candidates: how many passes and models saw one of its members. One
     extractor: single; two passes or more: consensus; else needs-review. observations: candidates with pass_id and model;
     those without a pass take no part."""
-    rows = observations.where(trimmed("pass_id") != "")
-    members = folded(rows).select("id", F.col("head").alias("candidate")).join(rows.select("id", "pass_id", F.nullif(trimmed("model"), F.lit("")).alias("model")), "id")
+    rows = observations.where(trimmed("pass_id") != "").withColumn("model", F.nullif(trimmed("model"), F.lit("")))
     told = F.lit("single") if extractors <= 1 else F.when(F.col("passes") >= 2, "consensus").otherwise("needs-review")
-    # counted by distinct pairs first, so that a candidate with many members is no group of their rows
-    passes = members.select("candidate", "pass_id").distinct().groupBy("candidate").agg(F.count("*").alias("passes"))
-    models = members.where("model IS NOT NULL").select("candidate", "model").distinct().groupBy("candidate").agg(F.count("*").alias("models"))
-    out = passes.join(models, "candidate", "left").withColumn("agreement", told)
-    return out.select("candidate", "passes", F.coalesce("models", F.lit(0).cast("long")).alias("models"), "agreement")
+    # both are counted over one reading of the fold; Spark makes rows distinct by candidate and value first, so that a candidate
+    # with many members is no group of their rows
+    members = folded(rows, carried=("pass_id", "model")).withColumnRenamed("head", "candidate")
+    counted = members.groupBy("candidate").agg(F.count_distinct("pass_id").alias("passes"), F.count_distinct("model").alias("models"))
+    return counted.select("candidate", "passes", "models", told.alias("agreement"))

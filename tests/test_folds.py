@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.operators import evidence, gates, links, merge, records, segments, tasks
+from chatloom.operators import blocks, evidence, gates, links, merge, records, segments, tasks
 from chatloom.sources.staging import staged
 
 CANDIDATE = "id string, ord long, title string, description string, source_id string, start_at string, place string, location_precision string"
@@ -94,6 +94,52 @@ def test_adjudication(spark):
     assert {r.agreement for r in merge.adjudicated(df, 1).collect()} == {"single"}
 
 
+def test_adjudication_reads_the_fold_once(spark):
+    """Two counts are made of one fold, and what they count comes with it instead of being joined to it."""
+    rows = spark.createDataFrame(drawn(10, 80), CANDIDATE).withColumns({"pass_id": F.concat(F.lit("p"), F.col("ord") % 3), "model": F.when(F.col("ord") % 4 > 0, F.concat(F.lit("m"), F.col("ord") % 4))})
+    out = merge.adjudicated(rows, 4)
+    said = out._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("MapInPandas") == 1 and "Join" not in said
+    head, passes, models = one_after_another(merge.keyed(rows).collect())[0], {}, {}
+    for r in rows.collect():
+        passes.setdefault(head[r.id], set()).add(r.pass_id)
+        models.setdefault(head[r.id], set()).update({r.model} - {None})
+    assert {r.candidate: (r.passes, r.models) for r in out.collect()} == {h: (len(p), len(models[h])) for h, p in passes.items()}
+    brought = merge.folded(rows.withColumn("odd name", F.col("ord")), small=0, carried=("model", "odd name")).collect()
+    assert sorted((r.id, r.model, r["odd name"]) for r in brought) == sorted((r.id, r.model, r.ord) for r in rows.collect())
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components(spark, monkeypatch, kind):
+    """The least node of each component; those that a round settles are in none after it."""
+    rng = random.Random(11)
+    chain = [(i, i + 1) for i in range(150)]
+    star = [(400, i) for i in range(401, 430)] + [(460, i) for i in range(430, 460)]
+    drawn = [(rng.randrange(500, 560), rng.randrange(500, 560)) for _ in range(45)]
+    pairs = [(1000 + 2 * i, 1001 + 2 * i) for i in range(800)]
+    edges = [*chain, *star, *drawn, *pairs, (990, 990)]
+    if kind == "string":
+        edges = [tuple(f"n{x:04}" for x in e) for e in edges]
+    least = {x: x for e in edges for x in e}
+    for _ in range(len(chain)):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    sizes = []
+
+    def counted(df, name):
+        out = staged(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(blocks, "staged", counted)
+    df = spark.createDataFrame(edges, f"a {kind}, b {kind}")
+    got = blocks.connected(df).collect()
+    assert len(got) == len(least) and {r.node: r.block for r in got} == least
+    later = [n for name, n in sizes if name == "edges"][1:]
+    assert later and max(later) < 80 and len(later) < 8
+    assert blocks.connected(df.limit(0)).collect() == []
+
+
 def test_frames_over_blocks(spark):
     rng = random.Random(4)
     data = [(k, i, rng.random() < 0.1, rng.choice([None, None, i])) for k in ("a", "b", None) for i in range(rng.randrange(1, 90))]
