@@ -12,8 +12,11 @@ from dataclasses import dataclass
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 COMPACT_SEGMENTS, COMPACT_LEAST, DELTA_SHARE = 24, 10_000, 0.75
+#: How many rows an operation adds (-1 to 1): a column of operations on their way into a segment.
+ADDS = "_adds"
 
 
 def latest(ops: DataFrame, *order: str) -> DataFrame:
@@ -49,10 +52,16 @@ def difference(old: DataFrame, new: DataFrame, *leave: str) -> DataFrame:
 def effective(state: DataFrame, upserts: DataFrame, delete_ids: DataFrame, *leave: str) -> DataFrame:
     """id, op of the operations that change anything: an upsert beats a delete of its id, equal rows are dropped, and so are
     deletes of what is not there."""
+    return effective_rows(state, upserts, delete_ids, *leave).select("id", "op")
+
+
+def effective_rows(state: DataFrame, upserts: DataFrame, delete_ids: DataFrame, *leave: str) -> DataFrame:
+    """The operations of `effective` with the columns of the upserts' rows, and ADDS."""
     has = state.select("id", digest(state, *leave).alias("was"))
-    ups = upserts.select("id", digest(upserts, *leave).alias("is")).join(has, "id", "left").where("was IS NULL OR was <> is").select("id", F.lit("upsert").alias("op"))
-    downs = delete_ids.select("id").distinct().join(upserts.select("id"), "id", "left_anti").join(has.select("id"), "id", "left_semi").select("id", F.lit("delete").alias("op"))
-    return ups.unionAll(downs)
+    each = upserts.select("id", digest(upserts, *leave).alias("is"), F.struct(*upserts.columns).alias("row"))
+    ups = each.join(has, "id", "left").where("was IS NULL OR was <> is").select("row.*", F.lit("upsert").alias("op"), F.col("was").isNull().cast("int").alias(ADDS))
+    downs = delete_ids.select("id").distinct().join(upserts.select("id"), "id", "left_anti").join(has.select("id"), "id", "left_semi")
+    return ups.unionByName(downs.withColumns({"op": F.lit("delete"), ADDS: F.lit(-1)}), allowMissingColumns=True)
 
 
 def first_only(rows: DataFrame, column: str, by: list[str], order: list) -> DataFrame:
@@ -103,11 +112,17 @@ class Archive:
         return sorted(f.getPath().getName() for f in fs.listStatus(place) if f.getPath().getName().endswith(".json")) if fs.exists(place) else []
 
     def manifest(self) -> list[dict]:
-        """The segments in their order: version, kind, rows, digest, folder."""
+        """The segments in their order: version, kind, rows, digest, folder, and (of those written with them) schema and held, how many rows there are then."""
         names = self._manifests()
         if not names:
             return []
-        return sorted((json.loads(r["value"]) for r in self.spark.read.text(f"{self.path}/manifests/{names[-1]}").collect()), key=lambda s: s["version"])  # a row a segment
+        fs, place = self._fs(f"{self.path}/manifests/{names[-1]}")
+        file = fs.open(place)
+        try:
+            lines = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8").splitlines()
+        finally:
+            file.close()
+        return sorted((json.loads(line) for line in lines if line), key=lambda s: s["version"])
 
     def _publish(self, segments: list[dict]) -> None:
         """Make this the version of its last segment, unless there is one of that number."""
@@ -132,11 +147,12 @@ class Archive:
         return max([s["version"] for s in self.manifest()], default=0)
 
     def _read(self, segment: dict) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{segment['folder']}")
+        """A segment's operations. Its manifest knows their columns, so no file is opened to find them."""
+        reader = self.spark.read.schema(StructType.fromJson(segment["schema"])) if "schema" in segment else self.spark.read
+        return reader.parquet(f"{self.path}/{segment['folder']}")
 
     def ops(self) -> DataFrame | None:
         """All operations since the last snapshot, with their version."""
-        segments = self.manifest()
         return self._ops(self.manifest())
 
     def _ops(self, segments: list[dict]) -> DataFrame | None:
@@ -147,6 +163,15 @@ class Archive:
             out = part if out is None else out.unionByName(part)
         return out
 
+    def _keys(self, segments: list[dict]) -> DataFrame:
+        """id, op, version of all operations since the last snapshot: one scan of all segments if each knows its columns."""
+        since = segments[max([i for i, s in enumerate(segments) if s["kind"] == "snapshot"], default=0) :]
+        types = [{f["name"]: f for f in s["schema"]["fields"]} if "schema" in s else None for s in since]
+        if None in types or any(t["id"]["type"] != types[0]["id"]["type"] for t in types):
+            return self._ops(segments).select("id", "op", "version")
+        rows = self.spark.read.schema(StructType.fromJson({"type": "struct", "fields": [types[0]["id"], types[0]["op"]]})).parquet(*[f"{self.path}/{s['folder']}" for s in since])
+        return rows.select("id", "op", F.regexp_extract("_metadata.file_path", r"/v=(\d+)-[^/]*/[^/]*$", 1).cast("int").alias("version"))
+
     def snapshot(self) -> DataFrame | None:
         segments = self.manifest()
         if segments and segments[-1]["kind"] == "snapshot":  # one row an id, nothing to aggregate
@@ -156,25 +181,26 @@ class Archive:
 
     def _count(self, segments: list[dict]) -> int:
         """How many rows there are; of the segments, only ids are read."""
-        return current(self._ops(segments).select("id", "op", "version"), "version").count()
+        return current(self._keys(segments), "version").count()
 
     def _named(self, segments: list[dict], ids: DataFrame) -> DataFrame:
         """The rows that there are of these ids. Beyond their ids, only segments are read that hold the last operation on one of them."""
-        ops = self._ops(segments)
-        last = latest(ops.select("id", "op", "version").join(ids, "id", "left_semi"), "version")
+        last = self._keys(segments).join(ids, "id", "left_semi").groupBy("id").agg(F.max("version").alias("version"))
         held = {r["version"] for r in last.select("version").distinct().collect()}  # a row a segment
-        rows = self._ops([s for s in segments if s["version"] in held]) if held else ops.where(F.lit(False))
+        rows = self._ops([s for s in segments if s["version"] in held]) if held else self._ops(segments[-1:]).where(F.lit(False))
         return current(rows.join(ids, "id", "left_semi"), "version").drop("op", "version")
 
-    def _written(self, ops: DataFrame, kind: str, version: int, told: dict | None = None) -> dict:
-        """A segment's rows in a folder of their own; count and digest are taken while they are written."""
-        folder, seen = f"v={version}-{uuid.uuid4().hex[:12]}", Observation()
-        ops.observe(seen, *_counted(ops)).write.parquet(f"{self.path}/{folder}")
-        return {"version": version, "kind": kind, "rows": seen.get["rows"], "digest": seen.get["digest"], "folder": folder} | (told or {})
+    def _written(self, ops: DataFrame, kind: str, version: int, told: dict | None = None, before: int | None = None) -> dict:
+        """A segment's rows in a folder of their own; counts and digest are taken while they are written. before: how many rows the archive holds."""
+        folder, seen, rows = f"v={version}-{uuid.uuid4().hex[:12]}", Observation(), ops.drop(ADDS)
+        adds = [F.coalesce(F.sum(ADDS), F.lit(0)).alias("adds")] if ADDS in ops.columns else []
+        ops.observe(seen, *_counted(rows), *adds).drop(ADDS).write.parquet(f"{self.path}/{folder}")
+        held = seen.get["rows"] if kind == "snapshot" else before + seen.get["adds"] if before is not None and adds else None
+        return {"version": version, "kind": kind, "rows": seen.get["rows"], "digest": seen.get["digest"], "folder": folder, "schema": rows.schema.jsonValue()} | ({} if held is None else {"held": held}) | (told or {})
 
     def _append(self, ops: DataFrame, segments: list[dict], told: dict | None = None) -> int:
         now = max([s["version"] for s in segments], default=0)
-        new = self._written(ops, "delta" if segments else "snapshot", now + 1, told)
+        new = self._written(ops, "delta" if segments else "snapshot", now + 1, told, segments[-1].get("held") if segments else None)
         if new["rows"] == 0 and segments and not told:
             self._gone(new["folder"])
             return now
@@ -183,7 +209,7 @@ class Archive:
         except Conflict:
             self._gone(new["folder"])
             raise
-        if len(segments) + 1 >= COMPACT_SEGMENTS or (segments and new["rows"] >= COMPACT_LEAST and new["rows"] >= self._count([*segments, new])):
+        if len(segments) + 1 >= COMPACT_SEGMENTS or (segments and new["rows"] >= COMPACT_LEAST and new["rows"] >= (new["held"] if "held" in new else self._count([*segments, new]))):
             return self.compact()
         return now + 1
 
@@ -211,7 +237,7 @@ class Archive:
         if not segments:
             return self._append(upserts.withColumn("op", F.lit("upsert")), segments)
         state = self._named(segments, upserts.select("id").unionAll(delete_ids.select("id")))
-        return self._append(_filled(effective(state, upserts, delete_ids), upserts), segments)
+        return self._append(effective_rows(state, upserts, delete_ids), segments)
 
     def told(self) -> dict:
         """The fingerprint of the source that the last snapshot of a source came from, and when, if one was told."""

@@ -128,7 +128,7 @@ def _chat_documents(spark, sf_dir) -> str:
     producer = F.struct(F.lit("PRODUCER").alias("name"), F.lit("1").alias("version"), F.lit("immutable").alias("layout"))
     deletes = F.collect_list(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("m:acc:"), "conv", F.lit(":"), (F.col("turn") + 1).cast("string"))))
     document = F.struct(F.lit("chat/v1").alias("schema"), producer.alias("producer"), F.struct(F.lit("acc").alias("id")).alias("account"), F.array_sort(F.collect_list(record)).alias("records"), deletes.alias("deleteIds"))
-    return layouts.documents(twice, "batch", document)
+    return layouts.documents(twice, "batch", document, apart=False)
 
 
 @query

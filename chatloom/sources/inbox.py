@@ -38,19 +38,34 @@ _EVENT = "struct<id:string,source:string,kind:string,startAt:string,endAt:string
 SNAPSHOT = "schema string, generatedAt string, producer struct<name:string,version:string,layout:string>, device struct<platform:string>, events array<string>"
 
 
+def cut(text: Column, most: int) -> Column:
+    """A text without white space at its ends, of at most so many characters. It is blank only if it is empty."""
+    return F.substring(trimmed(F.replace(text, F.lit("\r\n"), F.lit("\n"))), 1, most)
+
+
 def clean(text: Column, most: int) -> Column:
-    return blank_as_null(F.substring(trimmed(F.regexp_replace(text, "\r\n", "\n")), 1, most))
+    return blank_as_null(cut(text, most))
 
 
 def iso(text: Column) -> Column:
     """UTC with milliseconds; null if it is no time."""
-    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(clean(text, 64)).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(cut(text, 64)).cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """The fields of the struct that `made` makes of a value, as columns of a row each. The value is worked out once: a filter on these
+    columns stays above the generator, while one on plain columns is pushed below them and works out again what they are made of."""
+    return F.inline(F.transform(F.array(value), made))
 
 
 def opened(documents: DataFrame, schema: str, envelope: Envelope) -> DataFrame:
     """source_file, doc and whether the envelope holds. documents: source_file, value."""
-    rows = documents.select("source_file", F.from_json("value", schema).alias("doc"))
-    return rows.withColumn("ok", F.coalesce((F.col("doc.schema") == envelope.schema) & (F.col("doc.producer.name") == envelope.producer) & (F.col("doc.producer.layout") == envelope.layout) & clean(F.col("doc.producer.version"), 64).isNotNull(), F.lit(False)))
+
+    def told(doc: Column) -> Column:
+        right = (doc["schema"] == envelope.schema) & (doc["producer"]["name"] == envelope.producer) & (doc["producer"]["layout"] == envelope.layout) & clean(doc["producer"]["version"], 64).isNotNull()
+        return F.struct(doc.alias("doc"), F.coalesce(right, F.lit(False)).alias("ok"))
+
+    return documents.select("source_file", once(F.from_json("value", schema), told))
 
 
 def listed_in(rows: DataFrame, field: str, **told: Callable[[Column], Column]) -> DataFrame:
@@ -63,38 +78,43 @@ def listed_in(rows: DataFrame, field: str, **told: Callable[[Column], Column]) -
 
 
 def _chat_entries(documents: DataFrame, envelope: Envelope, source: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages as documents list them (with pos), deletes (source_file, id) but of other accounts, and rejected documents."""
+    """Messages as documents list them (with pos), deletes as they list them (source_file, id) but of other accounts, and rejected documents."""
     rows = opened(documents, CHAT, envelope)
     sizes = (F.size("doc.records") >= 0) & (F.size("doc.records") <= MOST) & (F.coalesce(F.size("doc.deleteIds"), F.lit(0)) <= MOST)
     account = lambda doc: clean(doc["account"]["id"], 180)
     rows = rows.withColumn("ok", F.col("ok") & sizes & account(F.col("doc")).isNotNull())
-    each = listed_in(rows.where("ok"), "records", account=account).withColumn("r", F.from_json("raw", _RECORD))
-    text = {n: clean(F.col(f"r.{n}"), m) for n, m in (("id", 420), ("content", 65536), ("conversationId", 420), ("conversationName", 240), ("speaker", 160), ("messageType", 80), ("summary", 1200), ("title", 160))}
-    summary = F.coalesce(text["summary"], F.substring(F.concat_ws(": ", text["speaker"], text["content"]), 1, 1200))
-    title = F.coalesce(text["title"], F.when(F.length(summary) > 22, F.concat(F.left(summary, F.lit(22)), F.lit("..."))).otherwise(summary))
-    avatar = F.lower(clean(F.col("r.avatarId"), 64))
-    at = iso(F.col("r.capturedAt"))
-    made = each.select(
+    each = listed_in(rows.where("ok"), "records", account=account)
+    texts = {"id": ("id", 420), "conversation_id": ("conversationId", 420), "conversation_name": ("conversationName", 240), "speaker": ("speaker", 160), "message_type": ("messageType", 80), "content": ("content", 65536), "summary": ("summary", 1200), "title": ("title", 160)}
+
+    def read(r: Column) -> Column:
+        told = [cut(r[field], most).alias(name) for name, (field, most) in texts.items()]
+        return F.struct(*told, F.lower(cut(r["avatarId"], 64)).alias("avatar_id"), iso(r["capturedAt"]).alias("captured_at"), r["conversationKind"].alias("kind"), r["speakerRole"].alias("role"))
+
+    rest = each.select("source_file", "account", "pos", once(F.from_json("raw", _RECORD), read))
+    rest = rest.withColumns({name: F.when(F.col(name) != "", F.col(name)) for name in texts}).where("id IS NOT NULL AND content IS NOT NULL AND captured_at IS NOT NULL AND conversation_id IS NOT NULL")
+    rest = rest.withColumn("summary", F.coalesce("summary", F.substring(F.concat_ws(": ", "speaker", "content"), 1, 1200)))
+    short = F.when(F.length("summary") > 22, F.concat(F.left("summary", F.lit(22)), F.lit("..."))).otherwise(F.col("summary"))
+    made = rest.select(
         "source_file",
         "pos",
-        text["id"].alias("id"),
+        "id",
         F.lit(source).alias("source"),
         F.concat(F.lit("account://"), "account").alias("origin"),
-        text["conversationId"].alias("conversation_id"),
-        F.coalesce(text["conversationName"], text["conversationId"]).alias("conversation_name"),
-        F.when(F.col("r.conversationKind").isin("direct", "group"), F.col("r.conversationKind")).otherwise("unknown").alias("conversation_kind"),
-        text["speaker"].alias("speaker"),
-        F.when(F.col("r.speakerRole").isin("self", "other"), F.col("r.speakerRole")).otherwise("unknown").alias("speaker_role"),
-        text["messageType"].alias("message_type"),
-        text["content"].alias("content"),
-        summary.alias("summary"),
-        title.alias("title"),
-        F.when(avatar.rlike("^[a-f0-9]{64}$"), avatar).alias("avatar_id"),
-        at.alias("captured_at"),
+        "conversation_id",
+        F.coalesce("conversation_name", "conversation_id").alias("conversation_name"),
+        F.when(F.col("kind").isin("direct", "group"), F.col("kind")).otherwise("unknown").alias("conversation_kind"),
+        "speaker",
+        F.when(F.col("role").isin("self", "other"), F.col("role")).otherwise("unknown").alias("speaker_role"),
+        "message_type",
+        "content",
+        "summary",
+        F.coalesce("title", short).alias("title"),
+        F.when(F.col("avatar_id").rlike("^[a-f0-9]{64}$"), F.col("avatar_id")).alias("avatar_id"),
+        "captured_at",
         F.lit("new").alias("status"),
-    ).where("id IS NOT NULL AND content IS NOT NULL AND captured_at IS NOT NULL AND conversation_id IS NOT NULL")
+    )
     gone = listed_in(rows.where("ok"), "deleteIds", account=account).select("source_file", "account", clean(F.col("raw"), 420).alias("id"))
-    gone = gone.where(F.startswith("id", F.concat(F.lit(f"{envelope.prefix}:"), "account", F.lit(":")))).select("source_file", "id").distinct()
+    gone = gone.where(F.startswith("id", F.concat(F.lit(f"{envelope.prefix}:"), "account", F.lit(":")))).select("source_file", "id")
     return made, gone, rows.where("NOT ok").select("source_file")
 
 
@@ -102,6 +122,7 @@ def chat_operations(documents: DataFrame, envelope: Envelope, source: str) -> tu
     """Upserts (messages), deletes (id) and rejected documents (source_file). In a document a later row of an id wins, and a
     delete that the document also upserts is dropped; so is one of another account."""
     made, gone, bad = _chat_entries(documents, envelope, source)
+    gone = gone.distinct()
     last = F.row_number().over(Window.partitionBy("source_file", "id").orderBy(F.desc("pos")))
     upserts = made.withColumn("nth", last).where("nth = 1").drop("nth", "pos")
     return upserts, gone.join(upserts.select("source_file", "id"), ["source_file", "id"], "left_anti"), bad

@@ -43,10 +43,15 @@ def lines(messages: DataFrame) -> str:
     return path
 
 
-def documents(rows: DataFrame, by: str, document) -> str:
-    """A JSON document for each `by`: what `document` (an aggregate) makes of its rows, in a folder of its own."""
+def documents(rows: DataFrame, by: str, document, apart: bool = True) -> str:
+    """A JSON document for each `by`: what `document` (an aggregate) makes of its rows, a file each. Apart, each is in a folder of its own,
+    which whoever lists them has to look into; otherwise all are in one."""
     path = new_path(rows.sparkSession, "documents")
-    rows.groupBy(F.col(by).cast("string").alias("of")).agg(document.alias("doc")).repartition("of").select("of", F.to_json("doc").alias("value")).write.partitionBy("of").text(path)
+    each = rows.groupBy(F.col(by).cast("string").alias("of")).agg(document.alias("doc")).repartition("of").select("of", F.to_json("doc").alias("value"))
+    if apart:
+        each.write.partitionBy("of").text(path)
+    else:
+        each.select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 

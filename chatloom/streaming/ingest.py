@@ -25,6 +25,7 @@ def chat_ingest(documents: DataFrame, archive: Archive, envelope: Envelope, sour
         try:
             net, bad = chat_net(batch, envelope, source)
             kept.append(net.persist())  # a commit looks at it more than once
+            net.count()  # with its size known, a commit sends it to the archive's ids, not these to it
             archive.commit_delta(net.where("up = 1").select("id", "row.*"), net.where("up = 0").select("id"))
             bad.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
         finally:

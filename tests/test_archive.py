@@ -144,3 +144,42 @@ def test_a_delta_reads_what_it_names(spark, tmp_path, monkeypatch):
     assert a._count(a.manifest()) == 4
     monkeypatch.setattr(Archive, "snapshot", whole)
     assert state(a) == [("1", "again"), ("2", "y"), ("4", "v"), ("5", "u")] and a.verify() == []
+
+
+def test_a_delta_runs_as_many_jobs_over_many_segments_as_over_few(spark, tmp_path, monkeypatch):
+    a, none = Archive(spark, str(tmp_path / "a")), spark.createDataFrame([], "id string")
+    monkeypatch.setattr(Archive, "_count", lambda *_: pytest.fail("rows are counted that the manifest tells"))
+    monkeypatch.setattr("chatloom.operators.archive.COMPACT_LEAST", 1)
+    jobs = []
+    for i in range(9):
+        spark.sparkContext.setJobGroup(f"delta {i}", "")
+        a.commit_delta(rows(spark, (f"new {i}", "x")), none)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"delta {i}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert a.manifest()[-1]["held"] == 9 == a.snapshot().count()
+    assert jobs[3:] == [jobs[3]] * 6
+
+
+def test_the_manifest_tells_how_many_rows_there_are(spark, tmp_path):
+    a, ids = Archive(spark, str(tmp_path / "a")), lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    a.commit_delta(rows(spark, ("1", "x"), ("2", "y"), ("4", "w")), ids())
+    a.commit_delta(rows(spark, ("3", "z"), ("4", "v"), ("2", "y")), ids("1", "7", "3"))  # one is new, one other, one as it was; one goes
+    a.commit_delta(rows(spark, ("1", "back")), ids())
+    assert [(s["held"], a._count(a.manifest()[: i + 1])) for i, s in enumerate(a.manifest())] == [(3, 3), (3, 3), (4, 4)]
+    a.commit(rows(spark, ("9", "x")))  # a whole state is not counted until it has to be
+    assert "held" not in a.manifest()[-1] and a._count(a.manifest()) == 1
+    a.compact()
+    assert [s["held"] for s in a.manifest()] == [1] and state(a) == [("9", "x")] and a.verify() == []
+
+
+def test_segments_without_columns_in_their_manifest(spark, tmp_path, monkeypatch):
+    """As older versions wrote them: their files tell."""
+    a, none = Archive(spark, str(tmp_path / "a")), spark.createDataFrame([], "id string")
+    written = Archive._written
+    with monkeypatch.context() as m:
+        m.setattr(Archive, "_written", lambda *x: {k: v for k, v in written(*x).items() if k not in ("schema", "held")})
+        a.commit_delta(rows(spark, ("1", "x"), ("2", "y")), none)
+        a.commit_delta(rows(spark, ("3", "z")), none)
+    a.commit_delta(rows(spark, ("2", "other"), ("3", "z")), spark.createDataFrame([("1",)], "id string"))
+    assert ["schema" in s for s in a.manifest()] == [False, False, True] and a._count(a.manifest()) == 2
+    assert state(a) == [("2", "other"), ("3", "z")] and a.verify() == []

@@ -1,10 +1,12 @@
 import json
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from chatloom.operators.archive import Archive
 from chatloom.sources import inbox as I
+from chatloom.sources import layouts
 from chatloom.streaming import ingest
 
 ENVELOPE = I.Envelope("delta/v1", "PRODUCER", "immutable", "row")
@@ -92,3 +94,18 @@ def test_net_operations_are_the_latest(spark):
         assert {r.id for r in net.where("up = 0").collect()} == {r.id for r in downs.collect()}
         assert [r.source_file for r in bad.collect()] == [r.source_file for r in some.where("source_file = 'x'").collect()]
         assert net._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+
+
+def test_documents_and_records_are_parsed_once(spark):
+    """Neither the filter on envelopes nor that on records parses again what it filters."""
+    docs = spark.createDataFrame([("a", batch([record(1)], ["row:acc:2"]))], "source_file string, value string")
+    net, bad = I.chat_net(docs, ENVELOPE, "chat")
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") for df in (net, bad)] == [3, 1]
+
+
+def test_documents_in_one_folder(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id % 13 AS of_what", "id")
+    path = layouts.documents(rows, "of_what", F.struct(F.array_sort(F.collect_list("id")).alias("ids")), apart=False).removeprefix("file:")
+    found = sorted(Path(path).glob("*.txt"))
+    assert len(found) == 13 and not [p for p in Path(path).iterdir() if p.is_dir()]
+    assert sorted(json.loads(p.read_text())["ids"] for p in found) == sorted([*range(i, 40, 13)] for i in range(13))
